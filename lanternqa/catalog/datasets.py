@@ -1,6 +1,6 @@
 """Dataset preparation."""
 
-from lanternqa.catalog.registry import EXCHANGES_SQL, exchanges, query, table
+from lanternqa.catalog.registry import EXCHANGES_SQL, documents, exchanges, query, table
 from lanternqa.functions.hashing import mix_sql
 from lanternqa.operators import datasets as ds
 
@@ -28,10 +28,10 @@ def add_result_columns(spark, sf):
 
 @query(
     rf"""WITH t AS (
-  SELECT doc_id, regexp_extract_all(text, '[^ \t\n\r\f\x0B]+')[1:2048] AS tk, {mix_sql('doc_id')} % 32 AS shard FROM documents),
-b AS (SELECT doc_id, len(tk) AS n_tokens, array_to_string(tk, ' ') AS text, len(tk) // 64 AS bucket, shard FROM t)
+  SELECT doc_id, regexp_extract_all(text, '[^ \t\n\r\f\x0B]+')[1:2048] AS tk FROM documents),
+b AS (SELECT doc_id, len(tk) AS n_tokens, array_to_string(tk, ' ') AS text, len(tk) // 64 AS bucket FROM t)
 SELECT doc_id, n_tokens, text, bucket,
-  (row_number() OVER (PARTITION BY bucket ORDER BY shard, doc_id) - 1) // 4 AS batch_no FROM b"""
+  (row_number() OVER (PARTITION BY bucket ORDER BY doc_id) - 1) // 4 AS batch_no FROM b"""
 )
 def length_buckets(spark, sf):
-    return ds.length_buckets(table(spark, sf, "documents").select("doc_id", "text"), "text", "doc_id")
+    return ds.length_buckets(documents(spark, sf).select("doc_id", "text"), "text", "doc_id")

@@ -5,13 +5,14 @@ from pyspark.sql import functions as F
 from lanternqa.catalog.registry import exchanges, query, table
 from lanternqa.functions import similarity as sm
 from lanternqa.operators import scoring as sc
+from lanternqa.session import fan_out
 
 _PARTS = "parts AS (SELECT p_partkey, p_brand, p_name || ' ' || p_type AS a, p_brand || ' ' || p_name AS b FROM part)"
 
 
 def _parts(spark, sf):
     name = F.col("p_name")
-    return table(spark, sf, "part").select(
+    return fan_out(table(spark, sf, "part"), "p_partkey").select(
         "p_partkey", "p_brand", "p_name", "p_type",
         F.concat(name, F.lit(" "), "p_type").alias("a"), F.concat("p_brand", F.lit(" "), name).alias("b"),
     )
@@ -122,6 +123,6 @@ def compare_models(spark, sf):
 def exchange_scores(spark, sf):
     """Both token scores of every prompt and response at full length; SQL is too slow for these."""
     a, b = F.col("prompt"), F.col("response")
-    return exchanges(spark, sf).select(
+    return sc.spread_rows(exchanges(spark, sf)).select(
         "conv_id", "turn", sm.token_sort_ratio(a, b).alias("token_sort"), sm.token_set_ratio(a, b).alias("token_set")
     )

@@ -3,13 +3,12 @@
 from pyspark.sql import functions as F
 
 from lanternqa.catalog.registry import (
-    EXCHANGES_SQL, TEXTS_SQL, TRANSCRIPTS_SQL, clean_sql, exchanges, query, quoted, strip_sql, table, transcripts,
+    EXCHANGES_SQL, TEXTS_SQL, TRANSCRIPTS_SQL, clean_sql, documents, exchanges, pages, query, quoted, strip_sql, table, transcripts,
 )
 from lanternqa.functions import prompts as pr
 from lanternqa.functions import text as tx
 from lanternqa.operators import chunks as ch
 from lanternqa.sources.html import page_text as extract_text
-from lanternqa.sources.tables import read_pages
 
 KEYWORDS = ["tion", "ou, ", "eau."]
 _TOKENS = r"regexp_extract_all(text, '[^ \t\n\r\f\x0B]+')"
@@ -17,7 +16,7 @@ _TOKENS = r"regexp_extract_all(text, '[^ \t\n\r\f\x0B]+')"
 
 @query(f"WITH {TEXTS_SQL} SELECT page_id, text FROM texts")
 def page_text(spark, sf):
-    return extract_text(read_pages(spark, f"{sf}/pages.parquet"))
+    return extract_text(pages(spark, sf))
 
 
 @query(
@@ -27,7 +26,7 @@ FROM documents"""
 )
 def clean_whitespace(spark, sf):
     x = F.col("text")
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         "doc_id", tx.clean_whitespace(x).alias("cleaned"), tx.clean_whitespace(x, collapse=True).alias("collapsed")
     )
 
@@ -52,12 +51,12 @@ SELECT doc_id, chunk_no, len(tk[chunk_no * {step} + 1 : chunk_no * {step} + {siz
 
 @query(_chunks_sql(128, 0))
 def token_chunks(spark, sf):
-    return ch.token_chunks(table(spark, sf, "documents"), "text", 128, keep=["doc_id"])
+    return ch.token_chunks(documents(spark, sf), "text", 128, keep=["doc_id"])
 
 
 @query(_chunks_sql(96, 32))
 def token_chunks_overlap(spark, sf):
-    return ch.token_chunks(table(spark, sf, "documents"), "text", 96, overlap=32, keep=["doc_id"])
+    return ch.token_chunks(documents(spark, sf), "text", 96, overlap=32, keep=["doc_id"])
 
 
 _HEAD, _MID, _TAIL = pr.RELEVANCE.partition("{1}")[0], *pr.RELEVANCE.partition("{1}")[2].split("{2}")
@@ -84,7 +83,7 @@ windows AS (SELECT doc_id, kw_no, keyword, unnest(range(len(ws))) AS match_no, u
 
 @query(f"WITH {_windows_sql(100)} SELECT * FROM windows")
 def keyword_windows(spark, sf):
-    return ch.keyword_windows(table(spark, sf, "documents"), "text", KEYWORDS, 100, keep=["doc_id"])
+    return ch.keyword_windows(documents(spark, sf), "text", KEYWORDS, 100, keep=["doc_id"])
 
 
 @query(
@@ -94,7 +93,7 @@ FROM documents d LEFT JOIN windows USING (doc_id) GROUP BY d.doc_id"""
 )
 def merge_windows(spark, sf):
     keywords = F.array(*[F.lit(k) for k in KEYWORDS])
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         "doc_id", tx.merge_windows(tx.keyword_windows(F.col("text"), keywords, 25)).alias("merged")
     )
 
@@ -142,7 +141,7 @@ def truncate_at_stop(spark, sf):
   regexp_replace(text, '[\x{80}-\x{FF}]', '', 'g'), '[^\p{L}\p{N}_]', ' ', 'g'))) AS normalized FROM documents"""
 )
 def normalize_for_match(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", tx.normalize_for_match(F.col("text")).alias("normalized"))
+    return documents(spark, sf).select("doc_id", tx.normalize_for_match(F.col("text")).alias("normalized"))
 
 
 _HITS = " + ".join(
@@ -157,5 +156,5 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC,
 SELECT * FROM ranked WHERE rank <= 2"""
 )
 def relevant_chunks(spark, sf):
-    chunks = ch.token_chunks(table(spark, sf, "documents"), "text", 128, keep=["doc_id"])
+    chunks = ch.token_chunks(documents(spark, sf), "text", 128, keep=["doc_id"])
     return ch.relevant_chunks(chunks, KEYWORDS, ["doc_id"], 2)

@@ -10,9 +10,12 @@ from lanternqa.functions.replies import MEETING, parse_reply
 DEFAULT_HOURS = 1.0
 
 
-def meeting_fields(raw: Column) -> Column:
-    """A reply as location, wall-clock start, hours and topic; bad fields are null."""
-    reply = parse_reply(raw, MEETING)
+def meeting_reply(raw: Column) -> Column:
+    return parse_reply(raw, MEETING)
+
+
+def meeting_fields(reply: Column) -> Column:
+    """A parsed reply as location, wall-clock start, hours and topic; bad fields are null."""
     well_formed = reply["start_time"].rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}$")
     start = F.try_to_timestamp(F.when(well_formed, reply["start_time"]), F.lit("yyyy-MM-dd'T'HH:mm"))
     hours = F.when(reply["duration"].isNull(), F.lit(DEFAULT_HOURS)).otherwise(reply["duration"].try_cast("double"))

@@ -36,7 +36,12 @@ def parse_reply(raw: Column, fields: dict[str, tuple[str, Any]]) -> Column:
     inner = ", ".join(f"`{name}`: {type_}" for name, (type_, _) in fields.items())
     wrapped = F.concat(F.lit("["), raw, F.lit("]"))
     parsed = F.from_json(wrapped, f"array<struct<{inner}>>", {"allowSingleQuotes": "false"})
-    reply = F.when(F.size(parsed) == 1, F.get(parsed, F.lit(0)))
-    return F.struct(
-        *[F.coalesce(reply[name], _default(value, type_)).alias(name) for name, (type_, value) in fields.items()]
-    )
+
+    def filled(replies: Column) -> Column:
+        reply = F.when(F.size(replies) == 1, F.get(replies, F.lit(0)))
+        return F.struct(
+            *[F.coalesce(reply[name], _default(value, type_)).alias(name) for name, (type_, value) in fields.items()]
+        )
+
+    # one lambda argument, so the text is parsed once for all fields
+    return F.get(F.transform(F.array(parsed), filled), F.lit(0))

@@ -15,81 +15,74 @@ def common_subsequence(a: str, b: str) -> int:
     of the shorter string (bit-parallel, Hyyro 2004)."""
     if len(a) < len(b):
         a, b = b, a
-    places: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        places.setdefault(ch, []).append(i)
-    masks = {}
-    for ch in set(b) & places.keys():
-        bits = bytearray(len(a) // 8 + 1)
-        for i in places[ch]:
-            bits[i >> 3] |= 1 << (i & 7)
-        masks[ch] = int.from_bytes(bits, "little")
+    same = 0
+    while same < len(b) and a[same] == b[same]:
+        same += 1
+    a, b = a[same:], b[same:]
+    masks = {ch: 0 for ch in b}
+    if len(a) <= 1024:
+        for i, ch in enumerate(a):
+            if ch in masks:
+                masks[ch] |= 1 << i
+    else:
+        bits = {ch: bytearray(len(a) // 8 + 1) for ch in masks}
+        for i, ch in enumerate(a):
+            if ch in bits:
+                bits[ch][i >> 3] |= 1 << (i & 7)
+        masks = {ch: int.from_bytes(mask, "little") for ch, mask in bits.items()}
     full = (1 << len(a)) - 1
     row = full
     for ch in b:
-        hit = row & masks.get(ch, 0)
+        hit = row & masks[ch]
         row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
+    return same + len(a) - row.bit_count()
 
 
-@F.pandas_udf(T.LongType())
-def _lcs(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series(
-        [None if x is None or y is None else common_subsequence(x, y) for x, y in zip(a, b)], dtype="Int64"
-    )
+def ratio(a: str, b: str) -> int:
+    """Equal texts score 100, an empty one 0 against any other. The formula is
+    written as the public scorer rounds it: 1 - distance/total, half to even."""
+    if a == b:
+        return 100
+    if not a or not b:
+        return 0
+    total = len(a) + len(b)
+    return round(100 * (1.0 - (total - 2 * common_subsequence(a, b)) / total))
 
 
-def _percent(matched: Column, total: Column) -> Column:
-    """Similarity from matched characters. Written as 1 - distance/total, the
-    order in which the public scorer rounds, then half-to-even."""
-    distance = (total - F.lit(2) * matched).cast("double")
-    return F.rint(F.lit(100.0) * (F.lit(1.0) - distance / total.cast("double"))).cast("int")
+def sort_ratio(a: str, b: str) -> int:
+    return ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
 
 
-def similarity_ratio(a: Column, b: Column) -> Column:
-    """Share of characters in a longest common subsequence.
+def set_ratio(a: str, b: str) -> int:
+    """Best ratio among shared words, shared + rest of a, shared + rest of b."""
+    left, right = set(a.split()), set(b.split())
+    if not left or not right:
+        return 0
+    shared = sorted(left & right)
+    core = " ".join(shared)
+    one = " ".join(shared + sorted(left - right))
+    two = " ".join(shared + sorted(right - left))
+    return max(ratio(core, one), ratio(core, two), ratio(one, two))
+
 
-    Equal texts score 100, an empty text scores 0 against any other. Those
-    rows never reach Python.
-    """
-    trivial = (a == b) | (a == "") | (b == "")
-    lcs = _lcs(F.when(~trivial, a), F.when(~trivial, b))
-    return (
-        F.when(a.isNull() | b.isNull(), 0)
-        .when(a == b, 100)
-        .when(trivial, 0)
-        .otherwise(_percent(lcs, F.length(a) + F.length(b)))
-    )
+def _column(score):
+    @F.pandas_udf(T.IntegerType())
+    def scored(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([0 if x is None or y is None else score(x, y) for x, y in zip(a, b)], dtype="int32")
 
+    return scored
 
-def sorted_words(x: Column) -> Column:
-    return F.array_join(F.array_sort(F.filter(F.split(normalize_for_match(x), " +"), lambda w: w != "")), " ")
+
+def similarity_ratio(a: Column, b: Column) -> Column:
+    """Share of characters in a longest common subsequence."""
+    return _column(ratio)(a, b)
 
 
 def token_sort_ratio(a: Column, b: Column) -> Column:
     """Ratio of the normalized texts with their words sorted."""
-    return similarity_ratio(sorted_words(a), sorted_words(b))
+    return _column(sort_ratio)(normalize_for_match(a), normalize_for_match(b))
 
 
 def token_set_ratio(a: Column, b: Column) -> Column:
-    """Best ratio among shared words, shared + rest of a, shared + rest of b.
-
-    The shared words open both longer texts, so two of the three ratios follow
-    from lengths alone; only the third needs the common subsequence.
-    """
-    left = F.filter(F.split(normalize_for_match(a), " +"), lambda w: w != "")
-    right = F.filter(F.split(normalize_for_match(b), " +"), lambda w: w != "")
-    shared = F.array_sort(F.array_intersect(left, right))
-    text = F.array_join(shared, " ")
-    one = F.array_join(F.concat(shared, F.array_sort(F.array_except(left, right))), " ")
-    two = F.array_join(F.concat(shared, F.array_sort(F.array_except(right, left))), " ")
-
-    def against_shared(longer: Column) -> Column:
-        return (
-            F.when(F.length(text) == 0, 0)
-            .otherwise(_percent(F.length(text), F.length(text) + F.length(longer)))
-        )
-
-    usable = (F.size(left) > 0) & (F.size(right) > 0)
-    best = F.greatest(against_shared(one), against_shared(two), similarity_ratio(one, two))
-    return F.when(usable, best).otherwise(0)
+    """Best ratio among the normalized texts' shared words and either side's rest with them."""
+    return _column(set_ratio)(normalize_for_match(a), normalize_for_match(b))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanternqa.functions.hashing import mix
 from lanternqa.functions.text import tokens
-from lanternqa.operators.spread import SALTS, with_position
+from lanternqa.operators.spread import with_position
 
 
 def random_split(df: DataFrame, key: str, percent: int = 65, seed: int = 0) -> DataFrame:
@@ -18,7 +18,7 @@ def random_split(df: DataFrame, key: str, percent: int = 65, seed: int = 0) -> D
 
 def tail_split(df: DataFrame, key: str, offset: int = 800, name: str = "index") -> DataFrame:
     """Rows from a position on, numbered anew from 0 in key order."""
-    placed = with_position(df, key, "_position")
+    placed = with_position(df, [key], "_position")
     return placed.filter(F.col("_position") >= offset).withColumn(name, F.col("_position") - offset).drop("_position")
 
 
@@ -28,32 +28,23 @@ def add_result_columns(df: DataFrame, reply: str = "llm_response", score: str =
 
 
 def length_buckets(
-    df: DataFrame, text: str, key: str, batch: int = 4, max_len: int = 2048, width: int = 64, shards: int = SALTS
+    df: DataFrame, text: str, key: str, batch: int = 4, max_len: int = 2048, width: int = 64
 ) -> DataFrame:
     """Batches of texts of like token length: `key`, n_tokens, text, bucket, batch_no.
 
-    Texts are cut at `max_len` tokens and bucketed by length. A bucket may hold
-    much of the table, so it is numbered in `shards` pieces, with the counts of
-    earlier pieces added: at most (max_len / width + 1) * shards small rows.
-    Only a bucket's last batch can be short.
+    Texts are cut at `max_len` tokens and bucketed by length. Rows are ranged
+    by (bucket, key), so a bucket that holds much of the table spans many
+    tasks; only its last batch can be short.
     """
     cut = df.select(key, F.slice(tokens(F.col(text)), 1, max_len).alias("_tokens")).select(
         key, F.size("_tokens").alias("n_tokens"), F.array_join("_tokens", " ").alias(text)
     )
-    placed = cut.withColumn("bucket", F.floor(F.col("n_tokens") / width).cast("long")).withColumn(
-        "_shard", mix(F.col(key)) % shards
+    placed = with_position(
+        cut.withColumn("bucket", F.floor(F.col("n_tokens") / width).cast("long")), ["bucket", key], "_position"
     )
-    counts = (
-        df.select(F.least(F.size(tokens(F.col(text))), F.lit(max_len)).alias("n"), key)
-        .select(F.floor(F.col("n") / width).cast("long").alias("bucket"), (mix(F.col(key)) % shards).alias("_shard"))
-        .groupBy("bucket", "_shard").agg(F.count(F.lit(1)).alias("_n"))
-    )
-    earlier = Window.partitionBy("bucket").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("bucket", "_shard", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("bucket", "_shard").orderBy(key)
+    starts = placed.groupBy("bucket").agg(F.min("_position").alias("_start"))
     return (
-        placed.withColumn("_inside", F.row_number().over(inside))
-        .join(F.broadcast(offsets), ["bucket", "_shard"])
-        .withColumn("batch_no", F.floor((F.col("_before") + F.col("_inside") - 1) / batch).cast("long"))
+        placed.join(F.broadcast(starts), "bucket")
+        .withColumn("batch_no", F.floor((F.col("_position") - F.col("_start")) / batch).cast("long"))
         .select(key, "n_tokens", text, "bucket", "batch_no")
     )

@@ -10,7 +10,8 @@ from lanternqa.functions import meetings as mt
 
 def meeting_fields(replies: DataFrame, raw: str = "reply") -> DataFrame:
     """Add the typed location, start_time, duration and topic of each reply."""
-    return replies.withColumn("_m", mt.meeting_fields(F.col(raw))).select("*", "_m.*").drop("_m")
+    parsed = replies.withColumn("_r", mt.meeting_reply(F.col(raw)))
+    return parsed.withColumn("_m", mt.meeting_fields(F.col("_r"))).select("*", "_m.*").drop("_r", "_m")
 
 
 def event_record(meetings: DataFrame, zone: str, attendees: str = "attendees") -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from lanternqa.functions.text import WORD, words
-from lanternqa.operators.spread import SALTS, spread_join
+from lanternqa.operators.spread import copy_keys, hot_keys, split_keys, spread_join
 from lanternqa.session import fits_broadcast, materialize
 
 # The published BM25 parameters, and the whole units per point in
@@ -15,6 +16,13 @@ K1 = 1.2
 B = 0.75
 UNITS = 1_000_000
 
+# None of these changes a result: pieces of a term where a large vocabulary
+# meets all words; weightiest terms of a question that seed its bound.
+SUB_TERMS = 64
+SEED_TERMS = 8
+# Up to this many (question, term, text) matches a core, all are scored at once.
+DIRECT_MATCHES = 2_000_000
+
 
 def query_terms(queries: DataFrame, question: str = "question") -> DataFrame:
     """(q_id, term, n, first_pos, surface): a question's distinct words."""
@@ -33,15 +41,17 @@ def _restrict(exploded: DataFrame, vocab: DataFrame, keys: list[str], small: boo
     """Count each (keys, term) for the wanted terms only.
 
     A vocabulary that was measured small filters the words before they are
-    counted and shuffled. A large one is joined after counting, with the
-    terms that fill most texts split.
+    counted and shuffled. A large one is copied to a fixed number of sub-terms
+    and joined after counting, so a term that fills most texts is split.
     """
     if small:
         return exploded.join(F.broadcast(vocab), "term", "left_semi").groupBy(*keys, "term").agg(
             F.count(F.lit(1)).alias("tf")
         )
     counted = exploded.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
-    return spread_join(counted, vocab, ["term"], by=keys)
+    subs = F.explode(F.sequence(F.lit(0), F.lit(SUB_TERMS - 1)))
+    split = counted.withColumn("_sub", F.pmod(F.xxhash64(*keys), F.lit(SUB_TERMS)).cast("int"))
+    return split.join(vocab.withColumn("_sub", subs), ["term", "_sub"]).drop("_sub")
 
 
 def _with_terms(rows: DataFrame, terms: DataFrame, on: str, by: list[str], small: bool) -> DataFrame:
@@ -54,43 +64,56 @@ def search_top_k(queries: DataFrame, corpus: DataFrame, k: int = 2, doc: str = "
     """The `k` best texts for each question by BM25: q_id, rank, `doc`, score.
 
     `queries` is (q_id, question), `corpus` is (`doc`, text). Ties go to the
-    smaller `doc`. The result is exact, yet only a fraction of the
-    (question, text) pairs that share a word is ever formed:
-
-    1. each term's best `k` texts give seed texts per question, whose full
-       scores bound the k-th best score from below;
-    2. a question's commonest terms whose highest possible contributions add
-       up to less than that bound cannot lift a text into the result alone, so
-       candidates come from the other terms;
-    3. candidates that cannot reach the bound even with all the common terms
-       are dropped before those are looked up.
-
-    Each step ends in a written table that the next ones read.
+    smaller `doc`. The matches are counted from the terms' statistics: if they
+    are few for the cores at hand, each is scored; else the pruned way, with
+    the same result, forms only a fraction of them.
     """
     terms = query_terms(queries).select("q_id", "term")
     small = fits_broadcast(terms)
-    postings = materialize(_postings(terms.select("term").distinct(), corpus, doc, small), "postings")
+    n_docs, mean_len = _sizes(corpus)
+    vocab = terms.select("term").distinct()
+    postings = materialize(_postings(vocab, corpus, doc, mean_len, small), "postings")
 
     stats = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("weight").alias("top"))
-    n_docs = corpus.agg(F.count(F.lit(1)).alias("n")).scalar()
-    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    stats = stats.select("term", idf.alias("idf"), _units(idf, F.col("top")).alias("most"))
+    idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    stats = stats.select("term", "df", idf.alias("idf"), _units(idf, F.col("top")).alias("most"))
     rated = materialize(_with_terms(terms, stats, "term", ["q_id"], small), "rated-terms")
 
-    # 1. seeds: the leaders of each question's three weightiest terms
+    matches = rated.agg(F.sum("df").alias("n")).first()["n"] or 0
+    if matches <= DIRECT_MATCHES * queries.sparkSession.sparkContext.defaultParallelism:
+        scored = _score_terms(postings, rated, doc, small)
+    else:
+        scored = _score_pruned(postings, rated, k, doc, small)
+    return (
+        scored.withColumn("rank", F.row_number().over(_best_first(doc))).filter(F.col("rank") <= k)
+        .select("q_id", "rank", doc, (F.col("score") / UNITS).alias("score"))
+    )
+
+
+def _score_pruned(postings: DataFrame, rated: DataFrame, k: int, doc: str, small: bool) -> DataFrame:
+    """Full scores of every text that can be among a question's `k` best.
+
+    1. Each term's best `k` texts give seed texts per question, whose full
+       scores bound the k-th best score from below.
+    2. A question's commonest terms whose highest possible contributions add
+       up to less than that bound cannot lift a text into the result alone, so
+       candidates come from the other terms.
+    3. Candidates that cannot reach the bound even with all the common terms
+       are dropped before those are looked up.
+
+    Each step ends in a written table that the next ones read.
+    """
     ranked = Window.partitionBy("term").orderBy(F.desc("weight"), doc)
     leaders = postings.withColumn("pos", F.row_number().over(ranked)).filter(F.col("pos") <= k)
     heavy = Window.partitionBy("q_id").orderBy(F.desc("most"), "term")
-    lead = rated.withColumn("pos", F.row_number().over(heavy)).filter(F.col("pos") <= 3).select("q_id", "term")
-    seeds = spread_join(lead, leaders.select("term", doc), ["term"], by=["q_id"]).select("q_id", doc).distinct()
-    seeds = _score(materialize(seeds, "seeds"), rated, postings, doc, small)
-    order = Window.partitionBy("q_id").orderBy(F.desc("score"), doc)
+    lead = rated.withColumn("pos", F.row_number().over(heavy)).filter(F.col("pos") <= SEED_TERMS)
+    seeds = spread_join(lead.select("q_id", "term"), leaders.select("term", doc), ["term"], by=["q_id"])
+    seeds = _score_pairs(materialize(seeds.select("q_id", doc).distinct(), "seeds"), rated, postings, doc, small)
     bound = (
-        seeds.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") == k)
+        seeds.withColumn("pos", F.row_number().over(_best_first(doc))).filter(F.col("pos") == k)
         .select("q_id", F.col("score").alias("bound"))
     )
 
-    # 2. terms that can bring in a candidate
     light = Window.partitionBy("q_id").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)
     split = (
         rated.join(bound, "q_id", "left")
@@ -99,40 +122,39 @@ def search_top_k(queries: DataFrame, corpus: DataFrame, k: int = 2, doc: str = "
         .withColumn("essential", F.col("upto") >= F.col("bound"))
     )
     split = materialize(split, "split-terms")
-    essential = split.filter("essential").select("q_id", "term", "idf")
-    rest = split.filter("NOT essential")
     spare = split.groupBy("q_id").agg(
         F.max("bound").alias("bound"),
         F.sum(F.when(F.col("essential"), 0).otherwise(F.col("most"))).alias("spare"),
     )
-    found = (
-        _with_terms(postings, essential, "term", [doc], small)
-        .groupBy("q_id", doc).agg(F.sum(_units(F.col("idf"), F.col("weight"))).alias("part"))
-    )
-
-    # 3. candidates that can still reach the bound
+    found = _score_terms(postings, split.filter("essential"), doc, small)
     live = (
         _with_terms(found, spare, "q_id", [doc], small)
-        .filter(F.col("part") + F.col("spare") >= F.col("bound")).select("q_id", doc, "part")
+        .filter(F.col("score") + F.col("spare") >= F.col("bound")).select("q_id", doc, "score")
     )
     live = materialize(live, "candidates")
-    more = _score(live.select("q_id", doc), rest, postings, doc, small)
-    scored = (
-        live.select("q_id", doc, F.col("part").alias("score")).unionByName(more)
-        .groupBy("q_id", doc).agg(F.sum("score").alias("score"))
-    )
-    return (
-        scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-        .select("q_id", "rank", doc, (F.col("score") / UNITS).alias("score"))
-    )
+    more = _score_pairs(live.select("q_id", doc), split.filter("NOT essential"), postings, doc, small)
+    return live.unionByName(more).groupBy("q_id", doc).agg(F.sum("score").alias("score"))
 
 
-def _postings(vocab: DataFrame, corpus: DataFrame, doc: str, small: bool) -> DataFrame:
+def _best_first(doc: str) -> WindowSpec:
+    return Window.partitionBy("q_id").orderBy(F.desc("score"), doc)
+
+
+def _score_terms(postings: DataFrame, rated: DataFrame, doc: str, small: bool) -> DataFrame:
+    """Add up the given terms' contributions for every text that holds one."""
+    matched = _with_terms(postings, rated.select("q_id", "term", "idf"), "term", [doc], small)
+    return matched.groupBy("q_id", doc).agg(F.sum(_units(F.col("idf"), F.col("weight"))).alias("score"))
+
+
+def _sizes(corpus: DataFrame) -> tuple[int, float]:
+    """Texts and mean words per text: one aggregated row."""
+    n_words = F.regexp_count(F.lower("text"), F.lit(WORD))
+    row = corpus.agg(F.count(F.lit(1)).alias("n"), F.sum(n_words).alias("words")).first()
+    return row["n"], (row["words"] or 0) / max(row["n"], 1) or 1.0
+
+
+def _postings(vocab: DataFrame, corpus: DataFrame, doc: str, mean_len: float, small: bool) -> DataFrame:
     """`doc`, term, weight: BM25's term-frequency part for the wanted terms."""
-    sizes = corpus.agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.regexp_count(F.lower("text"), F.lit(WORD))).alias("total")
-    )
-    mean_len = sizes.select(F.col("total") / F.col("n")).scalar()
     cut = corpus.filter(F.col(doc).isNotNull()).select(doc, words(F.col("text")).alias("ws"))
     exploded = cut.select(doc, F.size("ws").alias("dl"), F.explode("ws").alias("term"))
     tf = F.col("tf")
@@ -144,17 +166,17 @@ def _units(idf: Column, weight: Column) -> Column:
     return F.round(idf * weight * UNITS).cast("long")
 
 
-def _score(pairs: DataFrame, rated: DataFrame, postings: DataFrame, doc: str, small: bool) -> DataFrame:
+def _score_pairs(pairs: DataFrame, rated: DataFrame, postings: DataFrame, doc: str, small: bool) -> DataFrame:
     """Add up the given terms' contributions for given (q_id, doc) pairs.
 
-    A text wanted by very many questions is split by question: its postings
-    are copied to the sub-keys its pairs use.
+    A text wanted by very many questions is split by question.
     """
-    salted = pairs.withColumn("_salt", F.pmod(F.xxhash64("q_id"), F.lit(SALTS)).cast("int"))
-    copies = postings.join(salted.select(doc, "_salt").distinct(), doc)
-    wanted = _with_terms(salted, rated.select("q_id", "term", "idf"), "q_id", [doc], small)
+    hot = hot_keys(pairs, [doc])
+    wanted = _with_terms(
+        split_keys(pairs, hot, [doc], ["q_id"]), rated.select("q_id", "term", "idf"), "q_id", [doc], small
+    )
     return (
-        wanted.join(copies, [doc, "_salt", "term"])
+        wanted.join(copy_keys(postings, hot, [doc]), [doc, "_sub", "term"])
         .groupBy("q_id", doc).agg(F.sum(_units(F.col("idf"), F.col("weight"))).alias("score"))
     )
 

@@ -8,16 +8,26 @@ from pyspark.sql import functions as F
 from lanternqa.functions.similarity import token_set_ratio
 
 
+def spread_rows(df: DataFrame) -> DataFrame:
+    """Even out rows before scoring: the score costs far more than the move, and
+    its cost follows text length squared, which byte-sized partitions do not show."""
+    spark = df.sparkSession
+    width = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(width)
+
+
 def best_option_score(df: DataFrame, key: list[str], answer: str, answers: str, out: str = "token_set_ratio") -> DataFrame:
     """Best token-set score over each gold answer and all of them joined.
 
-    Options spread over the cluster as rows and fold back as a partial maximum.
+    Options spread over the cluster as rows and fold back as a partial maximum,
+    so an answer with very many options is no single task's work.
     """
     joined = F.array_join(answers, " ")
     options = df.select(
         *key, F.col(answer).alias("_answer"),
         F.explode(F.array_distinct(F.concat(F.array(joined), F.col(answers)))).alias("_option"),
     )
+    options = spread_rows(options)
     scored = options.select(*key, token_set_ratio(F.col("_answer"), F.col("_option")).alias("_score"))
     return scored.groupBy(*key).agg(F.max("_score").alias(out))
 

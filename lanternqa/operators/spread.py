@@ -5,47 +5,74 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 32
-RANGES = 256
+from lanternqa.session import materialize
+
+HOT_ROWS = 1_000_000
+NULL_SUBS = 1024
+
+
+def hot_keys(df: DataFrame, on: list[str], hot_rows: int | None = None) -> DataFrame:
+    """Keys with more than `hot_rows` rows, and the sub-keys each is split into.
+
+    Counts fold before the shuffle. At most one key per `hot_rows` rows of `df`
+    can qualify, which is what bounds the broadcasts below.
+    """
+    limit = hot_rows or HOT_ROWS
+    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
+    return counts.select(*on, F.ceil(F.col("_n") / limit).cast("int").alias("_subs"))
+
+
+def split_keys(left: DataFrame, hot: DataFrame, on: list[str], by: list[str]) -> DataFrame:
+    """Add `_sub`: rows of a hot key are spread over its sub-keys by the `by` columns."""
+    absent = F.lit(False)
+    for key in on:
+        absent = absent | F.col(key).isNull()
+    subs = F.when(absent, NULL_SUBS).otherwise(F.coalesce("_subs", F.lit(1)))
+    return (
+        left.join(F.broadcast(hot), on, "left").withColumn("_sub", F.pmod(F.xxhash64(*by), subs).cast("int"))
+        .drop("_subs")
+    )
+
+
+def copy_keys(right: DataFrame, hot: DataFrame, on: list[str]) -> DataFrame:
+    """Add `_sub`: rows of a hot key are copied to each of its sub-keys, others stay single."""
+    subs = F.sequence(F.lit(0), F.coalesce("_subs", F.lit(1)) - 1)
+    return right.join(F.broadcast(hot), on, "left").withColumn("_sub", F.explode(subs)).drop("_subs")
 
 
 def spread_join(
     left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", by: list[str] | None = None,
-    salts: int = SALTS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Join a left side whose keys may be hot to a right side.
 
-    Left rows of one key are split over `salts` sub-keys by the `by` columns.
-    A right row is copied only to the sub-keys its key uses, so a rare key
-    costs no copies and a hot one at most `salts`.
+    Reads the left keys once to find the hot ones, so `left` should be cheap
+    to read twice. Null keys match nothing and are spread too.
     """
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*(by or left.columns)), F.lit(salts)).cast("int"))
-    used = salted.select(*on, "_salt").distinct()
-    copies = right.join(used, on)
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    hot = hot_keys(left, on, hot_rows)
+    spread = split_keys(left, hot, on, by or left.columns)
+    return spread.join(copy_keys(right, hot, on), [*on, "_sub"], how).drop("_sub")
 
 
-def with_position(df: DataFrame, key: str, name: str = "position", ranges: int = RANGES) -> DataFrame:
-    """Number all rows from 0 in the order of a unique numeric key.
+def with_position(df: DataFrame, keys: list[str], name: str = "position") -> DataFrame:
+    """Number all rows from 0 in the order of unique keys.
 
-    A global `row_number` would sort everything in one task. Here approximate
-    quantiles cut the key into ranges, each range is numbered on its own, and
-    the counts of earlier ranges (at most `ranges` rows) are added.
+    A global `row_number` would sort everything in one task. Here the rows are
+    range-partitioned and each partition numbered as it is written out, which
+    fixes the ranges; the counts of earlier partitions are then added.
     """
-    steps = [i / ranges for i in range(1, ranges)]
-    cuts = df.agg(F.percentile_approx(key, steps, F.lit(100 * ranges)).alias("cuts")).select("cuts").scalar()
-    ranged = df.withColumn("_cuts", cuts).withColumn(
-        "_range", F.coalesce(F.size(F.filter("_cuts", lambda cut: cut < F.col(key))), F.lit(-1))
-    ).drop("_cuts")
-    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    placed = materialize(
+        ranged.withColumn("_part", F.spark_partition_id())
+        .withColumn("_inside", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))),
+        "positions",
+    )
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-        .select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+        placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+        .select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     )
-    inside = Window.partitionBy("_range").orderBy(key)
     return (
-        ranged.withColumn("_inside", F.row_number().over(inside))
-        .join(F.broadcast(offsets), "_range")
-        .withColumn(name, F.col("_before") + F.col("_inside") - 1)
-        .drop("_range", "_before", "_inside")
+        placed.join(F.broadcast(offsets), "_part")
+        .withColumn(name, F.col("_before") + F.col("_inside")).drop("_part", "_inside", "_before")
     )

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 32 << 20
 
 
 def local_session(cpus: int | str = 8, name: str = "lanternqa") -> SparkSession:
@@ -44,6 +44,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(root, "lanternqa", f"{name}-{uuid.uuid4().hex}")
 
 
+def fan_out(df: DataFrame, *key: str) -> DataFrame:
+    """Spread a plain file read over all cores if its files are too few to do so.
+
+    Pattern matching costs far more than moving the text, and one small file
+    is one task. A table of many files is left as it is: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *key)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back.
 

@@ -27,7 +27,7 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
 def write_table(df: DataFrame, path: str, order: str | None = None, index: str = "index") -> None:
     """Write CSV; with `order`, a leading positional index column in that order."""
     if order is not None:
-        df = with_position(df, order, "_index").select(F.col("_index").alias(index), *df.columns)
+        df = with_position(df, [order], "_index").select(F.col("_index").alias(index), *df.columns)
     df.write.options(**_CSV).csv(path)
 
 
