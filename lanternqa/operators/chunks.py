@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanternqa.functions import text as tx
@@ -15,8 +15,8 @@ def token_chunks(
     keep = [c for c in df.columns if c != text] if keep is None else keep
     size = F.lit(size) if isinstance(size, int) else size
     step = F.greatest(F.col("_size") - F.lit(overlap), F.lit(1))
-    cut = df.select(*keep, tx.tokens(F.col(text)).alias("_tokens"), size.cast("int").alias("_size"))
-    cut = cut.filter(F.size("_tokens") > 0)
+    some = df.filter(F.col(text).rlike(tx.TOKEN))
+    cut = some.select(*keep, tx.tokens(F.col(text)).alias("_tokens"), size.cast("int").alias("_size"))
     last = F.greatest(F.size("_tokens") - 1 - F.lit(overlap), F.lit(0))
     starts = F.sequence(F.lit(1), last + 1, step)
     runs = F.transform(starts, lambda start: F.slice("_tokens", start, F.col("_size")))
@@ -50,8 +50,6 @@ def relevant_chunks(
 
     Only the best `k` rows of each task cross the shuffle.
     """
-    from pyspark.sql import Window
-
     if not isinstance(keywords, Column):
         keywords = F.array(*[F.lit(x) for x in keywords]).cast("array<string>")
     body = F.col(chunk)
@@ -63,7 +61,5 @@ def relevant_chunks(
     counts = F.transform(keywords, hits)
     total = F.aggregate(counts, F.lit(0), lambda acc, x: acc + x)
     best = Window.partitionBy(*by).orderBy(F.desc("hits"), "chunk_no")
-    return (
-        chunks.withColumn("hits", total).filter(F.col("hits") > 0)
-        .withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    )
+    ranked = chunks.withColumn("hits", total).withColumn("rank", F.row_number().over(best))
+    return ranked.filter((F.col("rank") <= k) & (F.col("hits") > 0))

@@ -173,10 +173,10 @@ def _score_pairs(pairs: DataFrame, rated: DataFrame, postings: DataFrame, doc: s
     """
     hot = hot_keys(pairs, [doc])
     wanted = _with_terms(
-        split_keys(pairs, hot, [doc], ["q_id"]), rated.select("q_id", "term", "idf"), "q_id", [doc], small
+        split_keys(pairs, hot, [doc], ["q_id"], "_piece"), rated.select("q_id", "term", "idf"), "q_id", [doc], small
     )
     return (
-        wanted.join(copy_keys(postings, hot, [doc]), [doc, "_sub", "term"])
+        wanted.join(copy_keys(postings, hot, [doc], "_piece"), [doc, "_piece", "term"])
         .groupBy("q_id", doc).agg(F.sum(_units(F.col("idf"), F.col("weight"))).alias("score"))
     )
 

@@ -22,22 +22,22 @@ def hot_keys(df: DataFrame, on: list[str], hot_rows: int | None = None) -> DataF
     return counts.select(*on, F.ceil(F.col("_n") / limit).cast("int").alias("_subs"))
 
 
-def split_keys(left: DataFrame, hot: DataFrame, on: list[str], by: list[str]) -> DataFrame:
-    """Add `_sub`: rows of a hot key are spread over its sub-keys by the `by` columns."""
+def split_keys(left: DataFrame, hot: DataFrame, on: list[str], by: list[str], sub: str = "_sub") -> DataFrame:
+    """Add `sub`: rows of a hot key are spread over its sub-keys by the `by` columns."""
     absent = F.lit(False)
     for key in on:
         absent = absent | F.col(key).isNull()
     subs = F.when(absent, NULL_SUBS).otherwise(F.coalesce("_subs", F.lit(1)))
     return (
-        left.join(F.broadcast(hot), on, "left").withColumn("_sub", F.pmod(F.xxhash64(*by), subs).cast("int"))
+        left.join(F.broadcast(hot), on, "left").withColumn(sub, F.pmod(F.xxhash64(*by), subs).cast("int"))
         .drop("_subs")
     )
 
 
-def copy_keys(right: DataFrame, hot: DataFrame, on: list[str]) -> DataFrame:
-    """Add `_sub`: rows of a hot key are copied to each of its sub-keys, others stay single."""
+def copy_keys(right: DataFrame, hot: DataFrame, on: list[str], sub: str = "_sub") -> DataFrame:
+    """Add `sub`: rows of a hot key are copied to each of its sub-keys, others stay single."""
     subs = F.sequence(F.lit(0), F.coalesce("_subs", F.lit(1)) - 1)
-    return right.join(F.broadcast(hot), on, "left").withColumn("_sub", F.explode(subs)).drop("_subs")
+    return right.join(F.broadcast(hot), on, "left").withColumn(sub, F.explode(subs)).drop("_subs")
 
 
 def spread_join(
