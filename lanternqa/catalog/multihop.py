@@ -26,7 +26,7 @@ def decompose_questions(spark, sf):
     turns = table(spark, sf, "conversations")
     after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("followup"))
     edges = turns.join(after, ["conv_id", "turn"]).select(F.col("text").alias("question"), "followup")
-    seeds = turns.filter("turn = 0").select(F.col("text").alias("root"))
+    seeds = turns.filter("turn = 0").select(F.col("text").alias("root"), F.col("text").alias("question"))
     return hops.decompose_questions(seeds, hops.table_followups(edges))
 
 

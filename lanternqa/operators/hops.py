@@ -28,12 +28,12 @@ def decompose_questions(
 ) -> DataFrame:
     """Questions reachable from each root: root, question, depth (the least one).
 
-    `seeds` is (root); `expand(level, reached)` gives (root, followup) for a
+    `seeds` is (root, question); `expand(level, reached)` gives (root, followup) for a
     level of questions. Each level is expanded once for all roots; pairs seen
     before are dropped, so shared and circular follow-ups are expanded once.
     Levels are written out to cut the lineage.
     """
-    level = seeds.select("root", F.col("root").alias("question"), F.lit(0).alias("depth")).distinct()
+    level = seeds.select("root", "question", F.lit(0).alias("depth")).distinct()
     level = materialize(level, "level-0")
     reached = level
     for depth in range(1, max_depth + 1):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
@@ -60,15 +63,38 @@ def _with_terms(rows: DataFrame, terms: DataFrame, on: str, by: list[str], small
     return spread_join(rows, terms, [on], by=by)
 
 
-def search_top_k(queries: DataFrame, corpus: DataFrame, k: int = 2, doc: str = "page_id") -> DataFrame:
-    """The `k` best texts for each question by BM25: q_id, rank, `doc`, score.
+def text_key(column: str) -> Column:
+    """A short key for a text; null for null."""
+    return F.unhex(F.md5(column))
 
-    `queries` is (q_id, question), `corpus` is (`doc`, text). Ties go to the
-    smaller `doc`. The matches are counted from the terms' statistics: if they
-    are few for the cores at hand, each is scored; else the pruned way, with
-    the same result, forms only a fraction of them.
+
+def per_question(queries: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Do `work` once per distinct question text and give its rows to all who ask it.
+
+    `work` sees (q_id, question) with a text key as q_id. Copies fold before
+    the shuffle; the way back splits a text that very many ask.
     """
-    terms = query_terms(queries).select("q_id", "term")
+    key = text_key("question")
+    once = queries.filter(F.col("question").isNotNull()).select(key.alias("q_id"), "question").distinct()
+    found = work(once).withColumnRenamed("q_id", "_text")
+    asked = queries.select("q_id", key.alias("_text"))
+    return spread_join(asked, found, ["_text"], by=["q_id"]).drop("_text")
+
+
+@dataclass
+class TermIndex:
+    """A corpus seen through the words of some questions."""
+
+    postings: DataFrame  # doc, term, weight
+    rated: DataFrame  # q_id, term, n, first_pos, surface, df, idf, most
+    n_docs: int
+    small: bool  # the question words were measured to fit a broadcast
+    doc: str
+
+
+def index_terms(queries: DataFrame, corpus: DataFrame, doc: str = "page_id") -> TermIndex:
+    """Read a corpus (`doc`, text) once for the words of (q_id, question), into written tables."""
+    terms = query_terms(queries)
     small = fits_broadcast(terms)
     n_docs, mean_len = _sizes(corpus)
     vocab = terms.select("term").distinct()
@@ -78,9 +104,30 @@ def search_top_k(queries: DataFrame, corpus: DataFrame, k: int = 2, doc: str = "
     idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     stats = stats.select("term", "df", idf.alias("idf"), _units(idf, F.col("top")).alias("most"))
     rated = materialize(_with_terms(terms, stats, "term", ["q_id"], small), "rated-terms")
+    return TermIndex(postings, rated, n_docs, small, doc)
+
+
+def search_top_k(queries: DataFrame, corpus: DataFrame, k: int = 2, doc: str = "page_id") -> DataFrame:
+    """The `k` best texts for each question by BM25: q_id, rank, `doc`, score.
+
+    `queries` is (q_id, question), `corpus` is (`doc`, text). Ties go to the
+    smaller `doc`. A question asked many times is searched once.
+    """
+    return per_question(queries, lambda once: search_index(index_terms(once, corpus, doc), k)).select(
+        "q_id", "rank", doc, "score"
+    )
+
 
+def search_index(index: TermIndex, k: int) -> DataFrame:
+    """The `k` best texts of each indexed question.
+
+    The matches are counted from the terms' statistics: if they are few for
+    the cores at hand, each is scored; else the pruned way, with the same
+    result, forms only a fraction of them.
+    """
+    postings, rated, doc, small = index.postings, index.rated, index.doc, index.small
     matches = rated.agg(F.sum("df").alias("n")).first()["n"] or 0
-    if matches <= DIRECT_MATCHES * queries.sparkSession.sparkContext.defaultParallelism:
+    if matches <= DIRECT_MATCHES * rated.sparkSession.sparkContext.defaultParallelism:
         scored = _score_terms(postings, rated, doc, small)
     else:
         scored = _score_pruned(postings, rated, k, doc, small)
@@ -116,7 +163,7 @@ def _score_pruned(postings: DataFrame, rated: DataFrame, k: int, doc: str, small
 
     light = Window.partitionBy("q_id").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)
     split = (
-        rated.join(bound, "q_id", "left")
+        rated.select("q_id", "term", "idf", "most").join(bound, "q_id", "left")
         .withColumn("bound", F.coalesce("bound", F.lit(0)))
         .withColumn("upto", F.sum("most").over(light))
         .withColumn("essential", F.col("upto") >= F.col("bound"))
@@ -249,7 +296,15 @@ def create_keywords(questions: DataFrame, corpus: DataFrame, k: int = 3, doc: st
     if small:
         exploded = exploded.join(F.broadcast(vocab), "term", "left_semi")
     counts = exploded.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rated = _with_terms(terms, counts, "term", ["q_id"], small)
+    return _best_keywords(_with_terms(terms, counts, "term", ["q_id"], small), n_docs, k)
+
+
+def index_keywords(index: TermIndex, k: int = 3) -> DataFrame:
+    """The same keywords from an index already built; the corpus is not read again."""
+    return _best_keywords(index.rated, F.lit(index.n_docs), k)
+
+
+def _best_keywords(rated: DataFrame, n_docs: Column, k: int) -> DataFrame:
     score = F.round(F.col("n") * F.log(1 + n_docs / F.col("df")) * UNITS).cast("long")
     best = Window.partitionBy("q_id").orderBy(F.desc("score"), "first_pos")
     return (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,9 @@ from lanternqa.functions import text as tx
 from lanternqa.operators.hops import MAX_DEPTH, decompose_questions
 from lanternqa.operators.inference import Complete, complete_batch
 from lanternqa.operators.readers import best_piece, sentence_questions
-from lanternqa.plans.gather import MODEL_LIMIT, evidence_windows, gather_info, relevant_information
+from lanternqa.operators.retrieval import per_question, text_key
+from lanternqa.operators.spread import spread_join
+from lanternqa.plans.gather import MODEL_LIMIT, evidence_windows, gather_distinct, relevant_information
 from lanternqa.session import materialize
 
 Model = Callable[[], Complete]
@@ -24,7 +27,7 @@ def ask_followups(model: Model) -> Callable[[DataFrame, DataFrame], DataFrame]:
     def expand(level: DataFrame, reached: DataFrame) -> DataFrame:
         before = F.array_sort(F.collect_list(F.struct("depth", "question")))
         asked = reached.groupBy("root").agg(F.transform(before, lambda x: x["question"]).alias("asked"))
-        todo = level.join(asked, "root").select(
+        todo = spread_join(level, asked, ["root"], by=["question"]).select(
             "root", "question", prompts.followup_context(F.col("question"), F.col("asked")).alias("prompt")
         )
         told = complete_batch(todo, "prompt", model, by=["root", "question"])
@@ -42,32 +45,35 @@ def answer_question(
 ) -> DataFrame:
     """Split each question into its parts, gather on every part, answer from all: q_id, answer.
 
-    A part that several questions share is searched once.
+    Copies of a question are answered once, and a part that several questions
+    share is searched once.
     """
     reader = reader or best_piece("relevant_information", "---")
     answerer = answerer or best_piece("answer", ". ")
-    roots = questions.select(F.col("question").alias("root")).distinct()
-    parts = decompose_questions(roots, ask_followups(planner), max_depth).select(
-        "root", "question", F.sha2("question", 256).alias("q_id")
-    )
-    asked = parts.select("q_id", "question").distinct()
-    windows = materialize(evidence_windows(asked, texts, k, n, n_keywords, " "), "windows")
-    told = parts.join(windows, "q_id", "left").groupBy("root").agg(
-        F.array_sort(F.collect_list(F.struct("question", F.coalesce("windows", F.lit("")).alias("w")))).alias("p")
-    )
-    evidence = told.select(
-        "root",
-        F.array_join(F.transform("p", lambda x: x["question"]), " ").alias("question"),
-        F.array_join(F.transform("p", lambda x: x["w"]), "").alias("text"),
-    )
-    found = relevant_information(materialize(evidence, "evidence"), ["root"], reader)
-    known = roots.join(found, "root", "left").withColumn("information", F.coalesce("information", F.lit("")))
-    bare = prompts.render_prompt(prompts.ANSWER, F.col("root"), F.lit(""))
-    fitted = prompts.truncate_to_budget(bare, F.col("information"), MODEL_LIMIT)
-    final = known.select("root", prompts.render_prompt(prompts.ANSWER, F.col("root"), fitted).alias("prompt"))
-    answered = complete_batch(materialize(final, "answer-prompts"), "prompt", answerer, by=["root"])
-    answers = answered.select("root", replies.parse_reply(F.col("reply"), replies.ANSWER)["answer"].alias("answer"))
-    return questions.select("q_id", F.col("question").alias("root")).join(answers, "root").select("q_id", "answer")
+
+    def work(once: DataFrame) -> DataFrame:
+        roots = once.withColumnRenamed("q_id", "root")
+        parts = decompose_questions(roots, ask_followups(planner), max_depth).select(
+            "root", "question", text_key("question").alias("q_id")
+        )
+        windows = evidence_windows(parts.select("q_id", "question").distinct(), texts, k, n, n_keywords, " ")
+        found = spread_join(parts, materialize(windows, "windows"), ["q_id"], "left", by=["root"])
+        in_order = F.array_sort(F.collect_list(F.struct("question", F.coalesce("windows", F.lit("")).alias("w"))))
+        evidence = found.groupBy("root").agg(in_order.alias("p")).select(
+            "root",
+            F.array_join(F.transform("p", lambda x: x["question"]), " ").alias("question"),
+            F.array_join(F.transform("p", lambda x: x["w"]), "").alias("text"),
+        )
+        told = relevant_information(materialize(evidence, "evidence"), ["root"], reader)
+        known = roots.join(told, "root", "left").withColumn("information", F.coalesce("information", F.lit("")))
+        bare = prompts.render_prompt(prompts.ANSWER, F.col("question"), F.lit(""))
+        fitted = prompts.truncate_to_budget(bare, F.col("information"), MODEL_LIMIT)
+        final = known.select("root", prompts.render_prompt(prompts.ANSWER, F.col("question"), fitted).alias("prompt"))
+        answered = complete_batch(materialize(final, "answer-prompts"), "prompt", answerer, by=["root"])
+        answer = replies.parse_reply(F.col("reply"), replies.ANSWER)["answer"]
+        return answered.select(F.col("root").alias("q_id"), answer.alias("answer"))
+
+    return per_question(questions, work).select("q_id", "answer")
 
 
 def multi_hop_answer(
@@ -76,50 +82,48 @@ def multi_hop_answer(
 ) -> DataFrame:
     """Let the model ask follow-ups until it answers: q_id, answer, hops.
 
-    All open questions advance together, one batch per hop. A hop ends in a
-    written table, so no hop is ever run twice and the plan stays short.
-    Questions that stop asking leave the batch; after `max_hops` the rest are
-    made to answer.
+    All open questions advance together, one batch per hop; copies of a
+    question are one. A hop ends in a written table, so no hop is ever run
+    twice and the plan stays short. Questions that stop asking leave the
+    batch; after `max_hops` the rest are made to answer.
     """
 
     def ask(state: DataFrame, stops: str | list[str]) -> DataFrame:
         told = complete_batch(state, "prompt", reasoner, out="response", by=["q_id"])
         return told.withColumn("response", tx.truncate_at_stop(F.coalesce("response", F.lit("")), stops))
 
-    start = questions.select("q_id", prompts.few_shot_prompt(F.col("question"), examples).alias("prompt"))
-    state = materialize(ask(start, tx.INTERMEDIATE), "hop-0")
-    finished = []
-    hop = 0
-    while True:
-        asks = tx.followup_question(F.col("response"))
-        finished.append(state.filter(asks.isNull()).withColumn("hops", F.lit(hop)))
-        state = state.filter(asks.isNotNull())
-        if hop == max_hops or state.isEmpty():
-            finished.append(state.withColumn("hops", F.lit(hop)))
-            break
-        hop += 1
-        open_questions = materialize(state.withColumn("question", asks), f"hop-{hop}-questions")
-        distinct = open_questions.select("question").distinct().withColumn("q_id", F.sha2("question", 256))
-        info = gather_info(distinct, texts, reader, k, n, n_keywords).withColumnRenamed("q_id", "part_id")
-        grown = (
-            open_questions.withColumn("part_id", F.sha2("question", 256)).join(info, "part_id", "left")
-            .select(
-                "q_id",
-                F.concat(
-                    "prompt", "response", F.lit("\n" + tx.INTERMEDIATE + " "), F.coalesce("information", F.lit(""))
-                ).alias("prompt"),
-            )
+    def gather(state: DataFrame, hop: int) -> DataFrame:
+        """Prompts grown by what the corpus says on each row's follow-up; an equal follow-up is gathered once."""
+        asked = materialize(state.withColumn("part", text_key("question")), f"hop-{hop}-questions")
+        once = asked.select(F.col("part").alias("q_id"), "question").distinct()
+        info = gather_distinct(once, texts, reader, k, n, n_keywords).withColumnRenamed("q_id", "part")
+        finding = F.concat(F.lit("\n" + tx.INTERMEDIATE + " "), F.coalesce("information", F.lit("")))
+        grown = spread_join(asked, info, ["part"], "left", by=["q_id"])
+        return materialize(
+            grown.select("q_id", F.concat("prompt", "response", finding).alias("prompt")), f"hop-{hop}-prompts"
         )
-        grown = materialize(grown, f"hop-{hop}-prompts")
-        state = materialize(ask(grown, tx.INTERMEDIATE), f"hop-{hop}")
-
-    ended = finished[0]
-    for part in finished[1:]:
-        ended = ended.unionByName(part)
-    concluded = F.contains(F.col("response"), F.lit(tx.FINAL.rstrip()))
-    said = ended.filter(concluded).select("q_id", "hops", "response")
-    forced = ended.filter(~concluded).select(
-        "q_id", "hops", F.concat("prompt", F.lit("\n" + tx.FINAL)).alias("prompt")
-    )
-    forced = ask(forced, "\n").select("q_id", "hops", "response")
-    return said.unionByName(forced).select("q_id", tx.final_answer(F.col("response")).alias("answer"), "hops")
+
+    def work(once: DataFrame) -> DataFrame:
+        start = once.select("q_id", prompts.few_shot_prompt(F.col("question"), examples).alias("prompt"))
+        state = materialize(ask(start, tx.INTERMEDIATE), "hop-0")
+        finished = []
+        for hop in range(max_hops + 1):
+            followup = tx.followup_question(F.col("response"))
+            finished.append(state.filter(followup.isNull()).withColumn("hops", F.lit(hop)))
+            state = state.filter(followup.isNotNull())
+            if hop == max_hops or state.isEmpty():
+                finished.append(state.withColumn("hops", F.lit(hop)))
+                break
+            grown = gather(state.withColumn("question", followup), hop + 1)
+            state = materialize(ask(grown, tx.INTERMEDIATE), f"hop-{hop + 1}")
+
+        ended = reduce(DataFrame.unionByName, finished)
+        concluded = F.contains(F.col("response"), F.lit(tx.FINAL.rstrip()))
+        said = ended.filter(concluded).select("q_id", "hops", "response")
+        forced = ended.filter(~concluded).select(
+            "q_id", "hops", F.concat("prompt", F.lit("\n" + tx.FINAL)).alias("prompt")
+        )
+        forced = ask(forced, "\n").select("q_id", "hops", "response")
+        return said.unionByName(forced).select("q_id", tx.final_answer(F.col("response")).alias("answer"), "hops")
+
+    return per_question(questions, work).select("q_id", "answer", "hops")

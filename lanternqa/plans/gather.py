@@ -12,7 +12,9 @@ from lanternqa.functions import text as tx
 from lanternqa.operators.chunks import token_chunks
 from lanternqa.operators.inference import Complete, complete_batch
 from lanternqa.operators.readers import best_piece
-from lanternqa.operators.retrieval import create_keywords, distinct_join, join_pages, keyword_lists, search_top_k
+from lanternqa.operators.retrieval import (
+    distinct_join, index_keywords, index_terms, join_pages, keyword_lists, per_question, search_index,
+)
 from lanternqa.session import materialize
 
 MODEL_LIMIT = 4096
@@ -24,11 +26,13 @@ def evidence_windows(
 ) -> DataFrame:
     """Keyword windows over each question's best pages: q_id, windows.
 
-    Page text meets only the questions it was found for, and the windows of a
-    question are cut and joined inside one row.
+    The corpus is read once for search and keywords together. Page text meets
+    only the questions it was found for, and the windows of a question are cut
+    and joined inside one row.
     """
-    hits = materialize(search_top_k(questions, texts, k), "hits")
-    keywords = keyword_lists(create_keywords(questions, texts, n_keywords))
+    index = index_terms(questions, texts)
+    hits = materialize(search_index(index, k), "hits")
+    keywords = keyword_lists(index_keywords(index, n_keywords))
     found = join_pages(hits, texts).join(keywords, "q_id")
     windows = tx.keyword_windows(F.col("page_text"), F.col("keywords"), n)
     return found.select("q_id", tx.merge_windows(windows, sep).alias("windows"))
@@ -54,14 +58,24 @@ def relevant_information(
     return distinct_join(found, key, "information")
 
 
-def gather_info(
+def gather_distinct(
     questions: DataFrame, texts: DataFrame, model: Callable[[], Complete] | None = None, k: int = 2, n: int = 100,
     n_keywords: int = 3,
 ) -> DataFrame:
-    """What the corpus says on each question: q_id, information. Questions without evidence have no row."""
+    """`gather_info` for questions already known to differ."""
     model = model or best_piece("relevant_information", WINDOW_SEP)
     windows = evidence_windows(questions, texts, k, n, n_keywords)
-    evidence = materialize(
-        questions.select("q_id", "question").join(windows.withColumnRenamed("windows", "text"), "q_id"), "evidence"
-    )
+    evidence = materialize(questions.join(windows.withColumnRenamed("windows", "text"), "q_id"), "evidence")
     return relevant_information(evidence, ["q_id"], model)
+
+
+def gather_info(
+    questions: DataFrame, texts: DataFrame, model: Callable[[], Complete] | None = None, k: int = 2, n: int = 100,
+    n_keywords: int = 3,
+) -> DataFrame:
+    """What the corpus (page_id, text) says on each question (q_id, question): q_id, information.
+
+    Questions without evidence have no row. Copies of a question are searched,
+    cut and put to the model once.
+    """
+    return per_question(questions, lambda once: gather_distinct(once, texts, model, k, n, n_keywords))
