@@ -41,20 +41,19 @@ def query_terms(queries: DataFrame, question: str = "question") -> DataFrame:
 
 
 def _restrict(exploded: DataFrame, vocab: DataFrame, keys: list[str], small: bool) -> DataFrame:
-    """Count each (keys, term) for the wanted terms only.
+    """Count each (keys, term_id) for the wanted terms (term, term_id) only.
 
     A vocabulary that was measured small filters the words before they are
     counted and shuffled. A large one is copied to a fixed number of sub-terms
     and joined after counting, so a term that fills most texts is split.
     """
+    tf = F.count(F.lit(1)).alias("tf")
     if small:
-        return exploded.join(F.broadcast(vocab), "term", "left_semi").groupBy(*keys, "term").agg(
-            F.count(F.lit(1)).alias("tf")
-        )
-    counted = exploded.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
+        return exploded.join(F.broadcast(vocab), "term").groupBy(*keys, "term_id").agg(tf)
     subs = F.explode(F.sequence(F.lit(0), F.lit(SUB_TERMS - 1)))
+    counted = exploded.groupBy(*keys, "term").agg(tf)
     split = counted.withColumn("_sub", F.pmod(F.xxhash64(*keys), F.lit(SUB_TERMS)).cast("int"))
-    return split.join(vocab.withColumn("_sub", subs), ["term", "_sub"]).drop("_sub")
+    return split.join(vocab.withColumn("_sub", subs), ["term", "_sub"]).drop("term", "_sub")
 
 
 def _with_terms(rows: DataFrame, terms: DataFrame, on: str, by: list[str], small: bool) -> DataFrame:
@@ -85,8 +84,8 @@ def per_question(queries: DataFrame, work: Callable[[DataFrame], DataFrame]) ->
 class TermIndex:
     """A corpus seen through the words of some questions."""
 
-    postings: DataFrame  # doc, term, weight
-    rated: DataFrame  # q_id, term, n, first_pos, surface, df, idf, most
+    postings: DataFrame  # doc, term_id, weight
+    rated: DataFrame  # q_id, term_id, n, first_pos, surface, df, idf, most
     n_docs: int
     small: bool  # the question words were measured to fit a broadcast
     doc: str
@@ -97,13 +96,18 @@ def index_terms(queries: DataFrame, corpus: DataFrame, doc: str = "page_id") ->
     terms = query_terms(queries)
     small = fits_broadcast(terms)
     n_docs, mean_len = _sizes(corpus)
-    vocab = terms.select("term").distinct()
+    # written, since the ids would differ from one computation to the next
+    vocab = materialize(
+        terms.select("term").distinct().withColumn("term_id", F.monotonically_increasing_id()), "vocabulary"
+    )
     postings = materialize(_postings(vocab, corpus, doc, mean_len, small), "postings")
 
-    stats = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("weight").alias("top"))
+    stats = postings.groupBy("term_id").agg(F.count(F.lit(1)).alias("df"), F.max("weight").alias("top"))
     idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    stats = stats.select("term", "df", idf.alias("idf"), _units(idf, F.col("top")).alias("most"))
-    rated = materialize(_with_terms(terms, stats, "term", ["q_id"], small), "rated-terms")
+    stats = vocab.join(stats, "term_id").select(
+        "term", "term_id", "df", idf.alias("idf"), _units(idf, F.col("top")).alias("most")
+    )
+    rated = materialize(_with_terms(terms, stats, "term", ["q_id"], small).drop("term"), "rated-terms")
     return TermIndex(postings, rated, n_docs, small, doc)
 
 
@@ -150,20 +154,21 @@ def _score_pruned(postings: DataFrame, rated: DataFrame, k: int, doc: str, small
 
     Each step ends in a written table that the next ones read.
     """
-    ranked = Window.partitionBy("term").orderBy(F.desc("weight"), doc)
+    ranked = Window.partitionBy("term_id").orderBy(F.desc("weight"), doc)
     leaders = postings.withColumn("pos", F.row_number().over(ranked)).filter(F.col("pos") <= k)
-    heavy = Window.partitionBy("q_id").orderBy(F.desc("most"), "term")
+    heavy = Window.partitionBy("q_id").orderBy(F.desc("most"), "term_id")
     lead = rated.withColumn("pos", F.row_number().over(heavy)).filter(F.col("pos") <= SEED_TERMS)
-    seeds = spread_join(lead.select("q_id", "term"), leaders.select("term", doc), ["term"], by=["q_id"])
-    seeds = _score_pairs(materialize(seeds.select("q_id", doc).distinct(), "seeds"), rated, postings, doc, small)
+    seeds = spread_join(lead.select("q_id", "term_id"), leaders.select("term_id", doc), ["term_id"], by=["q_id"])
+    seeds = materialize(seeds.select("q_id", doc).distinct(), "seeds")
+    seeds = _add_terms(seeds.withColumn("score", F.lit(0).cast("long")), rated, postings, doc, small)
     bound = (
         seeds.withColumn("pos", F.row_number().over(_best_first(doc))).filter(F.col("pos") == k)
         .select("q_id", F.col("score").alias("bound"))
     )
 
-    light = Window.partitionBy("q_id").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)
+    light = Window.partitionBy("q_id").orderBy("most", "term_id").rowsBetween(Window.unboundedPreceding, 0)
     split = (
-        rated.select("q_id", "term", "idf", "most").join(bound, "q_id", "left")
+        rated.select("q_id", "term_id", "idf", "most").join(bound, "q_id", "left")
         .withColumn("bound", F.coalesce("bound", F.lit(0)))
         .withColumn("upto", F.sum("most").over(light))
         .withColumn("essential", F.col("upto") >= F.col("bound"))
@@ -179,8 +184,7 @@ def _score_pruned(postings: DataFrame, rated: DataFrame, k: int, doc: str, small
         .filter(F.col("score") + F.col("spare") >= F.col("bound")).select("q_id", doc, "score")
     )
     live = materialize(live, "candidates")
-    more = _score_pairs(live.select("q_id", doc), split.filter("NOT essential"), postings, doc, small)
-    return live.unionByName(more).groupBy("q_id", doc).agg(F.sum("score").alias("score"))
+    return _add_terms(live, split.filter("NOT essential"), postings, doc, small)
 
 
 def _best_first(doc: str) -> WindowSpec:
@@ -189,7 +193,7 @@ def _best_first(doc: str) -> WindowSpec:
 
 def _score_terms(postings: DataFrame, rated: DataFrame, doc: str, small: bool) -> DataFrame:
     """Add up the given terms' contributions for every text that holds one."""
-    matched = _with_terms(postings, rated.select("q_id", "term", "idf"), "term", [doc], small)
+    matched = _with_terms(postings, rated.select("q_id", "term_id", "idf"), "term_id", [doc], small)
     return matched.groupBy("q_id", doc).agg(F.sum(_units(F.col("idf"), F.col("weight"))).alias("score"))
 
 
@@ -201,31 +205,44 @@ def _sizes(corpus: DataFrame) -> tuple[int, float]:
 
 
 def _postings(vocab: DataFrame, corpus: DataFrame, doc: str, mean_len: float, small: bool) -> DataFrame:
-    """`doc`, term, weight: BM25's term-frequency part for the wanted terms."""
+    """`doc`, term_id, weight: BM25's term-frequency part for the wanted terms."""
     cut = corpus.filter(F.col(doc).isNotNull()).select(doc, words(F.col("text")).alias("ws"))
     exploded = cut.select(doc, F.size("ws").alias("dl"), F.explode("ws").alias("term"))
     tf = F.col("tf")
     weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / mean_len))
-    return _restrict(exploded, vocab, [doc, "dl"], small).select(doc, "term", weight.alias("weight"))
+    return _restrict(exploded, vocab, [doc, "dl"], small).select(doc, "term_id", weight.alias("weight"))
 
 
 def _units(idf: Column, weight: Column) -> Column:
-    return F.round(idf * weight * UNITS).cast("long")
+    return F.floor(idf * weight * UNITS + 0.5)
 
 
-def _score_pairs(pairs: DataFrame, rated: DataFrame, postings: DataFrame, doc: str, small: bool) -> DataFrame:
-    """Add up the given terms' contributions for given (q_id, doc) pairs.
+def _add_terms(pairs: DataFrame, rated: DataFrame, postings: DataFrame, doc: str, small: bool) -> DataFrame:
+    """Add the given terms' contributions to the score of each (q_id, doc, score).
 
-    A text wanted by very many questions is split by question.
+    A text's weights for these terms come to its pairs as one map and meet the
+    question's map inside the row, so pairs are never multiplied by terms. A
+    text wanted by very many questions is split by question.
     """
-    hot = hot_keys(pairs, [doc])
-    wanted = _with_terms(
-        split_keys(pairs, hot, [doc], ["q_id"], "_piece"), rated.select("q_id", "term", "idf"), "q_id", [doc], small
-    )
-    return (
-        wanted.join(copy_keys(postings, hot, [doc], "_piece"), [doc, "_piece", "term"])
-        .groupBy("q_id", doc).agg(F.sum(_units(F.col("idf"), F.col("weight"))).alias("score"))
+    vocab = rated.select("term_id").distinct()
+    wanted = (
+        postings.join(F.broadcast(vocab), "term_id", "left_semi") if small
+        else spread_join(postings, vocab, ["term_id"], by=[doc])
     )
+    entries = F.map_from_entries(F.collect_list(F.struct("term_id", "weight")))
+    texts = wanted.groupBy(doc).agg(entries.alias("_weights"))
+    asked = rated.groupBy("q_id").agg(F.map_from_entries(F.collect_list(F.struct("term_id", "idf"))).alias("_idfs"))
+    if small:
+        both = spread_join(pairs, texts, [doc], "left", by=["q_id"]).join(F.broadcast(asked), "q_id", "left")
+    else:
+        mapped = spread_join(pairs, asked, ["q_id"], "left", by=[doc])
+        hot = hot_keys(pairs, [doc])
+        both = split_keys(mapped, hot, [doc], ["q_id"], "_piece").join(
+            copy_keys(texts, hot, [doc], "_piece"), [doc, "_piece"], "left"
+        )
+    each = F.map_zip_with("_idfs", "_weights", lambda _, idf, weight: F.coalesce(_units(idf, weight), F.lit(0)))
+    more = F.aggregate(F.map_values(each), F.lit(0).cast("long"), lambda total, x: total + x)
+    return both.select("q_id", doc, (F.col("score") + F.coalesce(more, F.lit(0))).alias("score"))
 
 
 def on_site(url: Column, site: str) -> Column:

@@ -79,7 +79,7 @@ def test_pruning_forms_fewer_candidates(spark, monkeypatch):
     monkeypatch.setattr(rt, "materialize", watch)
     monkeypatch.setattr(rt, "DIRECT_MATCHES", 0)
     run(queries, docs, 1)
-    pairs = seen["postings"].join(seen["rated-terms"], "term").select("q_id", "doc_id").distinct().count()
+    pairs = seen["postings"].join(seen["rated-terms"], "term_id").select("q_id", "doc_id").distinct().count()
     assert seen["candidates"].count() < pairs
 
 
