@@ -25,6 +25,8 @@ SUB_TERMS = 64
 SEED_TERMS = 8
 # Up to this many (question, term, text) matches a core, all are scored at once.
 DIRECT_MATCHES = 2_000_000
+# Largest product of two maps' sizes that is joined by looking up each key.
+LOOKUP_CELLS = 10_000
 
 
 def query_terms(queries: DataFrame, question: str = "question") -> DataFrame:
@@ -240,8 +242,15 @@ def _add_terms(pairs: DataFrame, rated: DataFrame, postings: DataFrame, doc: str
         both = split_keys(mapped, hot, [doc], ["q_id"], "_piece").join(
             copy_keys(texts, hot, [doc], "_piece"), [doc, "_piece"], "left"
         )
-    each = F.map_zip_with("_idfs", "_weights", lambda _, idf, weight: F.coalesce(_units(idf, weight), F.lit(0)))
-    more = F.aggregate(F.map_values(each), F.lit(0).cast("long"), lambda total, x: total + x)
+    zero = F.lit(0).cast("long")
+    looked_up = F.aggregate(
+        F.map_entries("_idfs"), zero,
+        lambda total, e: total + F.coalesce(_units(e["value"], F.try_element_at("_weights", e["key"])), F.lit(0)),
+    )
+    zipped = F.map_zip_with("_idfs", "_weights", lambda _, idf, weight: F.coalesce(_units(idf, weight), F.lit(0)))
+    hashed = F.aggregate(F.map_values(zipped), zero, lambda total, x: total + x)
+    # a look-up reads a small map faster than hashing both; large ones are hashed
+    more = F.when(F.size("_idfs") * F.size("_weights") <= LOOKUP_CELLS, looked_up).otherwise(hashed)
     return both.select("q_id", doc, (F.col("score") + F.coalesce(more, F.lit(0))).alias("score"))
 
 

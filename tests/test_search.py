@@ -56,6 +56,7 @@ def test_every_path_finds_the_same(spark, hot_case, monkeypatch, path, k):
     if "nothing small" in path:
         monkeypatch.setattr(rt, "fits_broadcast", lambda df: False)
         monkeypatch.setattr("lanternqa.operators.spread.HOT_ROWS", 5)
+        monkeypatch.setattr(rt, "LOOKUP_CELLS", 0)
     asked, corpus, queries, docs = hot_case
     assert run(queries, docs, k) == slow_search(asked, corpus, k)
 
