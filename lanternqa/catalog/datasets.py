@@ -31,7 +31,8 @@ def add_result_columns(spark, sf):
   SELECT doc_id, regexp_extract_all(text, '[^ \t\n\r\f\x0B]+')[1:2048] AS tk FROM documents),
 b AS (SELECT doc_id, len(tk) AS n_tokens, array_to_string(tk, ' ') AS text, len(tk) // 64 AS bucket FROM t)
 SELECT doc_id, n_tokens, text, bucket,
-  (row_number() OVER (PARTITION BY bucket ORDER BY doc_id) - 1) // 4 AS batch_no FROM b"""
+  (row_number() OVER (PARTITION BY bucket ORDER BY doc_id) - 1) // 4 AS batch_no FROM b""",
+    ints=('n_tokens',),
 )
 def length_buckets(spark, sf):
     return ds.length_buckets(documents(spark, sf).select("doc_id", "text"), "text", "doc_id")

@@ -49,12 +49,12 @@ SELECT doc_id, chunk_no, len(tk[chunk_no * {step} + 1 : chunk_no * {step} + {siz
   array_to_string(tk[chunk_no * {step} + 1 : chunk_no * {step} + {size}], ' ') AS chunk FROM c"""
 
 
-@query(_chunks_sql(128, 0))
+@query(_chunks_sql(128, 0), ints=('chunk_no', 'n_tokens'))
 def token_chunks(spark, sf):
     return ch.token_chunks(documents(spark, sf), "text", 128, keep=["doc_id"])
 
 
-@query(_chunks_sql(96, 32))
+@query(_chunks_sql(96, 32), ints=('chunk_no', 'n_tokens'))
 def token_chunks_overlap(spark, sf):
     return ch.token_chunks(documents(spark, sf), "text", 96, overlap=32, keep=["doc_id"])
 
@@ -64,7 +64,8 @@ _HEAD, _MID, _TAIL = pr.RELEVANCE.partition("{1}")[0], *pr.RELEVANCE.partition("
 
 @query(
     f"""SELECT item_id,
-  greatest(512 - length({quoted(_HEAD)} || text || {quoted(_MID + _TAIL)}) - 1, 1) AS budget FROM benchmark"""
+  greatest(512 - length({quoted(_HEAD)} || text || {quoted(_MID + _TAIL)}) - 1, 1) AS budget FROM benchmark""",
+    ints=('budget',),
 )
 def chunk_budget(spark, sf):
     prompt = pr.render_prompt(pr.RELEVANCE, F.col("text"), F.lit(""))
@@ -81,7 +82,7 @@ def _windows_sql(n: int) -> str:
 windows AS (SELECT doc_id, kw_no, keyword, unnest(range(len(ws))) AS match_no, unnest(ws) AS "window" FROM w)"""
 
 
-@query(f"WITH {_windows_sql(100)} SELECT * FROM windows")
+@query(f"WITH {_windows_sql(100)} SELECT * FROM windows", ints=('match_no',))
 def keyword_windows(spark, sf):
     return ch.keyword_windows(documents(spark, sf), "text", KEYWORDS, 100, keep=["doc_id"])
 
@@ -153,7 +154,8 @@ _HITS = " + ".join(
     f"""WITH chunked AS ({_chunks_sql(128, 0)}),
 scored AS (SELECT doc_id, chunk_no, n_tokens, chunk, {_HITS} AS hits FROM chunked),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, chunk_no) AS rank FROM scored WHERE hits > 0)
-SELECT * FROM ranked WHERE rank <= 2"""
+SELECT * FROM ranked WHERE rank <= 2""",
+    ints=('chunk_no', 'n_tokens', 'rank'),
 )
 def relevant_chunks(spark, sf):
     chunks = ch.token_chunks(documents(spark, sf), "text", 128, keep=["doc_id"])

@@ -1,4 +1,4 @@
-"""Integer key mixing that any SQL engine can repeat."""
+"""Text keys, and integer key mixing that any SQL engine can repeat."""
 
 from __future__ import annotations
 
@@ -10,6 +10,11 @@ MASK = 0xFFFFFFFF
 MULTIPLIER = 0x45D9F3B
 
 
+def text_key(column: str) -> Column:
+    """A 16-byte key for a text; null for null."""
+    return F.unhex(F.md5(column))
+
+
 def mix(key: Column, seed: int = 0) -> Column:
     """Spread an integer key evenly over 0 .. 2^32-1, alike on every run."""
     x = key.cast("long").bitwiseXOR(F.lit(seed).cast("long"))

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lanternqa.functions.hashing import text_key
 from lanternqa.operators.spread import spread_join
 from lanternqa.session import materialize
 
@@ -48,12 +49,12 @@ def complete_batch(
     width = partitions or max(
         spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
     )
-    keyed = df.withColumn("_key", F.sha2(F.col(prompt), 256))
+    keyed = df.withColumn("_key", text_key(prompt))
     todo = (
         keyed.filter(F.col(prompt).isNotNull())
         .select("_key", F.col(prompt).alias("_prompt")).distinct().repartition(width, "_key")
     )
-    done = materialize(todo.mapInPandas(run, f"_key string, `{out}` string"), "completions")
+    done = materialize(todo.mapInPandas(run, f"_key binary, `{out}` string"), "completions")
     return spread_join(keyed, done, ["_key"], "left", by).drop("_key")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from lanternqa.functions.hashing import text_key
 from lanternqa.functions.text import WORD, words
 from lanternqa.operators.spread import copy_keys, hot_keys, split_keys, spread_join
 from lanternqa.session import fits_broadcast, materialize
@@ -64,11 +65,6 @@ def _with_terms(rows: DataFrame, terms: DataFrame, on: str, by: list[str], small
     return spread_join(rows, terms, [on], by=by)
 
 
-def text_key(column: str) -> Column:
-    """A short key for a text; null for null."""
-    return F.unhex(F.md5(column))
-
-
 def per_question(queries: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Do `work` once per distinct question text and give its rows to all who ask it.
 

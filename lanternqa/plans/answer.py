@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from lanternqa.functions import prompts, replies
 from lanternqa.functions import text as tx
+from lanternqa.functions.hashing import text_key
 from lanternqa.operators.hops import MAX_DEPTH, decompose_questions
 from lanternqa.operators.inference import Complete, complete_batch
 from lanternqa.operators.readers import best_piece, sentence_questions
-from lanternqa.operators.retrieval import per_question, text_key
+from lanternqa.operators.retrieval import per_question
 from lanternqa.operators.spread import spread_join
 from lanternqa.plans.gather import MODEL_LIMIT, evidence_windows, gather_distinct, relevant_information
 from lanternqa.session import materialize
