@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from lanternqa.catalog.registry import exchanges, query, table
 from lanternqa.functions import similarity as sm
+from lanternqa.operators import readers
 from lanternqa.operators import scoring as sc
+from lanternqa.plans import evaluate as ev
 from lanternqa.session import fan_out
 
 _PARTS = "parts AS (SELECT p_partkey, p_brand, p_name || ' ' || p_type AS a, p_brand || ' ' || p_name AS b FROM part)"
@@ -119,6 +121,30 @@ def compare_models(spark, sf):
     return sc.compare_models(base, tuned, ["p_partkey"])
 
 
+@query(
+    f"""WITH RECURSIVE {_PARTS}, {_SORTED}, {lcs_sql('sorted')}
+SELECT p.p_partkey, p.a AS llm_response, score AS similarity_score
+FROM parts p JOIN sorted s USING (p_partkey) JOIN ratio r ON r.a = s.a AND r.b = s.b"""
+)
+def evaluate_model(spark, sf):
+    rows = _parts(spark, sf).select("p_partkey", F.col("a").alias("prompt"), F.col("b").alias("response"))
+    scored = ev.evaluate_model(rows, ["p_partkey"], readers.echo_turn)
+    return scored.select("p_partkey", "llm_response", "similarity_score")
+
+
+@query(
+    f"""WITH RECURSIVE {_OPTIONS}, {_set_sql('options', 'p_partkey')}, {lcs_sql('three')},
+best AS (SELECT p_partkey, max(score) AS token_set_ratio FROM three JOIN ratio USING (a, b) GROUP BY p_partkey)
+SELECT p_partkey, p_brand AS question, p_name AS answer, p_brand || ' ' || p_type || ' ' || p_name AS dataset_answers,
+  token_set_ratio FROM part JOIN best USING (p_partkey)"""
+)
+def evaluate_answers(spark, sf):
+    parts = _parts(spark, sf)
+    gold = F.array("p_brand", F.concat("p_type", F.lit(" "), "p_name"))
+    qa = parts.select("p_partkey", F.col("p_brand").alias("question"), gold.alias("answers"))
+    return ev.evaluate_answers(qa, parts.select("p_partkey", F.col("p_name").alias("answer")), "p_partkey")
+
+
 @query()
 def exchange_scores(spark, sf):
     """Both token scores of every prompt and response at full length; SQL is too slow for these."""

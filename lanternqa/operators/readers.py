@@ -116,3 +116,13 @@ def sentence_hops(rounds: int = 2):
         return complete
 
     return factory
+
+
+def echo_turn():
+    """Answer a chat turn with its own question: the whole turn, as a generator returns it."""
+
+    def complete(prompt: str) -> str:
+        question = prompt.removeprefix("<s>[INST] ").removesuffix(" [/INST]")
+        return f"{prompt} {question}\n"
+
+    return complete

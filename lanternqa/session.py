@@ -23,8 +23,6 @@ def local_session(cpus: int | str = 8, name: str = "lanternqa") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
-        .config("spark.driver.extraJavaOptions", "-Xss8m")
-        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="lanternqa-"))
         .getOrCreate()
     )
 

@@ -76,3 +76,13 @@ def test_hand_made_pages(spark):
     ]
     assert texts(spark, pages) == [parsed(p) for p in pages]
     assert texts(spark, ["<x><![CDATA[kept]]></x>"]) == ["kept"]
+
+
+def test_long_nodes_need_no_deep_stack(spark):
+    pages = [
+        "<script>" + "a<b " * 100000 + "</script>x",
+        "<!--" + "-" * 300000 + "-->y",
+        "<p " + " ".join(f'a{i}="{i}"' for i in range(30000)) + ">z",
+        "t" * 500000,
+    ]
+    assert texts(spark, pages) == ["x", " y", "z", "t" * 500000]
