@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanternqa.operators.spread import spread_join
+from lanternqa.operators.spread import grid_join
 from lanternqa.session import materialize
 
 MAX_DEPTH = 5
@@ -15,10 +15,11 @@ MAX_DEPTH = 5
 
 def table_followups(edges: DataFrame) -> Callable[[DataFrame, DataFrame], DataFrame]:
     """Follow-ups of a level of questions, from a table (question, followup)."""
-    links = edges.filter(F.col("followup").isNotNull()).distinct()
+    links = edges.select("question", "followup").filter(F.col("followup").isNotNull()).distinct()
+    links = materialize(links, "links")
 
     def expand(level: DataFrame, reached: DataFrame) -> DataFrame:
-        return spread_join(level, links, ["question"], by=["root"]).select("root", "followup")
+        return grid_join(level, links, ["question"], ["root"], ["followup"]).select("root", "followup")
 
     return expand
 

@@ -11,7 +11,7 @@ from pyspark.sql.window import WindowSpec
 
 from lanternqa.functions.hashing import text_key
 from lanternqa.functions.text import WORD, words
-from lanternqa.operators.spread import copy_keys, hot_keys, split_keys, spread_join
+from lanternqa.operators.spread import copy_keys, grid_join, hot_keys, split_keys, spread_join
 from lanternqa.session import fits_broadcast, materialize
 
 # The published BM25 parameters, and the whole units per point in
@@ -177,6 +177,8 @@ def _score_pruned(postings: DataFrame, rated: DataFrame, k: int, doc: str, small
         F.sum(F.when(F.col("essential"), 0).otherwise(F.col("most"))).alias("spare"),
     )
     found = _score_terms(postings, split.filter("essential"), doc, small)
+    if not small:  # read twice below
+        found = materialize(found, "found")
     live = (
         _with_terms(found, spare, "q_id", [doc], small)
         .filter(F.col("score") + F.col("spare") >= F.col("bound")).select("q_id", doc, "score")
@@ -191,7 +193,11 @@ def _best_first(doc: str) -> WindowSpec:
 
 def _score_terms(postings: DataFrame, rated: DataFrame, doc: str, small: bool) -> DataFrame:
     """Add up the given terms' contributions for every text that holds one."""
-    matched = _with_terms(postings, rated.select("q_id", "term_id", "idf"), "term_id", [doc], small)
+    asked = rated.select("q_id", "term_id", "idf")
+    if small:
+        matched = postings.join(F.broadcast(asked), "term_id")
+    else:  # a term may fill most texts and most questions
+        matched = grid_join(postings, asked, ["term_id"], [doc], ["q_id"])
     return matched.groupBy("q_id", doc).agg(F.sum(_units(F.col("idf"), F.col("weight"))).alias("score"))
 
 

@@ -54,6 +54,21 @@ def spread_join(
     return spread.join(copy_keys(right, hot, on), [*on, "_sub"], how).drop("_sub")
 
 
+def grid_join(
+    left: DataFrame, right: DataFrame, on: list[str], by_left: list[str], by_right: list[str],
+    hot_rows: int | None = None,
+) -> DataFrame:
+    """Inner join where a key may be hot on both sides.
+
+    Each side's hot keys are split, and the other side copied to the pieces, so
+    the pairs of one key are shared out over a grid of tasks.
+    """
+    hot_left, hot_right = hot_keys(left, on, hot_rows), hot_keys(right, on, hot_rows)
+    rows = copy_keys(split_keys(left, hot_left, on, by_left, "_row"), hot_right, on, "_column")
+    columns = copy_keys(split_keys(right, hot_right, on, by_right, "_column"), hot_left, on, "_row")
+    return rows.join(columns, [*on, "_row", "_column"]).drop("_row", "_column")
+
+
 def with_position(df: DataFrame, keys: list[str], name: str = "position") -> DataFrame:
     """Number all rows from 0 in the order of unique keys.
 

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lanternqa.operators import datasets as ds
-from lanternqa.operators.spread import spread_join, with_position
+from lanternqa.operators.spread import grid_join, spread_join, with_position
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
@@ -18,6 +18,16 @@ def test_spread_join_equals_join(spark, how, hot_rows):
     assert sorted(map(str, got)) == want
 
 
+@pytest.mark.parametrize("hot_rows", [7, 100, 10**6])
+def test_grid_join_equals_join(spark, hot_rows):
+    left = spark.range(600).select(F.col("id").alias("a"), F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("k"))
+    right = spark.range(500).select(F.col("id").alias("b"), F.when(F.col("id") % 2 == 0, 1).otherwise(F.col("id")).alias("k"))
+    left = left.unionByName(spark.range(5).select(F.col("id").alias("a"), F.lit(None).cast("bigint").alias("k")))
+    want = sorted(map(tuple, left.join(right, "k").select("a", "b", "k").collect()))
+    got = grid_join(left, right, ["k"], ["a"], ["b"], hot_rows).select("a", "b", "k").collect()
+    assert sorted(map(tuple, got)) == want
+
+
 def test_hot_key_is_split(spark):
     left = spark.range(4000).select(F.col("id").alias("row"), F.lit(1).alias("k"))
     from lanternqa.operators.spread import hot_keys, split_keys
