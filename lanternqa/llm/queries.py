@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from lanternqa.llm.decontamination import contamination_report, find_contamination
 from lanternqa.llm.language import fit_languages, identify
+from lanternqa.llm.lines import line_bitmaps, line_report
 from lanternqa.llm.packing import pack
+from lanternqa.llm.secret_scan import find_secrets, fit_ratio, secret_report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +33,31 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+@query
+def op2_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf)
+    return secret_report(find_secrets(docs, fit_ratio(docs)))
+
+
+@query
+def op3_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf)
+    return line_report(docs, line_bitmaps(docs))
+
+
+ORACLES["op3_line_dedup"] = r"""WITH cut AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM cut),
+keyed AS (
+  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+common AS (SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (key IN (SELECT key FROM common)) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (key NOT IN (SELECT key FROM common)), ''))
+    AS kept_sha256
+FROM keyed GROUP BY doc_id"""
+
+
 @query
 def op4_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     found = find_contamination(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
