@@ -12,6 +12,7 @@ from lanternqa.llm.language import fit_languages, identify
 from lanternqa.llm.lines import line_bitmaps, line_report
 from lanternqa.llm.packing import pack
 from lanternqa.llm.secret_scan import find_secrets, fit_ratio, secret_report
+from lanternqa.llm.substrings import repeated_spans, span_report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +34,30 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+@query
+def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf)
+    return span_report(docs, repeated_spans(docs))
+
+
+# Windows as lists of words; the earliest by document and start is the one that stays.
+ORACLES["op1_substring_dedup"] = r"""WITH cut AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+word AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM cut),
+windows AS (
+  SELECT doc_id, i, list_slice(ws, i + 1, i + 20) AS run
+  FROM (SELECT doc_id, ws, unnest(range(greatest(len(ws) - 19, 0))) AS i FROM cut)),
+judged AS (SELECT doc_id, i, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) > 1 AS again FROM windows),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS pos FROM judged WHERE again),
+kept AS (
+  SELECT word.doc_id, count(*) AS n_words, count(gone.pos) AS n_removed,
+    coalesce(string_agg(w, ' ' ORDER BY word.pos) FILTER (gone.pos IS NULL), '') AS text
+  FROM word LEFT JOIN gone ON gone.doc_id = word.doc_id AND gone.pos = word.pos GROUP BY word.doc_id)
+SELECT documents.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
+  sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM documents LEFT JOIN kept USING (doc_id)"""
+
+
 @query
 def op2_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf)
