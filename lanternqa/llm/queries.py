@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanternqa.llm.decontamination import contamination_report, find_contamination
+from lanternqa.llm.embeddings import near_vectors
 from lanternqa.llm.language import fit_languages, identify
 from lanternqa.llm.lines import line_bitmaps, line_report
+from lanternqa.llm.near_dups import near_duplicates
 from lanternqa.llm.packing import pack
 from lanternqa.llm.secret_scan import find_secrets, fit_ratio, secret_report
 from lanternqa.llm.substrings import repeated_spans, span_report
@@ -94,6 +96,11 @@ def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack(documents(spark, sf), *vocabulary()).drop("ids")
 
 
+@query
+def op7_embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_vectors(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
 @query
 def op8_language_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf)
@@ -101,3 +108,8 @@ def op8_language_id(spark: SparkSession, sf: str) -> DataFrame:
     model = fit_languages(docs.filter(~held))
     flags = identify(docs, model)
     return flags.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op9_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf))
