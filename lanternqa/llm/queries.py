@@ -13,6 +13,7 @@ from lanternqa.llm.language import fit_languages, identify
 from lanternqa.llm.lines import line_bitmaps, line_report
 from lanternqa.llm.near_dups import near_duplicates
 from lanternqa.llm.packing import pack
+from lanternqa.llm.personal_data import find_personal_data, personal_data_report
 from lanternqa.llm.secret_scan import find_secrets, fit_ratio, secret_report
 from lanternqa.llm.substrings import repeated_spans, span_report
 
@@ -113,3 +114,8 @@ def op8_language_id(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op9_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(documents(spark, sf))
+
+
+@query
+def op10_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    return personal_data_report(find_personal_data(documents(spark, sf)))
