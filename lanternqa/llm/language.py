@@ -161,7 +161,8 @@ def fit_languages(
     wanted = F.lit(False)
     for lang, n in sorted(counts.items()):
         share = min(1.0, 1.5 * per_language / n)
-        wanted = wanted | ((F.col("lang") == lang) & (F.col("key") <= int(share * ((1 << 64) - 1)) - (1 << 63)))
+        limit = min(int(share * (1 << 64)) - (1 << 63), (1 << 63) - 1)
+        wanted = wanted | ((F.col("lang") == lang) & (F.col("key") <= limit))
     vectors = rows.filter(wanted).mapInArrow(
         lambda batches: _vectors(batches, bins), "lang string, key long, places binary, shares binary"
     )

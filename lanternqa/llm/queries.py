@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lanternqa.llm.decontamination import contamination_report, find_contamination
 from lanternqa.llm.embeddings import near_vectors
 from lanternqa.llm.language import fit_languages, identify
+from lanternqa.llm.language_model import score_texts
 from lanternqa.llm.lines import line_bitmaps, line_report
 from lanternqa.llm.near_dups import near_duplicates
 from lanternqa.llm.packing import pack
@@ -97,6 +98,15 @@ def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack(documents(spark, sf), *vocabulary()).drop("ids")
 
 
+@query
+def op6_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    scores = score_texts(documents(spark, sf), "crc32(cast(doc_id AS string)) % 5 <> 1")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
+    return scores.select(
+        "doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 @query
 def op7_embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf}/embeddings.parquet"))
