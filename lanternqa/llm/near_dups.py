@@ -9,9 +9,12 @@ equal sets are one class. Classes that agree on all slots of a band are
 candidates, and a link needs the full sets to agree.
 
 Buckets are not expanded into pairs. In the first rounds each bucket compares
-its members with one leader; then only members that are still in different
-components are compared with each other. So all candidates end up linked, in one
-component, or refuted.
+its members with one leader. What is then still in different components of a
+bucket is compared on signatures, a bounded block of members at a time: first
+each member sends its likeliest partner to verification, then all partners whose
+signatures do not rule out a link. So all candidates end up linked, in one
+component, or refuted. A link at the limit shares no band, or is ruled out by
+its signatures, with a probability below 0.0001 (`miss_probability`).
 
 Defined results: a null or blank text has an empty set and links with nothing; a
 single word is a set of one. Rows with one doc_id are one document, that of the
@@ -20,6 +23,7 @@ smallest set by key; rows without doc_id are left out of the result. Other colum
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -37,8 +41,22 @@ BANDS = 32
 ROWS = 5
 GROUP = 1 << 16
 STAR_ROUNDS = 2
+BEST_ROUNDS = 1
+BLOCK = 2048
+DEVIATIONS = 4.5
 SHORT = 0x5851F42D4C957F2D
-SETS = "doc_id long, n_shingles long, high long, low long, bands array<long>"
+SETS = "doc_id long, n_shingles long, high long, low long, bands array<long>, slots binary"
+
+
+def lowest_share(similarity: tuple[int, int], slots: int) -> float:
+    """The share of equal slots below which a link is ruled out: some standard deviations under the limit."""
+    limit = similarity[0] / similarity[1]
+    return limit - DEVIATIONS * math.sqrt(limit * (1 - limit) / slots)
+
+
+def miss_probability(similarity: float, bands: int = BANDS, rows: int = ROWS) -> float:
+    """How likely two sets share no band, or too few slots (normal tail)."""
+    return (1 - similarity**rows) ** bands + math.erfc(DEVIATIONS / math.sqrt(2)) / 2
 
 
 def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,14 +144,16 @@ def _sign(batches: Iterable[pa.RecordBatch], words: int, bands: int, rows: int)
         kept = sizes[once]
         at = np.repeat(first[once] - (np.cumsum(kept) - kept), kept) + np.arange(int(kept.sum()))
         begin = np.concatenate(([0], np.cumsum(kept)))
-        signed = _bands(super_minhash(keys[at], begin, bands * rows), bands, rows)
+        signature = super_minhash(keys[at], begin, bands * rows)
+        signed = _bands(signature, bands, rows)
+        slots = (W.mixed(signature.view(np.uint64)) & np.uint64(0xFF)).astype(np.uint8)
         place = np.searchsorted(once, same)
         lists = pa.ListArray.from_arrays(
             pa.array(np.arange(len(texts) + 1) * bands, pa.int32()), pa.array(signed[place].ravel(), pa.int64())
         )
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names[0]), pa.array(names[1]), lists],
-            names=["doc_id", "n_shingles", "high", "low", "bands"],
+            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names[0]), pa.array(names[1]), lists, pa.array([x.tobytes() for x in slots[place]], pa.binary())],
+            names=["doc_id", "n_shingles", "high", "low", "bands", "slots"],
         )
 
 
@@ -162,6 +182,67 @@ def _verify(batches: Iterable[pa.RecordBatch], similarity: tuple[int, int]) -> I
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def _cell(rows: list[dict], lowest: float, best_only: bool) -> Iterator[tuple[int, int]]:
+    """Pairs of one bucket, or of one pair of its blocks, that are in different components and may be linked.
+
+    A pair is given in the first band that it shares, or, if only the best are
+    wanted, by each member for its likeliest partner.
+    """
+    ids = np.array([r["rep"] for r in rows], np.int64)
+    component = np.array([r["component"] for r in rows], np.int64)
+    block = np.array([r["block"] for r in rows])
+    slots = np.stack([np.frombuffer(r["slots"], np.uint8) for r in rows])
+    bands = np.stack([np.array(r["bands"], np.int64) for r in rows])
+    low, high, band = rows[0]["low"], rows[0]["high"], rows[0]["band"]
+    names, place = np.unique(component, return_inverse=True)
+    # Members of the largest component need not be compared with each other.
+    small = np.flatnonzero(place != np.argmax(np.bincount(place)))
+    step = max(1, (16 << 20) // max(1, slots.size))
+    for at in range(0, len(small), step):
+        some = small[at : at + step]
+        share = (slots[some][:, None, :] == slots[None]).mean(2)
+        allowed = component[some][:, None] != component[None]
+        if low != high:
+            allowed &= block[some][:, None] != block[None]
+        share[~allowed] = -1
+        if best_only:
+            j = share.argmax(1)
+            i = np.arange(len(some))
+            fit = share[i, j] >= lowest
+            i, j = some[i[fit]], j[fit]
+        else:
+            i, j = np.nonzero(share >= lowest)
+            i = some[i]
+            first = (bands[i] == bands[j]).argmax(1) == band
+            i, j = i[first], j[first]
+        yield from zip(np.minimum(ids[i], ids[j]).tolist(), np.maximum(ids[i], ids[j]).tolist())
+
+
+def _cells(batches: Iterable[pa.RecordBatch], lowest: float, best_only: bool) -> Iterator[pa.RecordBatch]:
+    """Stream rows sorted by bucket and pair of blocks."""
+    key, rows, out = None, [], set()
+
+    def give() -> pa.RecordBatch:
+        pairs = sorted(out)
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            for row in batch.slice(at, 1000).to_pylist():
+                own = (row["bucket"], row["low"], row["high"])
+                if own != key:
+                    if rows:
+                        out.update(_cell(rows, lowest, best_only))
+                    key, rows = own, []
+                    if len(out) > 50_000:
+                        yield give()
+                rows.append(row)
+    if rows:
+        out.update(_cell(rows, lowest, best_only))
+    yield give()
+
+
 def near_duplicates(
     docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
@@ -177,12 +258,12 @@ def near_duplicates(
     )
     classes = scratch.write(
         marks.filter("n_shingles > 0").groupBy("high", "low", "n_shingles").agg(
-            F.min("doc_id").alias("rep"), F.first("bands").alias("bands")
+            F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("slots").alias("slots")
         ),
         "classes",
     )
     places = classes.select("rep", F.posexplode("bands").alias("band", "key")).select(
-        "rep", F.xxhash64("band", "key").alias("bucket")
+        "rep", "band", F.xxhash64("band", "key").alias("bucket")
     )
     # Buckets with a single member go at once.
     crowded = scratch.write(places.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket"), "crowded")
@@ -197,14 +278,30 @@ def near_duplicates(
     parts = shuffle_parts(docs)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.distinct()
+        pairs = scratch.write(pairs.distinct(), f"pairs_{turn}")
         left = sets.select(F.col("rep").alias("a"), F.col("keys").alias("keys_a"))
         right = sets.select(F.col("rep").alias("b"), F.col("keys").alias("keys_b"))
         full = pairs.join(right, "b").join(left, "a").select("a", "b", "keys_a", "keys_b")
         return full.mapInArrow(lambda batches: _verify(batches, similarity), "a long, b long")
 
-    links, found = None, None
-    for turn in range(STAR_ROUNDS + 1):
+    lowest = lowest_share(similarity, bands * rows)
+    order = ["bucket", "low", "high"]
+
+    def likely(placed: DataFrame, split: DataFrame, best_only: bool) -> DataFrame:
+        """Pairs of different components, found on signatures; a large bucket is shared out by pairs of blocks."""
+        own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+        cells = (
+            placed.join(split.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "bucket")
+            .withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select("bucket", "band", "rep", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+        )
+        full = cells.join(classes.select("rep", "bands", "slots"), "rep")
+        return full.repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(
+            lambda batches: _cells(batches, lowest, best_only), "a long, b long"
+        )
+
+    found = None
+    for turn in range(STAR_ROUNDS + BEST_ROUNDS + 1):
         # The component of each member so far; a bucket in a single component has nothing left to compare.
         if found is None:
             placed = members.withColumn("component", F.col("rep"))
@@ -217,7 +314,7 @@ def near_duplicates(
         split = scratch.write(
             placed.groupBy("bucket").agg(
                 F.min("component").alias("low"), F.max("component").alias("high"), lead, F.count(F.lit(1)).alias("n")
-            ).filter("low <> high").select("bucket", F.col("lead.rep").alias("leader"), F.col("lead.component").alias("of_leader")),
+            ).filter("low <> high").select("bucket", "n", F.col("lead.rep").alias("leader"), F.col("lead.component").alias("of_leader")),
             f"split_{turn}",
         )
         if split.isEmpty():
@@ -227,13 +324,10 @@ def near_duplicates(
                 F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")
             )
         else:
-            rest = scratch.write(placed.join(split.select("bucket"), "bucket"), "rest")
-            other = rest.select("bucket", F.col("rep").alias("b"), F.col("component").alias("of_b"))
-            pairs = rest.withColumnRenamed("rep", "a").join(other, "bucket").filter(
-                "a < b AND component <> of_b"
-            ).select("a", "b")
+            pairs = likely(placed, split, turn < STAR_ROUNDS + BEST_ROUNDS)
         new = scratch.write(verified(pairs), f"links_{turn}")
-        links = new if links is None else links.unionByName(new)
+        # The stars found so far stand for all earlier links.
+        links = new if found is None else new.unionByName(found.select(F.col("id").alias("a"), F.col("component").alias("b")))
         found = components(links, scratch)
     ends = classes.select("high", "low", "n_shingles", "rep")
     if found is not None:
