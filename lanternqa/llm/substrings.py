@@ -33,7 +33,7 @@ from lanternqa.llm import words as W
 from lanternqa.llm.scratch import Scratch, shuffle_parts
 
 EDGE_WORDS = 20
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 3 << 20
 # A row of edges: to which part, and by document the number of edges, their starts and their keys. A row of
 # links (no keys): the occurrences' documents and starts, their sources' documents, and the distances to them.
 EDGES = "part int, keys binary, docs binary, counts binary, starts binary, sources binary, shifts binary"
@@ -138,17 +138,17 @@ def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _by_document(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links, one row per document and part."""
     for batch in batches:
-        out = []
         for row in batch.to_pylist():
+            out = []
             docs, counts = np.frombuffer(row["docs"], np.int64), np.frombuffer(row["counts"], np.int32)
             to = np.cumsum(counts)
             for doc, a, b in zip(docs.tolist(), (to - counts).tolist(), to.tolist()):
                 out.append((doc, row["starts"][4 * a : 4 * b], row["sources"][8 * a : 8 * b], row["shifts"][4 * a : 4 * b]))
-        columns = list(zip(*out)) or [()] * 4
-        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(c), t) for c, t in zip(columns, kinds)], names=["doc_id", "starts", "sources", "shifts"]
-        )
+            columns = list(zip(*out)) or [()] * 4
+            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(c), t) for c, t in zip(columns, kinds)], names=["doc_id", "starts", "sources", "shifts"]
+            )
 
 
 def _compact(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -185,8 +185,10 @@ def repeated_paths(docs: DataFrame, scratch: Scratch, k: int = EDGE_WORDS) -> Da
     parts = shuffle_parts(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     edges = rows.filter("doc_id IS NOT NULL").mapInArrow(lambda batches: _edges(batches, k, parts), EDGES)
-    links = edges.repartitionById(parts, F.col("part")).mapInArrow(_meet, LINKS)
-    by_doc = links.mapInArrow(_by_document, "doc_id long, starts binary, sources binary, shifts binary")
+    # One function, so one Python worker per task.
+    by_doc = edges.repartitionById(parts, F.col("part")).mapInArrow(
+        lambda batches: _by_document(_meet(batches)), "doc_id long, starts binary, sources binary, shifts binary"
+    )
     walks = by_doc.groupBy("doc_id").agg(F.collect_list(F.struct("starts", "sources", "shifts")).alias("links"))
     schema = "doc_id long, start long, length long, source_id long, source_start long"
     return scratch.write(walks.mapInArrow(lambda batches: _compact(batches, k), schema), "paths")

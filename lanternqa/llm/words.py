@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK_BYTES = 4 << 20
 PIECE_BYTES = 1 << 18
@@ -160,12 +161,14 @@ def raw(column: pa.Array) -> list[bytes | None]:
 
 
 def chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Cut batches with a `text` column into slices of bounded bytes (or one text), with their texts."""
+    """Cut batches with a `text` column into slices of about `limit` bytes (or one text), with their texts."""
     for batch in batches:
-        texts = raw(batch.column("text"))
-        at = size = 0
-        for i, text in enumerate(texts):
-            size += len(text or b"") + 1
-            if size >= limit or i + 1 == len(texts):
-                yield batch.slice(at, i + 1 - at), texts[at : i + 1]
-                at, size = i + 1, 0
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+        total = np.cumsum(sizes.astype(np.int64) + 1)
+        at = 0
+        while at < batch.num_rows:
+            begin = total[at - 1] if at else 0
+            to = min(int(np.searchsorted(total, begin + limit)) + 1, batch.num_rows)
+            piece = batch.slice(at, to - at)
+            yield piece, raw(piece.column("text"))
+            at = to
