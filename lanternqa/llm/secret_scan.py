@@ -35,6 +35,7 @@ KINDS = ("assign", "access", "hex", "random")
 MIN_RANDOM = 16
 MIN_ORDINARY = 6
 LOG_ODDS = 12.0
+PRIOR = 10.0
 SYMBOLS = 68  # 10 digits, 52 letters, 5 signs, and the start of a string
 
 
@@ -132,7 +133,12 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             inside[inside < 0] = SYMBOLS - 2  # a dot inside a value
             pairs, _ = _pairs(inside, (base + value)[once], (base + stop)[once])
             counts[0] += np.bincount(pairs, minlength=SYMBOLS * SYMBOLS)
-        pairs, _ = _pairs(symbols, *_ordinary(symbols, covered, MIN_ORDINARY))
+        start, end = _ordinary(symbols, covered, MIN_ORDINARY)
+        digits = np.concatenate(([0], np.cumsum((symbols >= 0) & (symbols < 10))))
+        signs = np.concatenate(([0], np.cumsum(symbols >= 62)))
+        n_digits = digits[end] - digits[start]
+        pure = (n_digits == 0) | (n_digits + signs[end] - signs[start] == end - start)
+        pairs, _ = _pairs(symbols, start[pure], end[pure])
         counts[1] += np.bincount(pairs, minlength=SYMBOLS * SYMBOLS)
     label, pair = np.nonzero(counts)
     columns = [pa.array(label, pa.int32()), pa.array(pair, pa.int32()), pa.array(counts[label, pair], pa.int64())]
@@ -146,8 +152,9 @@ def fit_ratio(docs: DataFrame) -> np.ndarray:
     counts = np.zeros((2, SYMBOLS, SYMBOLS))
     for r in sums.collect():
         counts[r["label"], r["pair"] // SYMBOLS, r["pair"] % SYMBOLS] = r["n"]
-    # Half a count for each pair, so that an unseen character is neither impossible nor free.
-    share = (counts + 0.5) / (counts + 0.5).sum(2, keepdims=True)
+    # Rare characters follow their own share, and unseen ones have half a count.
+    single = counts.sum(1, keepdims=True) + 0.5
+    share = (counts + PRIOR * single / single.sum(2, keepdims=True)) / (counts.sum(2, keepdims=True) + PRIOR)
     return np.log(share[0] / share[1]).ravel()
 
 
