@@ -28,7 +28,7 @@ def add_result_columns(spark, sf):
 
 @query(
     rf"""WITH t AS (
-  SELECT doc_id, regexp_extract_all(text, '[^ \t\n\r\f\x0B]+')[1:2048] AS tk FROM documents),
+  SELECT doc_id, regexp_extract_all(text, '[^ \t\n\r\f\x0B]+') AS tk FROM documents),
 b AS (SELECT doc_id, len(tk) AS n_tokens, array_to_string(tk, ' ') AS text, len(tk) // 64 AS bucket FROM t)
 SELECT doc_id, n_tokens, text, bucket,
   (row_number() OVER (PARTITION BY bucket ORDER BY doc_id) - 1) // 4 AS batch_no FROM b""",

@@ -5,15 +5,17 @@ from pyspark.sql import functions as F
 from lanternqa.catalog.registry import EXCHANGES_SQL, best_piece_sql, exchanges, query, table, words_sql
 from lanternqa.functions import prompts as pr
 from lanternqa.functions import replies
-from lanternqa.operators import chunks as ch
 from lanternqa.operators import inference as inf
 from lanternqa.operators import readers
 
 
 def _broken(good, shape):
-    """A reply in one of seven shapes, of which only the first and the last are usable."""
+    """A reply in one of ten shapes, of which only the first and the last are usable."""
     return (
         F.when(shape == 0, good)
+        .when(shape == 7, F.concat(good, F.lit("] junk")))
+        .when(shape == 8, F.concat(good, F.lit('}, "x": {"y": 1')))
+        .when(shape == 9, F.concat(good, F.lit('], "x": [1')))
         .when(shape == 1, F.concat(good, F.lit(" as asked")))
         .when(shape == 2, F.lit("{'answer': 'x', 'keywords': ['x'], 'is_sufficient': true}"))
         .when(shape == 3, F.lit('{"other": 1}'))
@@ -24,8 +26,11 @@ def _broken(good, shape):
 
 
 _RAW_SQL = r"""raw AS (
-  SELECT conv_id, turn, CASE (conv_id * 3 + turn) % 7
+  SELECT conv_id, turn, CASE (conv_id * 3 + turn) % 10
     WHEN 0 THEN good
+    WHEN 7 THEN good || '] junk'
+    WHEN 8 THEN good || '}, "x": {"y": 1'
+    WHEN 9 THEN good || '], "x": [1'
     WHEN 1 THEN good || ' as asked'
     WHEN 2 THEN '{''answer'': ''x'', ''keywords'': [''x''], ''is_sufficient'': true}'
     WHEN 3 THEN '{"other": 1}'
@@ -62,7 +67,7 @@ def parse_reply(spark, sf):
         )
     )
     raw = turns.select(
-        "conv_id", "turn", _broken(good, F.pmod(F.col("conv_id") * 3 + F.col("turn"), F.lit(7))).alias("raw")
+        "conv_id", "turn", _broken(good, F.pmod(F.col("conv_id") * 3 + F.col("turn"), F.lit(10))).alias("raw")
     )
     x = F.col("raw")
     parsed = {
@@ -97,14 +102,6 @@ SELECT conv_id, turn, bool_or(len(list_intersect({_WANTED}, list_distinct({words
   >= 0.25e0 * len({_WANTED})) AS any_sufficient FROM x GROUP BY conv_id, turn"""
 )
 def any_sufficient(spark, sf):
-    chunks = ch.token_chunks(exchanges(spark, sf), "response", 32, keep=["conv_id", "turn", "prompt"])
-    asked = chunks.select(
-        "conv_id", "turn", "chunk_no",
-        pr.render_prompt(pr.SUFFICIENCY, F.col("prompt"), F.col("chunk")).alias("prompt"),
+    return inf.judge_sufficiency(
+        exchanges(spark, sf), ["conv_id", "turn"], readers.covers_query(0.25), 32, "prompt", "response"
     )
-    told = inf.complete_batch(asked, "prompt", readers.covers_query(0.25), by=["conv_id", "turn", "chunk_no"])
-    judged = told.select(
-        "conv_id", "turn",
-        replies.parse_reply(F.col("reply"), replies.SUFFICIENCY)["is_sufficient"].alias("is_sufficient"),
-    )
-    return inf.any_sufficient(judged, ["conv_id", "turn"])

@@ -19,7 +19,7 @@ _BASE = f"{QUESTIONS_SQL}, {TEXTS_SQL}"
 walk AS (
   SELECT DISTINCT text AS root, text AS question, 0 AS depth FROM conversations WHERE turn = 0
   UNION
-  SELECT root, followup, depth + 1 FROM walk JOIN edges USING (question) WHERE depth < 5)
+  SELECT root, followup, depth + 1 FROM walk JOIN edges USING (question) WHERE depth < 40)
 SELECT root, question, min(depth) AS depth FROM walk GROUP BY root, question"""
 )
 def decompose_questions(spark, sf):
@@ -38,7 +38,7 @@ _SENTENCES = r"list_filter(list_transform(regexp_split_to_array(question, '[.\n]
 last AS (SELECT q_id, regexp_replace({_SENTENCES}[-1] || '?', '^.*:', '') AS question FROM questions),
 asked AS (SELECT DISTINCT question AS q_id, question FROM last),
 {gather_sql('asked', 'info')}
-SELECT last.q_id, chr(10) || coalesce(info.information, '') AS answer, 2 AS hops
+SELECT last.q_id, chr(10) || coalesce(info.information, '') AS answer, 2 AS hops, false AS forced
 FROM last LEFT JOIN info ON info.q_id = last.question"""
 )
 def multi_hop_answer(spark, sf):
@@ -62,13 +62,18 @@ evidence AS (
   SELECT root, string_agg(question, ' ' ORDER BY question) AS question,
     string_agg(coalesce(windows, ''), '' ORDER BY question) AS text
   FROM parts LEFT JOIN w ON w.q_id = parts.question GROUP BY root),
-{relevance_sql('evidence', 'root', str(_ROOM), '---', 'info')},
+{relevance_sql('evidence', 'root', str(_ROOM), '---', 'info', in_order=True)},
 known AS (SELECT q_id, question, coalesce(information, '') AS information
   FROM questions LEFT JOIN info ON info.root = questions.question),
-fitted AS (SELECT q_id, question,
-  CASE WHEN {_ANSWER_BARE} + length(question) + length(information) < {MODEL_LIMIT} THEN information
-    ELSE substr(information, 1, greatest({MODEL_LIMIT} - {_ANSWER_BARE} - length(question), 0)) END AS information FROM known)
-SELECT q_id, {best_piece_sql('question', 'information', '. ')} AS answer FROM fitted"""
+sized AS (SELECT *, greatest({MODEL_LIMIT} - {_ANSWER_BARE} - length(question), 1) AS room FROM known),
+cut AS (SELECT *, greatest(CAST(ceil(length(information) / room) AS BIGINT), 1) AS pieces FROM sized),
+piece AS (SELECT q_id, question, pieces, no, substr(information, CAST(no * room + 1 AS BIGINT), room) AS part
+  FROM (SELECT *, unnest(range(pieces)) AS no FROM cut)),
+told AS (SELECT q_id, question, pieces, no, {best_piece_sql('question', 'part', '. ')} AS answer FROM piece),
+joined AS (SELECT q_id, question, pieces, coalesce(string_agg(answer, '. ' ORDER BY no), '') AS answers
+  FROM told GROUP BY q_id, question, pieces)
+SELECT q_id, CASE WHEN pieces = 1 THEN nullif(answers, '') ELSE {best_piece_sql('question', 'answers', '. ')} END AS answer
+FROM joined"""
 )
 def answer_question(spark, sf):
     return answer.answer_question(questions(spark, sf), texts(spark, sf))

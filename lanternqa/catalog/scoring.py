@@ -7,7 +7,7 @@ from lanternqa.functions import similarity as sm
 from lanternqa.operators import readers
 from lanternqa.operators import scoring as sc
 from lanternqa.plans import evaluate as ev
-from lanternqa.session import fan_out
+from lanternqa.session import fan_out, scratch_path
 
 _PARTS = "parts AS (SELECT p_partkey, p_brand, p_name || ' ' || p_type AS a, p_brand || ' ' || p_name AS b FROM part)"
 
@@ -145,6 +145,37 @@ def evaluate_answers(spark, sf):
     return ev.evaluate_answers(qa, parts.select("p_partkey", F.col("p_name").alias("answer")), "p_partkey")
 
 
+@query(
+    f"""WITH RECURSIVE {_OPTIONS}, {_set_sql('options', 'p_partkey')}, {lcs_sql('three')},
+best AS (SELECT p_partkey, max(score) AS token_set_ratio FROM three JOIN ratio USING (a, b) GROUP BY p_partkey)
+SELECT p_partkey, p_brand AS question, p_name AS answer, p_brand || ' ' || p_type || ' ' || p_name AS dataset_answers,
+  token_set_ratio FROM part JOIN best USING (p_partkey)"""
+)
+def evaluate_questions(spark, sf):
+    """A run over every third question, then one over all that goes on from it."""
+    parts = _parts(spark, sf)
+    gold = F.array("p_brand", F.concat("p_type", F.lit(" "), "p_name"))
+    qa = parts.select("p_partkey", F.col("p_brand").alias("question"), gold.alias("answers"))
+    done = scratch_path(spark, "scores")
+
+    def work(todo):
+        return todo.join(parts.select("p_partkey", F.col("p_name").alias("answer")), "p_partkey")
+
+    ev.evaluate_questions(qa.filter("p_partkey % 3 = 0"), done, work, "p_partkey")
+    return ev.evaluate_questions(qa, done, work, "p_partkey")
+
+
+@query(
+    f"""WITH RECURSIVE {_PARTS}, {_SORTED}, {lcs_sql('sorted')}
+SELECT count(*) AS n, avg(score) AS mean_base, avg(score) AS mean_tuned
+FROM sorted s JOIN ratio r ON r.a = s.a AND r.b = s.b"""
+)
+def compare_replies(spark, sf):
+    """Base and tuned model asked on the same rows; the stand-ins say the same in two ways."""
+    rows = _parts(spark, sf).select("p_partkey", F.col("a").alias("prompt"), F.col("b").alias("response"))
+    return ev.compare_replies(rows, ["p_partkey"], readers.echo_turn, readers.echo_turns)[1]
+
+
 @query()
 def exchange_scores(spark, sf):
     """Both token scores of every prompt and response at full length; SQL is too slow for these."""

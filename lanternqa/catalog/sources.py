@@ -53,7 +53,7 @@ def read_write_table(spark, sf):
 @query(
     f"""WITH {EXCHANGES_SQL}
 SELECT conv_id * 1000 + turn AS row_id, prompt AS question, array_to_string(string_split(response, chr(10)), '|') AS answers
-FROM exchanges ORDER BY row_id LIMIT 1000"""
+FROM exchanges"""
 )
 def read_qa(spark, sf):
     path = scratch_path(spark, "qa")
@@ -69,6 +69,22 @@ def read_pages(spark, sf):
     return tb.read_pages(spark, f"{sf}/pages.parquet")
 
 
+@query("SELECT doc_id, source, n_chars, doc_id IN (SELECT doc_id FROM labels) AS earlier FROM documents")
+def stream_unprocessed(spark, sf):
+    """The labelled documents are done first; a stream of all documents then works on the others only."""
+    done, first, second = (scratch_path(spark, n) for n in ("done", "seen", "seen"))
+    todo = table(spark, sf, "documents").select("doc_id", "source", "n_chars")
+    labelled = scratch_path(spark, "labelled")
+    todo.join(table(spark, sf, "labels").select("doc_id").distinct(), "doc_id", "left_semi").write.parquet(labelled)
+    every = scratch_path(spark, "every")
+    todo.write.parquet(every)
+    for source, seen, earlier in ((labelled, first, True), (every, second, False)):
+        rows = spark.readStream.schema(todo.schema).parquet(source)
+        work = lambda batch, earlier=earlier: batch.withColumn("earlier", F.lit(earlier))
+        st.stream_unprocessed(rows, done, ["doc_id"], work, seen).awaitTermination()
+    return spark.read.schema("doc_id bigint, source string, n_chars bigint, earlier boolean").parquet(done)
+
+
 @query("SELECT doc_id, source, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def resume_unprocessed(spark, sf):
     todo = table(spark, sf, "documents").select("doc_id", "source", "n_chars")

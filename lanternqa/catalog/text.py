@@ -129,11 +129,12 @@ def final_answer(spark, sf):
 
 
 @query(
-    rf"""WITH {TRANSCRIPTS_SQL} SELECT conv_id, turn,
-  string_split(string_split(transcript, E'\nFollow up:')[1], E'\nSo the final answer is:')[1] AS completion FROM transcripts"""
+    rf"""WITH {TRANSCRIPTS_SQL} SELECT conv_id, turn, substr(transcript, 1, coalesce(list_min(list_filter(
+  [instr(transcript, 'ow up:'), instr(transcript, 'Follow up'), instr(transcript, E'\nSo the final answer is:')],
+  lambda p: p > 0)) - 1, length(transcript))) AS completion FROM transcripts"""
 )
 def truncate_at_stop(spark, sf):
-    cut = tx.truncate_at_stop(F.col("transcript"), ["\nFollow up:", "\nSo the final answer is:"])
+    cut = tx.truncate_at_stop(F.col("transcript"), ["ow up:", "Follow up", "\nSo the final answer is:"])
     return transcripts(spark, sf).select("conv_id", "turn", cut.alias("completion"))
 
 

@@ -30,15 +30,20 @@ def _default(value: Any, type_: str) -> Column:
 def parse_reply(raw: Column, fields: dict[str, tuple[str, Any]]) -> Column:
     """One struct per reply: a JSON object's fields, or their defaults.
 
-    Wrapping in brackets makes trailing junk fatal; the reply must then be
-    exactly one element.
+    A reply may not close what wraps it. As an object's field, followed by a
+    mark that must be read back, it cannot close a bracket or leave junk; as the
+    only element of an array it cannot bring further fields. What passes both is
+    one value.
     """
     inner = ", ".join(f"`{name}`: {type_}" for name, (type_, _) in fields.items())
-    wrapped = F.concat(F.lit("["), raw, F.lit("]"))
-    parsed = F.from_json(wrapped, f"array<struct<{inner}>>", {"allowSingleQuotes": "false"})
-
-    def filled(replies: Column) -> Column:
-        reply = F.when(F.size(replies) == 1, F.get(replies, F.lit(0)))
+    strict = {"allowSingleQuotes": "false"}
+    mark = F.md5(raw)
+    field = F.concat(F.lit('{"reply":'), raw, F.lit(',"end":"'), mark, F.lit('"}'))
+    whole = F.from_json(field, f"struct<reply: struct<{inner}>, end: string>", strict)
+    alone = F.size(F.from_json(F.concat(F.lit("["), raw, F.lit("]")), f"array<struct<{inner}>>", strict)) == 1
+    parsed = F.when(alone & (whole["end"] == mark), whole["reply"])
+
+    def filled(reply: Column) -> Column:
         return F.struct(
             *[F.coalesce(reply[name], _default(value, type_)).alias(name) for name, (type_, value) in fields.items()]
         )

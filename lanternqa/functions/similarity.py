@@ -73,6 +73,17 @@ def _column(score):
     return scored
 
 
+@F.pandas_udf(T.IntegerType())
+def _best_set_ratio(a: pd.Series, options: pd.Series) -> pd.Series:
+    best = [None if o is None else max([0 if x is None or y is None else set_ratio(x, y) for y in o], default=0) for x, o in zip(a, options)]
+    return pd.Series(best, dtype="Int32")
+
+
+def best_token_set_ratio(a: Column, options: Column) -> Column:
+    """The best token-set ratio of a text and any text of an array, worked out in the row."""
+    return _best_set_ratio(normalize_for_match(a), F.transform(options, normalize_for_match))
+
+
 def similarity_ratio(a: Column, b: Column) -> Column:
     """Share of characters in a longest common subsequence."""
     return _column(ratio)(a, b)

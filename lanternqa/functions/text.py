@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 TOKEN = r"[^ \t\n\r\f\x0B]+"
 WORD = r"[\p{L}\p{N}_]+"
 
+# Fixed value: all code points that count as blanks at the ends of a text, Unicode ones included.
+BLANK = r"[\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
 # Markers of a reasoning transcript and of an instruction turn.
 FOLLOW_UP = "Follow up:"
 INTERMEDIATE = "Intermediate answer:"
@@ -39,11 +42,15 @@ def clean_whitespace(x: Column, collapse: bool = False) -> Column:
     return F.regexp_replace(spaced, " +", " ") if collapse else delete_space_pairs(spaced)
 
 
+def strip(x: Column) -> Column:
+    """Without blanks at both ends."""
+    return F.regexp_replace(x, rf"^{BLANK}+|{BLANK}+\z", "")
+
+
 def clean_reply(x: Column) -> Column:
     """The model's part of a generated turn, on one line."""
     reply = F.get(F.split(x, r"\[/INST\]", -1), F.lit(1))
-    trimmed = F.regexp_replace(reply, r"^\s+|\s+$", "")
-    return delete_space_pairs(F.replace(trimmed, F.lit("\n"), F.lit(" ")))
+    return delete_space_pairs(F.replace(strip(reply), F.lit("\n"), F.lit(" ")))
 
 
 def wrap_chat_turn(x: Column) -> Column:
@@ -69,10 +76,10 @@ def final_answer(x: Column) -> Column:
 
 
 def truncate_at_stop(x: Column, stops: str | list[str]) -> Column:
-    """Cut a completion before the first of the stop strings."""
-    for stop in [stops] if isinstance(stops, str) else stops:
-        x = F.substring_index(x, stop, 1)
-    return x
+    """Cut a completion where the first of the stop strings begins."""
+    places = [F.instr(x, F.lit(stop)) for stop in ([stops] if isinstance(stops, str) else stops)]
+    first = F.array_min(F.filter(F.array(*places), lambda place: place > 0))
+    return F.when(first.isNotNull(), F.left(x, first - 1)).otherwise(x)
 
 
 def normalize_for_match(x: Column) -> Column:

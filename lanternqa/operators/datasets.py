@@ -28,16 +28,20 @@ def add_result_columns(df: DataFrame, reply: str = "llm_response", score: str =
 
 
 def length_buckets(
-    df: DataFrame, text: str, key: str, batch: int = 4, max_len: int = 2048, width: int = 64
+    df: DataFrame, text: str, key: str, batch: int = 4, max_len: int | None = None, width: int = 64
 ) -> DataFrame:
     """Batches of texts of like token length: `key`, n_tokens, text, bucket, batch_no.
 
-    Texts are cut at `max_len` tokens and bucketed by length. Rows are ranged
-    by (bucket, key), so a bucket that holds much of the table spans many
-    tasks; only its last batch can be short.
+    Texts are whole and bucketed by length; a trainer that takes `max_len`
+    tokens at most gets them cut, with a column `cut` that says which were.
+    Rows are ranged by (bucket, key), so a bucket that holds much of the table
+    spans many tasks; only its last batch can be short.
     """
-    cut = df.select(key, F.slice(tokens(F.col(text)), 1, max_len).alias("_tokens")).select(
-        key, F.size("_tokens").alias("n_tokens"), F.array_join("_tokens", " ").alias(text)
+    every = df.select(key, tokens(F.col(text)).alias("_every"))
+    some = F.col("_every") if max_len is None else F.slice("_every", 1, max_len)
+    mark = [] if max_len is None else ["cut"]
+    cut = every.select(key, some.alias("_tokens"), *([(F.size("_every") > max_len).alias("cut")] if mark else [])).select(
+        key, F.size("_tokens").alias("n_tokens"), F.array_join("_tokens", " ").alias(text), *mark
     )
     placed = with_position(
         cut.withColumn("bucket", F.floor(F.col("n_tokens") / width).cast("long")), ["bucket", key], "_position"
@@ -46,5 +50,5 @@ def length_buckets(
     return (
         placed.join(F.broadcast(starts), "bucket")
         .withColumn("batch_no", F.floor((F.col("_position") - F.col("_start")) / batch).cast("long"))
-        .select(key, "n_tokens", text, "bucket", "batch_no")
+        .select(key, "n_tokens", text, "bucket", "batch_no", *mark)
     )

@@ -8,56 +8,107 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lanternqa.functions import prompts, replies
 from lanternqa.functions.hashing import text_key
+from lanternqa.operators.chunks import token_chunks
 from lanternqa.operators.spread import spread_join
 from lanternqa.session import materialize
+from lanternqa.sources.traces import write_traces
 
 Complete = Callable[[str], str]
+PROMPTS_PER_TASK = 1000
+
+
+def batched(factory: Callable) -> Callable:
+    """Mark a model factory whose function takes a list of prompts and returns as many replies."""
+    factory.takes_lists = True
+    return factory
 
 
 def complete_batch(
-    df: DataFrame, prompt: str, model: Callable[[], Complete], out: str = "reply", on_error: str = "null",
-    by: list[str] | None = None, partitions: int | None = None,
+    df: DataFrame, prompt: str, model: Callable[[], Complete], out: str = "reply", on_error: str = "raise",
+    by: list[str] | None = None, partitions: int | None = None, batch: int = 32, log: str | None = None,
 ) -> DataFrame:
     """Add the model's completion of each prompt.
 
     `model()` runs once per task and returns the function that completes one
-    prompt, so weights load once. Equal prompts are completed once: copies are
-    folded before the shuffle and the completions joined back with hot prompts
-    split. Completions are written out, so a lost executor or a later stage
-    never asks the model again. `by` names key columns that tell rows of one
-    prompt apart.
+    prompt, or a list of up to `batch` prompts if the factory is `batched`, so
+    weights load once. The input is written once. Equal prompts are completed
+    once: copies are folded before the shuffle and the completions joined back
+    with hot prompts split. Tasks follow the number of prompts, so a lost one
+    repeats few calls. Completions are written out, so a lost executor or a
+    later stage never asks the model again. `by` names key columns that tell
+    rows of one prompt apart.
+
+    A failing model ends the run, or with `on_error="mark"` leaves a null
+    reply and its message in a column `error`. With `log`, each prompt asked and
+    its completion are appended to the trace log at that path.
     """
-    if on_error not in ("null", "raise"):
-        raise ValueError("on_error is 'null' or 'raise'")
+    if on_error not in ("raise", "mark"):
+        raise ValueError("on_error is 'raise' or 'mark'")
+    lists = getattr(model, "takes_lists", False)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         complete = model()
 
-        def one(text: str) -> str | None:
+        def some(texts: list[str]) -> list[tuple[str | None, str | None]]:
             try:
-                return complete(text)
-            except Exception:
+                return [(reply, None) for reply in (complete(texts) if lists else [complete(texts[0])])]
+            except Exception as failure:
                 if on_error == "raise":
                     raise
-                return None
+                if len(texts) == 1:
+                    return [(None, f"{type(failure).__name__}: {failure}")]
+                return [x for text in texts for x in some([text])]
 
-        for batch in batches:
-            yield pd.DataFrame({"_key": batch["_key"], out: [one(text) for text in batch["_prompt"]]})
+        size = batch if lists else 1
+        for frame in batches:
+            texts = frame["_prompt"].tolist()
+            told = [x for at in range(0, len(texts), size) for x in some(texts[at : at + size])]
+            yield pd.DataFrame(
+                {"_key": frame["_key"], "_prompt": texts, out: [x[0] for x in told], "_error": [x[1] for x in told]}
+            )
 
-    spark = df.sparkSession
-    width = partitions or max(
-        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
-    )
-    keyed = df.withColumn("_key", text_key(prompt))
-    todo = (
-        keyed.filter(F.col(prompt).isNotNull())
-        .select("_key", F.col(prompt).alias("_prompt")).distinct().repartition(width, "_key")
-    )
-    done = materialize(todo.mapInPandas(run, f"_key binary, `{out}` string"), "completions")
-    return spread_join(keyed, done, ["_key"], "left", by).drop("_key")
+    keyed = materialize(df.withColumn("_key", text_key(prompt)), "prompts")
+    distinct = keyed.filter(F.col(prompt).isNotNull()).select("_key", F.col(prompt).alias("_prompt")).distinct()
+    if partitions is None:
+        n = keyed.agg(F.approx_count_distinct("_key").alias("n")).first()["n"]
+        partitions = max(df.sparkSession.sparkContext.defaultParallelism, -(-n // PROMPTS_PER_TASK))
+    schema = f"_key binary, _prompt string, `{out}` string, _error string"
+    done = materialize(distinct.repartition(partitions, "_key").mapInPandas(run, schema), "completions")
+    if log is not None:
+        write_traces(done.filter(F.col(out).isNotNull()), log, "_prompt", out)
+    told = done.select("_key", out, *([F.col("_error").alias("error")] if on_error == "mark" else []))
+    return spread_join(keyed, told, ["_key"], "left", by).drop("_key")
 
 
 def any_sufficient(replies: DataFrame, by: list[str], flag: str = "is_sufficient") -> DataFrame:
     """Whether any chunk of a group was judged sufficient; no verdict counts as no."""
     return replies.groupBy(*by).agg(F.bool_or(F.coalesce(flag, F.lit(False))).alias("any_sufficient"))
+
+
+def judge_sufficiency(
+    evidence: DataFrame, key: list[str], model: Callable[[], Complete], size: int, question: str = "question",
+    text: str = "text", log: str | None = None,
+) -> DataFrame:
+    """Whether the model finds any chunk of up to `size` tokens of a row's text sufficient: `key`, any_sufficient.
+
+    A row without text has no chunk and no verdict.
+    """
+    chunks = token_chunks(evidence, text, size, keep=[*key, question])
+    asked = chunks.select(
+        *key, "chunk_no",
+        prompts.render_prompt(prompts.SUFFICIENCY, F.col(question), F.col("chunk")).alias("prompt"),
+    )
+    told = complete_batch(asked, "prompt", model, by=[*key, "chunk_no"], log=log)
+    verdict = replies.parse_reply(F.col("reply"), replies.SUFFICIENCY)["is_sufficient"]
+    return any_sufficient(told.select(*key, verdict.alias("is_sufficient")), key)
+
+
+def model_keywords(
+    questions: DataFrame, model: Callable[[], Complete], log: str | None = None
+) -> DataFrame:
+    """All keywords that the model names for each question (q_id, question): q_id, keywords."""
+    asked = questions.select("q_id", prompts.render_prompt(prompts.KEYWORDS, F.col("question")).alias("prompt"))
+    told = complete_batch(asked, "prompt", model, by=["q_id"], log=log)
+    return told.select("q_id", replies.parse_reply(F.col("reply"), replies.KEYWORDS)["keywords"].alias("keywords"))

@@ -59,6 +59,19 @@ def covers_query(share: float):
     return factory
 
 
+def long_words(least: int):
+    """Name the query's words of at least so many letters as keywords."""
+
+    def factory():
+        def complete(prompt: str) -> str:
+            query = prompt.partition("\n\nQuery:\n")[2].removesuffix("\n")
+            return json.dumps({"keywords": [w for w in re.findall(r"\w+", query) if len(w) >= least]}, ensure_ascii=False)
+
+        return complete
+
+    return factory
+
+
 def sentence_questions():
     """Ask each sentence of a query as a question of its own, if there are several."""
 
@@ -118,6 +131,15 @@ def sentence_hops(rounds: int = 2):
     return factory
 
 
+def echo_turns():
+    """`echo_turn` as a model that takes a list of prompts."""
+    one = echo_turn()
+    return lambda prompts: [one(prompt) for prompt in prompts]
+
+
+echo_turns.takes_lists = True
+
+
 def echo_turn():
     """Answer a chat turn with its own question: the whole turn, as a generator returns it."""
 

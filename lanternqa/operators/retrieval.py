@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
@@ -20,9 +20,7 @@ K1 = 1.2
 B = 0.75
 UNITS = 1_000_000
 
-# None of these changes a result: pieces of a term where a large vocabulary
-# meets all words; weightiest terms of a question that seed its bound.
-SUB_TERMS = 64
+# None of these changes a result. Weightiest terms of a question that seed its bound.
 SEED_TERMS = 8
 # Up to this many (question, term, text) matches a core, all are scored at once.
 DIRECT_MATCHES = 2_000_000
@@ -43,39 +41,54 @@ def query_terms(queries: DataFrame, question: str = "question") -> DataFrame:
     )
 
 
-def _restrict(exploded: DataFrame, vocab: DataFrame, keys: list[str], small: bool) -> DataFrame:
-    """Count each (keys, term_id) for the wanted terms (term, term_id) only.
-
-    A vocabulary that was measured small filters the words before they are
-    counted and shuffled. A large one is copied to a fixed number of sub-terms
-    and joined after counting, so a term that fills most texts is split.
-    """
-    tf = F.count(F.lit(1)).alias("tf")
-    if small:
-        return exploded.join(F.broadcast(vocab), "term").groupBy(*keys, "term_id").agg(tf)
-    subs = F.explode(F.sequence(F.lit(0), F.lit(SUB_TERMS - 1)))
-    counted = exploded.groupBy(*keys, "term").agg(tf)
-    split = counted.withColumn("_sub", F.pmod(F.xxhash64(*keys), F.lit(SUB_TERMS)).cast("int"))
-    return split.join(vocab.withColumn("_sub", subs), ["term", "_sub"]).drop("term", "_sub")
-
-
 def _with_terms(rows: DataFrame, terms: DataFrame, on: str, by: list[str], small: bool) -> DataFrame:
     if small:
         return rows.join(F.broadcast(terms), on)
     return spread_join(rows, terms, [on], by=by)
 
 
-def per_question(queries: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def per_question(
+    queries: DataFrame, work: Callable[[DataFrame], DataFrame], how: str = "inner"
+) -> DataFrame:
     """Do `work` once per distinct question text and give its rows to all who ask it.
 
     `work` sees (q_id, question) with a text key as q_id. Copies fold before
-    the shuffle; the way back splits a text that very many ask.
+    the shuffle; the way back splits a text that very many ask. With
+    `how="left"` a question without result, or without text, keeps one row.
     """
     key = text_key("question")
     once = queries.filter(F.col("question").isNotNull()).select(key.alias("q_id"), "question").distinct()
     found = work(once).withColumnRenamed("q_id", "_text")
     asked = queries.select("q_id", key.alias("_text"))
-    return spread_join(asked, found, ["_text"], by=["q_id"]).drop("_text")
+    return spread_join(asked, found, ["_text"], how, by=["q_id"]).drop("_text")
+
+
+@dataclass
+class CorpusIndex:
+    """The words of a corpus, counted once: any number of searches and keyword rankings read only this."""
+
+    words: DataFrame  # doc, dl, term, tf
+    n_docs: int
+    mean_len: float
+    doc: str
+
+
+def corpus_index(corpus: DataFrame, doc: str = "page_id", terms: DataFrame | None = None) -> CorpusIndex:
+    """Read a corpus (`doc`, text) once and write its word counts.
+
+    Texts and words are counted on the way. Rows without `doc` are no texts.
+    With `terms` (term), a table measured small, only these are written.
+    """
+    seen = Observation()
+    cut = corpus.filter(F.col(doc).isNotNull()).select(doc, words(F.coalesce("text", F.lit(""))).alias("ws"))
+    counted = cut.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.size("ws")).alias("words"))
+    exploded = counted.select(doc, F.size("ws").alias("dl"), F.explode("ws").alias("term"))
+    if terms is not None:
+        exploded = exploded.join(F.broadcast(terms), "term", "left_semi")
+    kept = materialize(exploded.groupBy(doc, "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "corpus-words")
+    # An empty result can take the counting out of the plan; then nothing can be found and nothing is rated.
+    n, total = (0, 0) if kept.isEmpty() else (seen.get["n"], seen.get["words"] or 0)
+    return CorpusIndex(kept, n, total / max(n, 1) or 1.0, doc)
 
 
 @dataclass
@@ -89,16 +102,26 @@ class TermIndex:
     doc: str
 
 
-def index_terms(queries: DataFrame, corpus: DataFrame, doc: str = "page_id") -> TermIndex:
-    """Read a corpus (`doc`, text) once for the words of (q_id, question), into written tables."""
-    terms = query_terms(queries)
+def index_terms(queries: DataFrame, corpus: DataFrame | CorpusIndex, doc: str = "page_id") -> TermIndex:
+    """What a corpus, or its index, holds of the words of (q_id, question), in written tables.
+
+    A corpus (`doc`, text) that is searched once is read once, for these words
+    only; one that is searched again should be indexed before.
+    """
+    terms = materialize(query_terms(queries), "question-terms")
     small = fits_broadcast(terms)
-    n_docs, mean_len = _sizes(corpus)
     # written, since the ids would differ from one computation to the next
     vocab = materialize(
         terms.select("term").distinct().withColumn("term_id", F.monotonically_increasing_id()), "vocabulary"
     )
-    postings = materialize(_postings(vocab, corpus, doc, mean_len, small), "postings")
+    if not isinstance(corpus, CorpusIndex):
+        corpus = corpus_index(corpus, doc, vocab.select("term") if small else None)
+    doc, n_docs = corpus.doc, corpus.n_docs
+    tf = F.col("tf")
+    weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / corpus.mean_len))
+    postings = materialize(
+        _with_terms(corpus.words, vocab, "term", [doc], small).select(doc, "term_id", weight.alias("weight")), "postings"
+    )
 
     stats = postings.groupBy("term_id").agg(F.count(F.lit(1)).alias("df"), F.max("weight").alias("top"))
     idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -109,18 +132,21 @@ def index_terms(queries: DataFrame, corpus: DataFrame, doc: str = "page_id") ->
     return TermIndex(postings, rated, n_docs, small, doc)
 
 
-def search_top_k(queries: DataFrame, corpus: DataFrame, k: int = 2, doc: str = "page_id") -> DataFrame:
+def search_top_k(
+    queries: DataFrame, corpus: DataFrame | CorpusIndex, k: int = 2, doc: str = "page_id", direct: int | None = None
+) -> DataFrame:
     """The `k` best texts for each question by BM25: q_id, rank, `doc`, score.
 
-    `queries` is (q_id, question), `corpus` is (`doc`, text). Ties go to the
-    smaller `doc`. A question asked many times is searched once.
+    `queries` is (q_id, question), `corpus` is (`doc`, text) or its index. Ties
+    go to the smaller `doc`. A question asked many times is searched once.
+    `direct` is the number of matches a core up to which all are scored.
     """
-    return per_question(queries, lambda once: search_index(index_terms(once, corpus, doc), k)).select(
+    return per_question(queries, lambda once: search_index(index_terms(once, corpus, doc), k, direct)).select(
         "q_id", "rank", doc, "score"
     )
 
 
-def search_index(index: TermIndex, k: int) -> DataFrame:
+def search_index(index: TermIndex, k: int, direct: int | None = None) -> DataFrame:
     """The `k` best texts of each indexed question.
 
     The matches are counted from the terms' statistics: if they are few for
@@ -129,7 +155,8 @@ def search_index(index: TermIndex, k: int) -> DataFrame:
     """
     postings, rated, doc, small = index.postings, index.rated, index.doc, index.small
     matches = rated.agg(F.sum("df").alias("n")).first()["n"] or 0
-    if matches <= DIRECT_MATCHES * rated.sparkSession.sparkContext.defaultParallelism:
+    limit = DIRECT_MATCHES if direct is None else direct
+    if matches <= limit * rated.sparkSession.sparkContext.defaultParallelism:
         scored = _score_terms(postings, rated, doc, small)
     else:
         scored = _score_pruned(postings, rated, k, doc, small)
@@ -201,20 +228,9 @@ def _score_terms(postings: DataFrame, rated: DataFrame, doc: str, small: bool) -
     return matched.groupBy("q_id", doc).agg(F.sum(_units(F.col("idf"), F.col("weight"))).alias("score"))
 
 
-def _sizes(corpus: DataFrame) -> tuple[int, float]:
-    """Texts and mean words per text: one aggregated row."""
-    n_words = F.regexp_count(F.lower("text"), F.lit(WORD))
-    row = corpus.agg(F.count(F.lit(1)).alias("n"), F.sum(n_words).alias("words")).first()
-    return row["n"], (row["words"] or 0) / max(row["n"], 1) or 1.0
-
-
-def _postings(vocab: DataFrame, corpus: DataFrame, doc: str, mean_len: float, small: bool) -> DataFrame:
-    """`doc`, term_id, weight: BM25's term-frequency part for the wanted terms."""
-    cut = corpus.filter(F.col(doc).isNotNull()).select(doc, words(F.col("text")).alias("ws"))
-    exploded = cut.select(doc, F.size("ws").alias("dl"), F.explode("ws").alias("term"))
-    tf = F.col("tf")
-    weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / mean_len))
-    return _restrict(exploded, vocab, [doc, "dl"], small).select(doc, "term_id", weight.alias("weight"))
+def _of_ids(rows: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """The rows with one of some ids, which were written: filtered in place if the ids were measured small."""
+    return rows.join(F.broadcast(ids) if fits_broadcast(ids) else ids, on, "left_semi")
 
 
 def _units(idf: Column, weight: Column) -> Column:
@@ -229,9 +245,10 @@ def _add_terms(pairs: DataFrame, rated: DataFrame, postings: DataFrame, doc: str
     text wanted by very many questions is split by question.
     """
     vocab = rated.select("term_id").distinct()
+    # Only texts that are in a pair get a map.
+    own = _of_ids(postings, materialize(pairs.select(doc).distinct(), "paired"), doc)
     wanted = (
-        postings.join(F.broadcast(vocab), "term_id", "left_semi") if small
-        else spread_join(postings, vocab, ["term_id"], by=[doc])
+        own.join(F.broadcast(vocab), "term_id", "left_semi") if small else spread_join(own, vocab, ["term_id"], by=[doc])
     )
     entries = F.map_from_entries(F.collect_list(F.struct("term_id", "weight")))
     texts = wanted.groupBy(doc).agg(entries.alias("_weights"))
@@ -278,6 +295,13 @@ def search_site_plus_general(
     return first.unionByName(second).withColumn("rank", F.col("source_rank"))
 
 
+def ordered_join(df: DataFrame, by: list[str], order: str, col: str, sep: str = " ") -> DataFrame:
+    """One line per group: its snippets in order, copies included. A group only ever holds the text it outputs."""
+    kept = df.filter(F.col(col).isNotNull())
+    in_order = F.array_sort(F.collect_list(F.struct(order, col)))
+    return kept.groupBy(*by).agg(F.array_join(F.transform(in_order, lambda x: x[col]), sep).alias(col))
+
+
 def require_results(queries: DataFrame, hits: DataFrame, n: int = 2) -> DataFrame:
     """Per question: hits found and whether they are enough. A short one is marked, not raised."""
     counts = hits.groupBy("q_id").agg(F.count(F.lit(1)).alias("n_hits"))
@@ -290,10 +314,13 @@ def require_results(queries: DataFrame, hits: DataFrame, n: int = 2) -> DataFram
 def join_pages(hits: DataFrame, texts: DataFrame, doc: str = "page_id") -> DataFrame:
     """Each question's page texts in rank order, joined by a space: q_id, page_text.
 
-    A page that answers many questions is split over tasks; a question has
-    only its top few hits, so its list is short.
+    The texts are filtered to the pages that were hit before they are moved. A
+    page that answers many questions is split over tasks; a question has only
+    its top few hits, so its list is short.
     """
-    pages = spread_join(hits.select("q_id", "rank", doc), texts.select(doc, "text"), [doc], by=["q_id", "rank"])
+    hits = hits.select("q_id", "rank", doc)
+    hit = materialize(hits.select(doc).distinct(), "hit-pages")
+    pages = spread_join(hits, _of_ids(texts.select(doc, "text"), hit, doc), [doc], by=["q_id", "rank"])
     in_order = F.array_sort(F.collect_list(F.struct("rank", "text")))
     return pages.groupBy("q_id").agg(
         F.array_join(F.transform(in_order, lambda p: p["text"]), " ").alias("page_text")
@@ -310,21 +337,15 @@ def distinct_join(df: DataFrame, by: list[str], col: str, sep: str = " ", out: s
     return kept.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list(col)), sep).alias(out or col))
 
 
-def create_keywords(questions: DataFrame, corpus: DataFrame, k: int = 3, doc: str = "page_id") -> DataFrame:
-    """Each question's `k` weightiest words by TF-IDF over a corpus: q_id, kw_no, keyword, score.
+def create_keywords(
+    questions: DataFrame, corpus: DataFrame | CorpusIndex, k: int = 3, doc: str = "page_id"
+) -> DataFrame:
+    """Each question's `k` weightiest words by TF-IDF over a corpus or its index: q_id, kw_no, keyword, score.
 
     The keyword keeps the spelling of its first use in the question. Words the
     corpus lacks are left out, earlier words win ties.
     """
-    terms = query_terms(questions)
-    vocab = terms.select("term").distinct()
-    small = fits_broadcast(vocab)
-    n_docs = corpus.agg(F.count(F.lit(1)).alias("n")).scalar()
-    exploded = corpus.select(doc, F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    if small:
-        exploded = exploded.join(F.broadcast(vocab), "term", "left_semi")
-    counts = exploded.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return _best_keywords(_with_terms(terms, counts, "term", ["q_id"], small), n_docs, k)
+    return index_keywords(index_terms(questions, corpus, doc), k)
 
 
 def index_keywords(index: TermIndex, k: int = 3) -> DataFrame:

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanternqa.functions.similarity import token_set_ratio
+from lanternqa.functions.similarity import best_token_set_ratio, token_set_ratio
+
+HUGE_OPTIONS = 10_000
+
+
+def options_of(answers: str) -> Column:
+    """All gold answers joined, then each."""
+    return F.array_distinct(F.concat(F.array(F.array_join(answers, " ")), F.col(answers)))
 
 
 def spread_rows(df: DataFrame) -> DataFrame:
@@ -17,19 +24,20 @@ def spread_rows(df: DataFrame) -> DataFrame:
 
 
 def best_option_score(df: DataFrame, key: list[str], answer: str, answers: str, out: str = "token_set_ratio") -> DataFrame:
-    """Best token-set score over each gold answer and all of them joined.
+    """Best token-set score over each gold answer and all of them joined: `key`, the score.
 
-    Options spread over the cluster as rows and fold back as a partial maximum,
-    so an answer with very many options is no single task's work.
+    The options already lie in their row and are scored there. Only lists of
+    more than `HUGE_OPTIONS` spread over the cluster as rows and fold back as a
+    partial maximum, so that no answer is a single task's work.
     """
-    joined = F.array_join(answers, " ")
-    options = df.select(
-        *key, F.col(answer).alias("_answer"),
-        F.explode(F.array_distinct(F.concat(F.array(joined), F.col(answers)))).alias("_option"),
+    rows = df.select(*key, F.col(answer).alias("_answer"), options_of(answers).alias("_options"))
+    huge = F.size("_options") > HUGE_OPTIONS
+    in_row = rows.filter(~huge | F.col("_options").isNull()).select(
+        *key, best_token_set_ratio(F.col("_answer"), F.col("_options")).alias(out)
     )
-    options = spread_rows(options)
-    scored = options.select(*key, token_set_ratio(F.col("_answer"), F.col("_option")).alias("_score"))
-    return scored.groupBy(*key).agg(F.max("_score").alias(out))
+    spread = spread_rows(rows.filter(huge).select(*key, "_answer", F.explode("_options").alias("_option")))
+    scored = spread.select(*key, token_set_ratio(F.col("_answer"), F.col("_option")).alias("_score"))
+    return in_row.unionByName(scored.groupBy(*key).agg(F.max("_score").alias(out)))
 
 
 def mean_score(df: DataFrame, score: str, by: list[str] | None = None, out: str = "mean_score") -> DataFrame:

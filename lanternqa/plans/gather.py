@@ -10,40 +10,51 @@ from pyspark.sql import functions as F
 from lanternqa.functions import prompts, replies
 from lanternqa.functions import text as tx
 from lanternqa.operators.chunks import token_chunks
-from lanternqa.operators.inference import Complete, complete_batch
+from lanternqa.operators.inference import Complete, complete_batch, model_keywords
 from lanternqa.operators.readers import best_piece
 from lanternqa.operators.retrieval import (
-    distinct_join, index_keywords, index_terms, join_pages, keyword_lists, per_question, search_index,
+    CorpusIndex, corpus_index, distinct_join, index_keywords, index_terms, join_pages, keyword_lists, ordered_join,
+    per_question, search_index,
 )
 from lanternqa.session import materialize
 
 MODEL_LIMIT = 4096
 WINDOW_SEP = "---"
 
+Model = Callable[[], Complete]
+# From questions (q_id, question) to hits (q_id, rank, page_id).
+Search = Callable[[DataFrame], DataFrame]
+
 
 def evidence_windows(
-    questions: DataFrame, texts: DataFrame, k: int = 2, n: int = 100, n_keywords: int = 3, sep: str = WINDOW_SEP
+    questions: DataFrame, texts: DataFrame, k: int = 2, n: int = 100, n_keywords: int = 3, sep: str = WINDOW_SEP,
+    index: CorpusIndex | None = None, keywords: Model | None = None, search: Search | None = None,
+    log: str | None = None,
 ) -> DataFrame:
     """Keyword windows over each question's best pages: q_id, windows.
 
-    The corpus is read once for search and keywords together. Page text meets
-    only the questions it was found for, and the windows of a question are cut
-    and joined inside one row.
+    The corpus, or its `index` if one is given, is read once for search and
+    keywords together. Page text meets only the questions it was found for, and
+    the windows of a question are cut and joined inside one row. `keywords` is a
+    model all of whose keywords are used; without one they are the `n_keywords`
+    weightiest words. `search` replaces the plain search for the `k` best pages.
     """
-    index = index_terms(questions, texts)
-    hits = materialize(search_index(index, k), "hits")
-    keywords = keyword_lists(index_keywords(index, n_keywords))
-    found = join_pages(hits, texts).join(keywords, "q_id")
+    terms = None if keywords and search else index_terms(questions, index or texts.select("page_id", "text"))
+    hits = materialize(search(questions) if search else search_index(terms, k), "hits")
+    words = model_keywords(questions, keywords, log) if keywords else keyword_lists(index_keywords(terms, n_keywords))
+    found = join_pages(hits, texts).join(words, "q_id")
     windows = tx.keyword_windows(F.col("page_text"), F.col("keywords"), n)
     return found.select("q_id", tx.merge_windows(windows, sep).alias("windows"))
 
 
 def relevant_information(
-    evidence: DataFrame, key: list[str], model: Callable[[], Complete], limit: int = MODEL_LIMIT
+    evidence: DataFrame, key: list[str], model: Model, limit: int = MODEL_LIMIT, in_order: bool = False,
+    log: str | None = None,
 ) -> DataFrame:
     """Ask the model what matters in each chunk of (`key`, question, text): `key`, information.
 
-    Unusable replies are dropped, repeated findings are joined once.
+    Unusable replies are dropped. Findings are joined in the order of their
+    chunks, copies included, or else as a sorted set.
     """
     base = prompts.render_prompt(prompts.RELEVANCE, F.col("question"), F.lit(""))
     chunks = token_chunks(evidence, "text", tx.chunk_budget(limit, base, 1), keep=[*key, "question"])
@@ -51,31 +62,41 @@ def relevant_information(
         *key, "chunk_no",
         prompts.render_prompt(prompts.RELEVANCE, F.col("question"), F.col("chunk")).alias("prompt"),
     )
-    told = complete_batch(asked, "prompt", model, by=[*key, "chunk_no"])
-    found = told.select(
-        *key, replies.parse_reply(F.col("reply"), replies.RELEVANCE)["relevant_information"].alias("information")
-    )
-    return distinct_join(found, key, "information")
+    told = complete_batch(asked, "prompt", model, by=[*key, "chunk_no"], log=log)
+    reply = replies.parse_reply(F.col("reply"), replies.RELEVANCE)["relevant_information"]
+    found = told.select(*key, "chunk_no", reply.alias("information"))
+    return ordered_join(found, key, "chunk_no", "information") if in_order else distinct_join(found, key, "information")
 
 
 def gather_distinct(
-    questions: DataFrame, texts: DataFrame, model: Callable[[], Complete] | None = None, k: int = 2, n: int = 100,
-    n_keywords: int = 3,
+    questions: DataFrame, texts: DataFrame, model: Model | None = None, k: int = 2, n: int = 100,
+    n_keywords: int = 3, limit: int = MODEL_LIMIT, **options,
 ) -> DataFrame:
-    """`gather_info` for questions already known to differ."""
+    """`gather_info` for questions already known to differ; those without a finding have no row."""
     model = model or best_piece("relevant_information", WINDOW_SEP)
-    windows = evidence_windows(questions, texts, k, n, n_keywords)
+    windows = evidence_windows(questions, texts, k, n, n_keywords, **options)
     evidence = materialize(questions.join(windows.withColumnRenamed("windows", "text"), "q_id"), "evidence")
-    return relevant_information(evidence, ["q_id"], model)
+    return relevant_information(evidence, ["q_id"], model, limit, log=options.get("log"))
 
 
 def gather_info(
-    questions: DataFrame, texts: DataFrame, model: Callable[[], Complete] | None = None, k: int = 2, n: int = 100,
-    n_keywords: int = 3,
+    questions: DataFrame, texts: DataFrame, model: Model | None = None, k: int = 2, n: int = 100,
+    n_keywords: int = 3, limit: int = MODEL_LIMIT, **options,
 ) -> DataFrame:
     """What the corpus (page_id, text) says on each question (q_id, question): q_id, information.
 
-    Questions without evidence have no row. Copies of a question are searched,
-    cut and put to the model once.
+    Every question has a row; the information is empty if nothing was found, or
+    if the question has no text. Copies of a question are searched, cut and put
+    to the model once. `limit` is what one prompt may hold. `options` go to
+    `evidence_windows`: an index of the corpus, a model for keywords, another
+    search, a trace log.
     """
-    return per_question(questions, lambda once: gather_distinct(once, texts, model, k, n, n_keywords))
+    found = per_question(
+        questions, lambda once: gather_distinct(once, texts, model, k, n, n_keywords, limit, **options), "left"
+    )
+    return found.select("q_id", F.coalesce("information", F.lit("")).alias("information"))
+
+
+def index_of(texts: DataFrame) -> CorpusIndex:
+    """The index of page texts (page_id, text) for flows that search more than once."""
+    return corpus_index(texts.select("page_id", "text"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BROADCAST_BYTES = 32 << 20
+_LOCAL: list[str] = []
 
 
 def local_session(cpus: int | str = 8, name: str = "lanternqa") -> SparkSession:
@@ -27,19 +29,48 @@ def local_session(cpus: int | str = 8, name: str = "lanternqa") -> SparkSession:
     )
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder that the session names.
+def scratch_root(spark: SparkSession) -> str:
+    """The shared folder that `spark.checkpoint.dir` names, or the one given to the context instead.
 
-    Only a single-machine session may fall back to a temporary folder: on a
-    cluster the other machines would not see it.
+    Only a single-machine session may fall back to a temporary folder, one for
+    each process: on a cluster the other machines would not see it.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="lanternqa-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return os.path.join(root, "lanternqa", f"{name}-{uuid.uuid4().hex}")
+    named, given = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.getCheckpointDir()
+    if given and not (named and named.split(":")[-1].rstrip("/") in given):
+        return given
+    if named:
+        return named
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="lanternqa-"))
+    return _LOCAL[0]
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder."""
+    return os.path.join(scratch_root(spark), "lanternqa", f"{name}-{uuid.uuid4().hex}")
+
+
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in whatever store it names."""
+    store, at = _folder(spark, path)
+    return store.exists(at)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more; tables outside the scratch folder stay."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {os.path.dirname(file) for file in table.inputFiles()}:
+            if re.search(r"/lanternqa/[^/]+-[0-9a-f]{32}$", folder):
+                store, at = _folder(spark, folder)
+                store.delete(at, True)
 
 
 def fan_out(df: DataFrame, *key: str) -> DataFrame:
@@ -67,7 +98,7 @@ def fits_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
     """Measure `df` (one aggregated row comes back) against a broadcast limit."""
     width = F.lit(0).cast("long")
     for field in df.schema.fields:
-        if isinstance(field.dataType, T.StringType):
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
             width = width + F.coalesce(F.octet_length(field.name), F.lit(0)) + 16
         elif isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)):
             width = width + F.coalesce(F.octet_length(F.to_json(field.name)), F.lit(0)) + 16

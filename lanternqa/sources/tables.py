@@ -31,10 +31,13 @@ def write_table(df: DataFrame, path: str, order: str | None = None, index: str =
     df.write.options(**_CSV).csv(path)
 
 
-def read_qa(spark: SparkSession, path: str, key: str, limit: int = 1000, fmt: str = "parquet") -> DataFrame:
-    """The first `limit` question rows (question, answers) by key: a bounded top-n, not a sort."""
+def read_qa(
+    spark: SparkSession, path: str, key: str, limit: int | None = None, fmt: str = "parquet"
+) -> DataFrame:
+    """Question rows (question, answers): all, or the first `limit` by key, a bounded top-n and not a sort."""
     schema = f"`{key}` bigint, question string, answers array<string>"
-    return spark.read.format(fmt).schema(schema).load(path).orderBy(key).limit(limit)
+    rows = spark.read.format(fmt).schema(schema).load(path)
+    return rows if limit is None else rows.orderBy(key).limit(limit)
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:

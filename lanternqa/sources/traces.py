@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lanternqa.functions.text import strip
+
 # Fixed value: a block ends here, so it is also the record separator.
 BLOCK_END = "</task>"
 
 
-def strip(x: Column) -> Column:
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
-
-
 def render_block(prompt: Column, response: Column) -> Column:
     return F.concat(
         F.lit("<task>\n<prompt>\n"), strip(prompt), F.lit("\n</prompt>\n<response>\n"), strip(response),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from lanternqa.session import exists
 from lanternqa.sources.tables import resume_unprocessed
 from lanternqa.sources.traces import BLOCK_END, parse_blocks
 
@@ -30,15 +31,20 @@ def stream_traces(
 def stream_unprocessed(stream: DataFrame, done_path: str, key: list[str], work, checkpoint: str) -> StreamingQuery:
     """Run `work(batch)` on rows whose key the table at `done_path` lacks, and append its result there.
 
-    A batch replayed after a failure finds its rows done and adds nothing twice.
+    Rows done before never reach `work`: a batch replayed after a failure is
+    filtered first and adds nothing twice. Only the keys of the done table are
+    read, and of these only the ones that the batch asks for are kept. A table
+    that does not exist yet is empty.
     """
 
     def step(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        result = work(batch)
-        done = spark.read.schema(result.schema).parquet(done_path)
-        fresh = resume_unprocessed(result, done, key)
-        fresh.write.mode("append").parquet(done_path)
+        keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.select(*key).schema)
+        todo = batch
+        if exists(spark, done_path):
+            done = spark.read.schema(keys).parquet(done_path)
+            todo = resume_unprocessed(batch, done.join(batch.select(*key).distinct(), key, "left_semi"), key)
+        work(todo).write.mode("append").parquet(done_path)
 
     return (
         stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from lanternqa.functions import meetings as fm
@@ -49,9 +50,10 @@ def test_decompose_handles_cycles_and_depth(spark):
     )
     seeds = spark.createDataFrame([(x, x) for x in ("a", "n0", "lone")], "root string, question string")
     got = hops.decompose_questions(seeds, hops.table_followups(edges), 5)
-    assert sorted(map(tuple, got.collect())) == sorted(
-        [("a", "a", 0), ("a", "b", 1), ("a", "c", 1), ("lone", "lone", 0)] + [("n0", f"n{i}", i) for i in range(6)]
-    )
+    short = [("a", "a", 0, False), ("a", "b", 1, False), ("a", "c", 1, False), ("lone", "lone", 0, False)]
+    assert sorted(map(tuple, got.collect())) == sorted(short + [("n0", f"n{i}", i, i == 5) for i in range(6)])
+    whole = hops.decompose_questions(seeds, hops.table_followups(edges))
+    assert sorted(map(tuple, whole.collect())) == sorted([x[:3] for x in short] + [("n0", f"n{i}", i) for i in range(10)])
 
 
 CORPUS = [
@@ -78,7 +80,33 @@ def test_two_hops_find_the_answer(spark):
     texts = spark.createDataFrame(CORPUS, "page_id int, text string")
     asked = spark.createDataFrame([(1, "When did the founder of Acme die?"), (2, "Again: founder of Acme?"), (3, "When did the founder of Acme die?")], "q_id int, question string")
     got = answer.multi_hop_answer(asked, texts, reasoner, max_hops=4).orderBy("q_id").collect()
-    assert [(r.q_id, r.answer, r.hops) for r in got] == [(i, "\n1999", 2) for i in (1, 2, 3)]
+    assert [(r.q_id, r.answer, r.hops, r.forced) for r in got] == [(i, "\n1999", 2, False) for i in (1, 2, 3)]
+
+
+def test_any_number_of_hops_cuts_the_corpus_once(spark):
+    """The texts are cut into words for the index only; each hop then reads just the pages it hit."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    def reasoner():
+        def complete(prompt):
+            found = prompt.count("Intermediate answer: ") - prompt.partition("Question: x")[0].count("Intermediate answer: ")
+            return "\nSo the final answer is: ok" if found >= 3 else f"\nFollow up: Who founded Acme {found}?"
+
+        return complete
+
+    texts = spark.createDataFrame(CORPUS, "page_id int, text string").mapInPandas(count, "page_id int, text string")
+    index = gather.index_of(texts)
+    assert seen.value == len(CORPUS)
+    plain = spark.createDataFrame(CORPUS, "page_id int, text string")
+    asked = spark.createDataFrame([(1, "x?"), (2, None)], "q_id int, question string")
+    got = {r.q_id: tuple(r)[1:] for r in answer.multi_hop_answer(asked, plain, reasoner, index=index).collect()}
+    assert got == {1: ("\nok", 3, False), 2: (None, None, None)}
+    assert seen.value == len(CORPUS)
 
 
 def test_hop_limit_forces_an_answer(spark):
@@ -88,7 +116,7 @@ def test_hop_limit_forces_an_answer(spark):
     texts = spark.createDataFrame(CORPUS, "page_id int, text string")
     asked = spark.createDataFrame([(1, "x?")], "q_id int, question string")
     got = answer.multi_hop_answer(asked, texts, reasoner, max_hops=2).first()
-    assert (got.answer, got.hops) == ("forced", 2)
+    assert (got.answer, got.hops, got.forced) == ("forced", 2, True)
 
 
 def test_unreadable_followup_ends_the_loop(spark):
@@ -118,6 +146,54 @@ def test_gather_drops_unusable_replies(spark):
     def model():
         return lambda p: '{"relevant_information": "yes"}' if "Query:\nAcme" in p else "cannot say"
 
-    assert [tuple(r) for r in gather.gather_info(asked, texts, model).collect()] == [(1, "yes")]
+    assert sorted(map(tuple, gather.gather_info(asked, texts, model).collect())) == [(1, "yes"), (2, "")]
+    none = spark.createDataFrame([(3, None), (4, "zebra")], "q_id int, question string")
+    assert sorted(map(tuple, gather.gather_info(none, texts, model).collect())) == [(3, ""), (4, "")]
+
+    def broken():
+        def complete(prompt):
+            raise RuntimeError("model is down")
+
+        return complete
+
+    with pytest.raises(Exception, match="model is down"):
+        gather.gather_info(asked, texts, broken).collect()
     default = {r.q_id: r.information for r in gather.gather_info(asked, texts).collect()}
     assert "Acme was founded" in default[1] and readers.best_piece("a", "x")()("\n\nQuery:\nq\n\nText:\nz\n").startswith("Nothing")
+
+
+def test_findings_keep_the_order_of_their_chunks(spark):
+    evidence = spark.createDataFrame([(1, "q", "z1 z2 a1 a2 z1 z2")], "k int, question string, text string")
+
+    def reader():
+        return lambda p: json.dumps({"relevant_information": p.partition("\n\nText:\n")[2].strip().split()[0]})
+
+    limit = len(gather.prompts.RELEVANCE) - 6 + 1 + 1 + 2  # two words a chunk
+    told = gather.relevant_information(evidence, ["k"], reader, limit, in_order=True).first()
+    assert told.information == "z1 a1 z1"
+    assert gather.relevant_information(evidence, ["k"], reader, limit).first().information == "a1 z1"
+
+
+def test_long_information_is_answered_in_pieces(spark):
+    from lanternqa.functions.prompts import ANSWER
+
+    limit = len(ANSWER) - 6 + len("find x7") + 40
+    rows = [(1, "find x7", " ".join(f"x{i}" for i in range(100))), (2, "find x7", "x7 here"), (3, "none", "")]
+    known = spark.createDataFrame(rows, "q_id int, question string, information string")
+    def answerer():
+        def complete(prompt):
+            assert len(prompt) <= limit
+            text = prompt.partition("\n\nText:\n")[2]
+            return json.dumps({"answer": "found"}) if "x7 " in text or "found" in text else "no idea"
+
+        return complete
+
+    got = {r.q_id: r.answer for r in answer.answer_from(known, "q_id", answerer, limit).collect()}
+    assert got == {1: "found", 2: "found", 3: None}
+
+    def parrot():
+        return lambda p: json.dumps({"answer": p.partition("\n\nText:\n")[2]})
+
+    # Answers that never get shorter end as what they are.
+    same = answer.answer_from(known.filter("q_id = 1"), "q_id", parrot, limit).first().answer
+    assert len(same) >= len(rows[0][2])

@@ -20,7 +20,8 @@ def test_strict_replies(spark):
     rows = [
         '{"answer":"x"}', '{"answer":"x"} junk', "{'answer':'x'}", '{"b":1}', "", ' \n{"answer": "y"} ', '[{"answer":"x"}]',
         '"x"', "12", "null", '{"answer":"a"},{"answer":"b"}', '{"answer":"q\\"uote \\u00e9"}', "{", '{"answer":null}',
-        '{"answer":"x",}', "true",
+        '{"answer":"x",}', "true", '{"answer":"x"}] junk', '{"answer":"x"}][', '{"answer":"x"}]//', '{"answer":"x"}}',
+        '{"answer":"x"},"k":1', '{"answer":"x"}],"z":[1', '{"answer":"x"}, "end":1}', '{"answer":"x"} // c', "[]", "{}",
     ]
     df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, x string")
     got = df.select("i", replies.parse_reply(F.col("x"), replies.ANSWER)["answer"].alias("a")).orderBy("i").collect()
@@ -68,13 +69,55 @@ def test_failing_model(spark):
         return complete
 
     df = spark.createDataFrame([("bad",), ("good",)], "prompt string")
-    assert {r.prompt: r.reply for r in inf.complete_batch(df, "prompt", model).collect()} == {"bad": None, "good": "ok"}
-    with pytest.raises(Exception):
-        inf.complete_batch(df, "prompt", model, on_error="raise").collect()
+    marked = inf.complete_batch(df, "prompt", model, on_error="mark").collect()
+    assert {r.prompt: (r.reply, r.error) for r in marked} == {"bad": (None, "ValueError: no"), "good": ("ok", None)}
+    with pytest.raises(Exception, match="no"):
+        inf.complete_batch(df, "prompt", model)
     with pytest.raises(ValueError):
         inf.complete_batch(df, "prompt", model, on_error="ignore")
 
 
+def test_batched_model_sees_lists_and_is_logged(spark, tmp_path):
+    from lanternqa.sources.traces import read_traces
+
+    @inf.batched
+    def model():
+        def complete(prompts):
+            if "bad" in prompts and len(prompts) > 1:
+                raise ValueError("one of them")
+            return [f"{p}!" for p in prompts]
+
+        return complete
+
+    rows = [(f"p{i}",) for i in range(40)] + [("bad",), (None,)]
+    df = spark.createDataFrame(rows, "prompt string")
+    log = str(tmp_path / "log")
+    got = inf.complete_batch(df, "prompt", model, on_error="mark", partitions=2, batch=8, log=log).collect()
+    assert {r.prompt: r.reply for r in got} == {p: None if p is None else f"{p}!" for (p,) in rows}
+    assert sorted(map(tuple, read_traces(spark, log).collect())) == sorted((p, f"{p}!") for (p,) in rows if p)
+
+
+def test_input_of_a_batch_runs_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    df = spark.range(50).selectExpr("concat('p', id % 7) AS prompt").mapInPandas(count, "prompt string")
+    assert inf.complete_batch(df, "prompt", lambda: str.upper).count() == 50
+    assert seen.value == 50
+
+
+def test_model_keywords_are_all_used(spark):
+    from lanternqa.operators.readers import long_words
+
+    df = spark.createDataFrame([(1, "the longest sentences matter"), (2, "a b")], "q_id int, question string")
+    got = {r.q_id: r.keywords for r in inf.model_keywords(df, long_words(6)).collect()}
+    assert got == {1: ["longest", "sentences", "matter"], 2: []}
+
+
 def test_any_sufficient(spark):
     df = spark.createDataFrame([(1, True), (1, None), (2, None), (2, None)], "k int, is_sufficient boolean")
     assert sorted(map(tuple, inf.any_sufficient(df, ["k"]).collect())) == [(1, True), (2, False)]

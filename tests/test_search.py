@@ -92,6 +92,24 @@ def test_keywords_alike_for_large_vocabulary(spark, hot_case, monkeypatch):
     assert ("Copy" in {r[2] for r in small}) and all(r[1] <= 2 for r in small)
 
 
+def test_unfiltered_texts_are_not_moved(spark):
+    """Without broadcasts, hits meet only the texts of the pages that were hit."""
+    from pyspark.sql import functions as F
+
+    texts = spark.range(2000).select(F.col("id").alias("page_id"), F.repeat(F.lit("text "), 50).alias("text"))
+    hits = spark.createDataFrame([(1, 1, 10), (1, 2, 20)], "q_id int, rank int, page_id bigint")
+    plan = rt.join_pages(hits, texts)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
+    assert [tuple(r)[0] for r in rt.join_pages(hits, texts).collect()] == [1]
+
+
+def test_index_counts_only_rows_with_an_id(spark):
+    df = spark.createDataFrame([(1, "a b a"), (None, "c c c c"), (2, None)], "page_id int, text string")
+    index = rt.corpus_index(df)
+    assert (index.n_docs, index.mean_len) == (2, 1.5)
+    assert sorted(map(tuple, index.words.collect())) == [(1, 3, "a", 2), (1, 3, "b", 1)]
+
+
 def test_site_host_rules(spark):
     from pyspark.sql import functions as F
 

@@ -43,12 +43,39 @@ def test_stream_adds_only_new_files(spark, tmp_path):
 
 def test_stream_unprocessed_is_done_once(spark, tmp_path):
     source, done = str(tmp_path / "in"), str(tmp_path / "done")
-    spark.createDataFrame([], "id bigint").write.parquet(done)
     spark.range(10).write.parquet(source)
+    seen = []
+
+    def work(batch):
+        seen.extend(r.id for r in batch.collect())
+        return batch
+
     for checkpoint in ("a", "b"):  # a lost checkpoint replays everything
         stream = spark.readStream.schema("id bigint").parquet(source)
-        st.stream_unprocessed(stream, done, ["id"], lambda b: b, str(tmp_path / checkpoint)).awaitTermination()
+        st.stream_unprocessed(stream, done, ["id"], work, str(tmp_path / checkpoint)).awaitTermination()
         assert spark.read.parquet(done).count() == 10
+    assert sorted(seen) == list(range(10))  # nothing is worked on twice
+
+
+def test_scratch_without_a_named_folder(spark, monkeypatch):
+    from lanternqa import session
+
+    monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: None)
+    real = spark.conf.get
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, *a: None if key == "spark.checkpoint.dir" else real(key, *a))
+    monkeypatch.setattr(session, "_LOCAL", [])
+    table = session.materialize(spark.range(3), "three")
+    assert table.count() == 3 and session.scratch_root(spark) == session._LOCAL[0]
+    assert session.exists(spark, session.scratch_root(spark))
+    session.release(table)
+    assert not any(session.exists(spark, f.rsplit("/", 1)[0]) for f in table.inputFiles())
+    monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: "/given")
+    assert session.scratch_root(spark) == "/given"
+
+
+def test_blanks_of_all_kinds_are_stripped(spark):
+    df = spark.createDataFrame([("\u00a0\u2003 a b\u3000\x85\n",), ("\x1c",), ("x",)], "x string")
+    assert [r[0] for r in df.select(tr.strip(df.x)).collect()] == ["a b", "", "x"]
 
 
 def test_csv_keeps_hard_values(spark, tmp_path):

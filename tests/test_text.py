@@ -123,3 +123,10 @@ def test_truncate_to_budget(spark):
     df = spark.createDataFrame([("pp", "abcdef")], "p string, x string")
     fit = [df.select(pr.truncate_to_budget(F.col("p"), F.col("x"), n).alias("y")).first().y for n in (9, 8, 5, 1)]
     assert fit == ["abcdef", "abcdef", "abc", ""]
+
+
+def test_stops_that_overlap_cut_at_the_first(spark):
+    df = spark.createDataFrame([("xab: y",), ("none",), ("ab:",)], "x string")
+    for stops in (["b:", "ab:"], ["ab:", "b:"]):
+        got = [r[0] for r in df.select(tx.truncate_at_stop(F.col("x"), stops)).collect()]
+        assert got == ["x", "none", ""]
