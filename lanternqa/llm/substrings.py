@@ -37,7 +37,7 @@ CHUNK_BYTES = 3 << 20
 # A row of edges: to which part, and by document the number of edges, their starts and their keys. A row of
 # links (no keys): the occurrences' documents and starts, their sources' documents, and the distances to them.
 EDGES = "part int, keys binary, docs binary, counts binary, starts binary, sources binary, shifts binary"
-LINKS = "docs binary, counts binary, starts binary, sources binary, shifts binary"
+LINKS = "part int, docs binary, counts binary, starts binary, sources binary, shifts binary"
 
 
 def _binary(*arrays: np.ndarray) -> list[bytes]:
@@ -102,68 +102,60 @@ def _edges(batches: Iterable[pa.RecordBatch], k: int, parts: int) -> Iterator[pa
         yield _rows(rows, EDGES)
 
 
-def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Join the occurrences of each edge of a part to the earliest one."""
-    keys, docs, starts = [], [], []
+def _links_of(rows: list[dict]) -> tuple[np.ndarray, ...]:
+    """All links of some rows: documents, starts, source documents, distances to the source starts."""
+    columns = []
+    for row in rows:
+        counts = np.frombuffer(row["counts"], np.int32)
+        columns.append(
+            (np.repeat(np.frombuffer(row["docs"], np.int64), counts), np.frombuffer(row["starts"], np.int32),
+             np.frombuffer(row["sources"], np.int64), np.frombuffer(row["shifts"], np.int32))
+        )
+    empty = (np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int32))
+    return tuple(np.concatenate(x) for x in zip(*columns, empty))
+
+
+def _meet(batches: Iterable[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Join the occurrences of each edge of a part to the earliest one; the links leave by parts of the documents."""
+    keys, docs, starts, known = [], [], [], []
     for batch in batches:
-        rows = []
         for row in batch.to_pylist():
             if row["keys"] is None:
-                rows.append(tuple(row[x] for x in ("docs", "counts", "starts", "sources", "shifts")))
+                known.append(row)
                 continue
             keys.append(np.frombuffer(row["keys"], np.uint64))
             docs.append(np.repeat(np.frombuffer(row["docs"], np.int64), np.frombuffer(row["counts"], np.int32)))
             starts.append(np.frombuffer(row["starts"], np.int32))
-        if rows:
-            yield _rows(rows, LINKS)
-    if not keys:
-        return
-    key, doc, start = np.concatenate(keys), np.concatenate(docs), np.concatenate(starts)
-    del keys, docs, starts
-    order = np.argsort(key)
-    same = key[order][1:] == key[order][:-1]
-    shared = np.append(same, False) | np.append(False, same)
-    own = order[shared]
-    own = own[np.lexsort((start[own], doc[own], key[own]))]
-    if not len(own):
-        return
-    follows = np.append(False, key[own][1:] == key[own][:-1])
-    head = own[np.maximum.accumulate(np.where(follows, 0, np.arange(len(own))))]
-    moved = (doc[own] != doc[head]) | (start[own] != start[head])
-    own, head = own[moved], head[moved]
-    if len(own):
-        yield _rows([_link_row(0, doc[own], start[own], doc[head], start[head])[2:]], LINKS)
-
-
-def _by_document(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links, one row per document and part."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            out = []
-            docs, counts = np.frombuffer(row["docs"], np.int64), np.frombuffer(row["counts"], np.int32)
-            to = np.cumsum(counts)
-            for doc, a, b in zip(docs.tolist(), (to - counts).tolist(), to.tolist()):
-                out.append((doc, row["starts"][4 * a : 4 * b], row["sources"][8 * a : 8 * b], row["shifts"][4 * a : 4 * b]))
-            columns = list(zip(*out)) or [()] * 4
-            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), t) for c, t in zip(columns, kinds)], names=["doc_id", "starts", "sources", "shifts"]
-            )
+    links = [_links_of(known)]
+    if keys:
+        key, doc, start = np.concatenate(keys), np.concatenate(docs), np.concatenate(starts)
+        del keys, docs, starts
+        order = np.argsort(key)
+        same = key[order][1:] == key[order][:-1]
+        own = order[np.append(same, False) | np.append(False, same)]
+        own = own[np.lexsort((start[own], doc[own], key[own]))]
+        follows = np.append(False, key[own][1:] == key[own][:-1])[: len(own)]
+        head = own[np.maximum.accumulate(np.where(follows, 0, np.arange(len(own))))]
+        moved = (doc[own] != doc[head]) | (start[own] != start[head])
+        own, head = own[moved], head[moved]
+        links.append((doc[own], start[own], doc[head], start[head] - start[own]))
+    doc, start, source, shift = (np.concatenate(x) for x in zip(*links))
+    part = (W.mixed(doc.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    bounds = np.searchsorted(part[order], np.arange(parts + 1))
+    rows = []
+    for p in np.flatnonzero(np.diff(bounds)).tolist():
+        own = order[bounds[p] : bounds[p + 1]]
+        row = _link_row(p, doc[own], start[own], source[own], start[own] + shift[own])
+        rows.append((p, *row[2:]))
+    yield _rows(rows, LINKS)
 
 
 def _compact(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Nonbranching paths of whole documents: successive starts with one source document and one distance."""
-    for batch in batches:
-        parts = []
-        for doc, links in zip(batch.column("doc_id").to_pylist(), batch.column("links").to_pylist()):
-            for x in links:
-                start = np.frombuffer(x["starts"], np.int32).astype(np.int64)
-                parts.append(
-                    (np.full(len(start), doc), start, np.frombuffer(x["sources"], np.int64), np.frombuffer(x["shifts"], np.int32))
-                )
-        if not parts:
-            continue
-        doc, start, source, shift = (np.concatenate(x) for x in zip(*parts))
+    doc, start, source, shift = _links_of([row for batch in batches for row in batch.to_pylist()])
+    if len(doc):
+        start = start.astype(np.int64)
         order = np.lexsort((start, doc))
         doc, start, source, shift = doc[order], start[order], source[order], shift[order].astype(np.int64)
         fresh = np.append(True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1]))  # a repeated row links twice
@@ -185,13 +177,10 @@ def repeated_paths(docs: DataFrame, scratch: Scratch, k: int = EDGE_WORDS) -> Da
     parts = shuffle_parts(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     edges = rows.filter("doc_id IS NOT NULL").mapInArrow(lambda batches: _edges(batches, k, parts), EDGES)
-    # One function, so one Python worker per task.
-    by_doc = edges.repartitionById(parts, F.col("part")).mapInArrow(
-        lambda batches: _by_document(_meet(batches)), "doc_id long, starts binary, sources binary, shifts binary"
-    )
-    walks = by_doc.groupBy("doc_id").agg(F.collect_list(F.struct("starts", "sources", "shifts")).alias("links"))
+    links = edges.repartitionById(parts, F.col("part")).mapInArrow(lambda batches: _meet(batches, parts), LINKS)
     schema = "doc_id long, start long, length long, source_id long, source_start long"
-    return scratch.write(walks.mapInArrow(lambda batches: _compact(batches, k), schema), "paths")
+    walks = links.repartitionById(parts, F.col("part")).mapInArrow(lambda batches: _compact(batches, k), schema)
+    return scratch.write(walks, "paths")
 
 
 def _fingerprints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
