@@ -21,6 +21,13 @@ from lanternqa.llm.substrings import repeated_spans, span_report
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+# From `links` (a, b) and `ids` (id): the smallest id that each one reaches.
+_REACH = """both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(a, b) AS (
+  SELECT id, id FROM ids UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a),
+component AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)"""
+
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[fn.__name__] = fn
@@ -93,6 +100,23 @@ def op4_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return contamination_report(found)
 
 
+_WINDOWS = """SELECT {key}, n, i, list_slice(ws, i + 1, i + n) AS run
+  FROM (SELECT *, unnest(range(len(ws) - n + 1)) AS i FROM (SELECT *, unnest({sizes}) AS n FROM {table}) WHERE n BETWEEN 1 AND len(ws))"""
+ORACLES["op4_benchmark_decontamination"] = f"""WITH
+d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS ws FROM benchmark),
+items AS ({_WINDOWS.format(key='item_id', table='b', sizes='[least(len(ws), 13)]')}),
+sizes AS (SELECT list(DISTINCT n) AS all_sizes FROM items),
+runs AS ({_WINDOWS.format(key='doc_id', table='d', sizes='(SELECT all_sizes FROM sizes)')}),
+hits AS (SELECT doc_id, item_id, runs.n, runs.i FROM runs JOIN items USING (run)),
+hit AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS pos FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(ws), false) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)"""
+
+
 @query
 def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack(documents(spark, sf), *vocabulary()).drop("ids")
@@ -112,6 +136,18 @@ def op7_embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf}/embeddings.parquet"))
 
 
+ORACLES["op7_embedding_near_dedup"] = f"""WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+valid AS (SELECT * FROM v WHERE label IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+  AND list_max(list_transform(x, lambda c: abs(c))) > 0),
+links AS (SELECT p.vec_id AS a, q.vec_id AS b FROM valid p JOIN valid q
+  ON p.label = q.label AND p.vec_id < q.vec_id AND len(p.x) = len(q.x) AND list_cosine_similarity(p.x, q.x) >= 0.93e0),
+ids AS (SELECT vec_id AS id FROM v), {_REACH},
+n AS (SELECT a AS id, count(*) AS n_links FROM both_ways GROUP BY a)
+SELECT c.id AS vec_id, coalesce(n_links, 0) AS n_links, component_id, c.id = component_id AS kept
+FROM component c LEFT JOIN n USING (id)"""
+
+
 @query
 def op8_language_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf)
@@ -126,6 +162,19 @@ def op9_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(documents(spark, sf))
 
 
+ORACLES["op9_minhash_near_dedup"] = f"""WITH RECURSIVE cut AS (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(ws) > 1
+  THEN list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) ELSE ws END AS s FROM cut),
+one AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+shared AS (SELECT p.doc_id AS a, q.doc_id AS b, p.n + q.n AS total, count(*) AS shared FROM one p JOIN one q
+  ON p.shingle = q.shingle AND p.doc_id < q.doc_id AND 100 * least(p.n, q.n) >= 80 * greatest(p.n, q.n) GROUP BY ALL),
+links AS (SELECT a, b FROM shared WHERE 100 * shared >= 80 * (total - shared)),
+ids AS (SELECT doc_id AS id FROM sets), {_REACH}
+SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM sets JOIN component ON component.id = sets.doc_id"""
+
+
 @query
 def op10_personal_data(spark: SparkSession, sf: str) -> DataFrame:
     return personal_data_report(find_personal_data(documents(spark, sf)))
