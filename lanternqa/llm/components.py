@@ -56,13 +56,22 @@ def _fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _settled(stars: DataFrame) -> bool:
+    """Whether every node points to one centre, and no centre points further."""
+    ends = stars.select(F.col("a").alias("id"), F.col("b").alias("to")).unionByName(
+        stars.select(F.col("b").alias("id"), F.lit(None).cast("long").alias("to"))
+    )
+    around = ends.groupBy("id").agg(F.min("to").alias("low"), F.max("to").alias("high"), F.max(F.col("to").isNull()).alias("centre"))
+    return around.filter("low IS NOT NULL AND (centre OR low <> high)").isEmpty()
+
+
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component): for each end `a`, `b` of a link that is not its component's smallest id, that id."""
     real = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b")
     # Each row says that the larger id `a` is connected to the smaller id `b`.
     stars = scratch.write(real.mapInArrow(_fold, LINK), "stars_0")
-    done, turn = None, 0
-    while True:
+    turn = 0
+    while not _settled(stars):
         turn += 1
         # Large star: all larger neighbours of a node move to the smallest id around it.
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -73,8 +82,5 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         least = scratch.write(large.groupBy("a").agg(F.min("b").alias("low")), f"least_{turn}")
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b")
         stars = scratch.write(small.unionByName(least.withColumnRenamed("low", "b")).distinct(), f"stars_{turn}")
-        mark = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         scratch.drop(f"stars_{turn - 1}", f"low_{turn}", f"large_{turn}", f"least_{turn}")
-        if mark == done:
-            return stars.select(F.col("a").alias("id"), F.col("b").alias("component"))
-        done = mark
+    return stars.select(F.col("a").alias("id"), F.col("b").alias("component")).distinct()

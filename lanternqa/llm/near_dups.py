@@ -197,10 +197,14 @@ def _cell(rows: list[dict], lowest: float, best_only: bool) -> Iterator[tuple[in
     names, place = np.unique(component, return_inverse=True)
     # Members of the largest component need not be compared with each other.
     small = np.flatnonzero(place != np.argmax(np.bincount(place)))
-    step = max(1, (16 << 20) // max(1, slots.size))
+    columns = np.ascontiguousarray(slots.T)
+    step = max(1, (2 << 20) // len(ids))
     for at in range(0, len(small), step):
         some = small[at : at + step]
-        share = (slots[some][:, None, :] == slots[None]).mean(2)
+        equal = np.zeros((len(some), len(ids)), np.uint16)
+        for column in columns:  # slot by slot: whole rows of bytes at once
+            equal += column[some][:, None] == column[None]
+        share = equal / len(columns)
         allowed = component[some][:, None] != component[None]
         if low != high:
             allowed &= block[some][:, None] != block[None]
