@@ -334,12 +334,13 @@ def score_texts(docs: DataFrame, train: str, prior: float = PRIOR) -> DataFrame:
     by_block = words.filter("block IS NOT NULL").groupBy("block").agg(
         F.collect_list(F.struct("part", "ranks", "totals")).alias("words")
     )
-    asked = blocks.join(by_block, "block", "left").mapInArrow(
-        lambda batches: _pair_counts(batches, vocabulary, limit, parts), PAIRS
-    )
+    # Blocks meet their words once; both tables go, and the pairs are read off without another shuffle of texts.
+    known = scratch.write(blocks.join(by_block, "block", "left"), "known")
+    scratch.drop("blocks", "words")
+    asked = known.mapInArrow(lambda batches: _pair_counts(batches, vocabulary, limit, parts), PAIRS)
     codes = scratch.write(
         asked.repartitionById(parts, F.col("part")).mapInArrow(lambda batches: _answer_pairs(batches, prior), CODES), "codes"
     )
     pairs = codes.groupBy("block").agg(F.collect_list(F.struct("part", "codes")).alias("pairs"))
-    full = blocks.join(by_block, "block", "left").join(pairs, "block", "left")
+    full = known.join(pairs, "block", "left")
     return full.mapInArrow(lambda batches: _score(batches, vocabulary, limit, parts, prior), SCORES)
