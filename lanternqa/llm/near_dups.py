@@ -151,9 +151,9 @@ def _sign(batches: Iterable[pa.RecordBatch], words: int, bands: int, rows: int)
         lists = pa.ListArray.from_arrays(
             pa.array(np.arange(len(texts) + 1) * bands, pa.int32()), pa.array(signed[place].ravel(), pa.int64())
         )
+        columns = [pa.array(sizes, pa.int64()), *map(pa.array, names), lists, pa.array([x.tobytes() for x in slots[place]], pa.binary())]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names[0]), pa.array(names[1]), lists, pa.array([x.tobytes() for x in slots[place]], pa.binary())],
-            names=["doc_id", "n_shingles", "high", "low", "bands", "slots"],
+            [batch.column("doc_id"), *columns], names=["doc_id", "n_shingles", "high", "low", "bands", "slots"]
         )
 
 
@@ -270,7 +270,8 @@ def near_duplicates(
         "rep", "band", F.xxhash64("band", "key").alias("bucket")
     )
     # Buckets with a single member go at once.
-    crowded = scratch.write(places.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket"), "crowded")
+    counts = places.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    crowded = scratch.write(counts.filter("n > 1").select("bucket"), "crowded")
     members = scratch.write(places.join(crowded, "bucket"), "members")
     reps = members.select("rep").distinct()
     sets = scratch.write(
