@@ -137,7 +137,10 @@ def trusted_patterns(
     """
     near = found.filter("one IS NOT NULL")
     wanted = near.select(F.col("one").alias("word")).unionByName(near.select(F.col("two").alias("word"))).distinct()
+    # Written before the join, or the plan would move single words to meet the wanted ones before it counts them.
+    counts = scratch.write(counts, "word-counts")
     uses = scratch.write(counts.join(wanted, "word", "left_semi"), "uses")
+    scratch.drop("word-counts")
     single = near.select("value", "seed", F.col("one").alias("pattern"), F.col("one").alias("word"))
     double = near.filter("two IS NOT NULL").select(
         "value", "seed", F.concat_ws(" ", "two", "one").alias("pattern"), F.explode(F.array("one", "two")).alias("word")
