@@ -75,8 +75,10 @@ def _column(score):
 
 @F.pandas_udf(T.IntegerType())
 def _best_set_ratio(a: pd.Series, options: pd.Series) -> pd.Series:
-    best = [None if o is None else max([0 if x is None or y is None else set_ratio(x, y) for y in o], default=0) for x, o in zip(a, options)]
-    return pd.Series(best, dtype="Int32")
+    def best(x: str | None, texts) -> int | None:
+        return None if texts is None else max([0 if x is None or y is None else set_ratio(x, y) for y in texts], default=0)
+
+    return pd.Series([best(x, texts) for x, texts in zip(a, options)], dtype="Int32")
 
 
 def best_token_set_ratio(a: Column, options: Column) -> Column:
