@@ -1,7 +1,8 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
-Seeds are the entities that fixed patterns find. Every stretch with digits is an
-instance; the one or two words before it are lexical patterns. Spark scores the
+Seeds are the entities that fixed patterns find. Every seed is an instance, and so
+is every stretch with digits that no seed covers; the one or two words before an
+instance, within CONTEXT_CHARS characters, are lexical patterns. Spark scores the
 graph of patterns and instances in rounds: a pattern is worth the share of all
 its uses in the corpus that stand before trusted instances, an instance as much
 as its best pattern. Instances of high-confidence patterns that no seed covers
@@ -35,13 +36,14 @@ OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 INSTANCE = r"(?<![A-Za-z0-9._/@+-])[A-Za-z._/@+-]*+[0-9][A-Za-z0-9._/@+-]*+"
 MIN_DIGITS = 5
 CONTEXT_CHARS = 64
+BLANKS = r"[\x20\x09-\x0D]+"
 ROUNDS = 3
 MIN_CONFIDENCE = 0.5
 MIN_SUPPORT = 3
 
 
 def located(text: Column, pattern: str) -> Column:
-    """All matches with their places and the text before each, back to the match before it.
+    """All matches with their places and the end of the text before each, its blanks folded to single spaces.
 
     The stretches between matches come from splitting, so places are running sums of lengths.
     """
@@ -49,18 +51,26 @@ def located(text: Column, pattern: str) -> Column:
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1),
         lambda value, gap: F.struct(value.alias("value"), gap.alias("gap")),
     )
-    item = "struct<start:int,end:int,value:string,gap:string>"
+    item = "struct<start:int,end:int,value:string,before:string>"
     none = F.array().cast(f"array<{item}>")
 
+    def last(so_far: Column, more: Column) -> Column:
+        return F.substring(F.regexp_replace(F.concat(so_far, more), BLANKS, " "), -CONTEXT_CHARS - 1, CONTEXT_CHARS + 1)
+
     def step(so_far: Column, pair: Column) -> Column:
         start = so_far["at"] + F.length(pair["gap"])
         end = start + F.length(pair["value"])
-        found = F.struct(start.alias("start"), end.alias("end"), pair["value"].alias("value"), pair["gap"].alias("gap"))
-        return F.struct(end.alias("at"), F.concat(so_far["found"], F.array(found)).alias("found"))
+        before = last(so_far["before"], pair["gap"])
+        found = F.struct(start.alias("start"), end.alias("end"), pair["value"].alias("value"), before.alias("before"))
+        return F.struct(
+            end.alias("at"), last(before, pair["value"]).alias("before"),
+            F.concat(so_far["found"], F.array(found)).alias("found"),
+        )
 
     return F.aggregate(
         F.filter(pairs, lambda pair: pair["value"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda so_far: so_far["found"],
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("before"), none.alias("found")), step,
+        lambda so_far: so_far["found"],
     )
 
 
@@ -82,7 +92,7 @@ def _valid_card(value: Column) -> Column:
 
 
 def base_spans(text: Column) -> Column:
-    """The seeds of a text by kind and start, as an array of (kind, start, end)."""
+    """The seeds of a text by kind and start, as an array of (kind, start, end, value, before)."""
     has_digit = text.rlike("[0-9]")
     kinds = [
         ("email", EMAIL, F.contains(text, F.lit("@")), lambda v: F.lit(True)),
@@ -90,39 +100,52 @@ def base_spans(text: Column) -> Column:
         ("card", CARD, has_digit, _valid_card),
         ("phone", PHONE, has_digit & F.contains(text, F.lit("+")), lambda v: F.length(F.translate(v, "+ ().-", "")).between(9, 15)),
     ]
-    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string,before:string>>")
 
     def of_kind(name: str, pattern: str, wanted: Column, valid) -> Column:
         found = F.filter(located(text, pattern), lambda x: valid(x["value"]))
-        spans = F.transform(found, lambda x: F.struct(F.lit(name).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+        spans = F.transform(found, lambda x: F.struct(F.lit(name).alias("kind"), *(x[k].alias(k) for k in ("start", "end", "value", "before"))))
         return F.when(wanted, spans).otherwise(none)
 
     return F.concat(*(of_kind(*kind) for kind in kinds))
 
 
-def instances(text: Column, base: Column) -> Column:
-    """All identifier-like stretches: (start, end, value, one, two, seed), by the words before and the cover of a seed."""
-    found = F.filter(
-        located(text, INSTANCE), lambda x: F.length(F.regexp_replace(x["value"], "[^0-9]", "")) >= MIN_DIGITS
-    )
+def instances(text: Column, seeds: Column) -> Column:
+    """All seeds, and the identifier-like stretches that no seed covers: (start, end, value, one, two, seed).
 
-    def describe(x: Column) -> Column:
-        before = F.lower(F.substring(x["gap"], -CONTEXT_CHARS, CONTEXT_CHARS))
-        words = F.filter(F.split(before, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-        # The gap itself may end inside a word, as in an opening quote; that word is part of the pattern.
+    `one` and `two` are the last words before. `seeds` is a column sorted by start, the longest first; of those
+    with one start the first stands for all, so no use of a pattern counts twice.
+    """
+
+    def describe(x: Column, seed: bool) -> Column:
+        words = F.split(x["before"], " ")
+        # The first word of a full window may be the end of a longer one.
+        words = F.when(F.length(x["before"]) > CONTEXT_CHARS, F.slice(words, 2, CONTEXT_CHARS)).otherwise(words)
+        # The last word may be joined to the value, as an opening quote is; it is part of the pattern.
+        words = F.filter(words, lambda w: w != "")
         return F.struct(
             x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"),
-            F.try_element_at(words, F.lit(-1)).alias("one"), F.try_element_at(words, F.lit(-2)).alias("two"),
-            F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])).alias("seed"),
+            F.lower(F.try_element_at(words, F.lit(-1))).alias("one"),
+            F.lower(F.try_element_at(words, F.lit(-2))).alias("two"),
+            F.lit(seed).alias("seed"),
         )
 
+    first = F.filter(seeds, lambda x, i: ~F.get(seeds, i - 1)["start"].eqNullSafe(x["start"]))
+    stretches = F.filter(
+        located(text, INSTANCE),
+        lambda x: (F.length(F.regexp_replace(x["value"], "[^0-9]", "")) >= MIN_DIGITS)
+        & ~F.exists(seeds, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])),
+    )
     none = F.array().cast("array<struct<start:int,end:int,value:string,one:string,two:string,seed:boolean>>")
-    return F.when(text.rlike("[0-9]"), F.transform(found, describe)).otherwise(none)
+    return F.concat(
+        F.transform(first, lambda x: describe(x, True)),
+        F.when(text.rlike("[0-9]"), F.transform(stretches, lambda x: describe(x, False))).otherwise(none),
+    )
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, uses) of all lower-cased words; counts fold in each task."""
-    words = texts.select(F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("word"))
+    words = texts.select(F.explode(F.split(F.lower("text"), BLANKS)).alias("word"))
     return words.filter("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("uses"))
 
 
@@ -187,10 +210,13 @@ def find_personal_data(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
     with_base = texts.withColumn("base", base_spans(F.col("text")))
+    by_start = F.transform("base", lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), *(x[k].alias(k) for k in ("end", "value", "before"))))
+    with_base = with_base.withColumn("seeds", F.array_sort(by_start))
+    spans = F.transform("base", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     rows = scratch.write(
         with_base.select(
-            F.monotonically_increasing_id().alias("row"), "doc_id", "base",
-            instances(F.col("text"), F.col("base")).alias("instances"),
+            F.monotonically_increasing_id().alias("row"), "doc_id", spans.alias("base"),
+            instances(F.col("text"), F.col("seeds")).alias("instances"),
         ),
         "rows",
     )

@@ -375,6 +375,36 @@ def test_personal_data(spark, empty):
     assert personal_data_report(find_personal_data(empty)).count() == 0
 
 
+def check_digit(digits):
+    return next(digits + c for c in "0123456789" if brute.luhn(digits + c))
+
+
+def context_spans(docs):
+    """{doc_id: the spans that patterns added}"""
+    rows = personal_data_report(find_personal_data(docs)).collect()
+    return {r.doc_id: [x for x in r.spans.split(",") if x.startswith("context:")] for r in rows}
+
+
+@pytest.mark.parametrize("kind", ["email", "ip", "card", "phone"])
+def test_each_kind_of_seed_induces_patterns(spark, kind):
+    """Emails without digits, addresses of few digits, spaced cards and bracketed phones stand before any other."""
+    rng = random.Random(kind)
+    make = {
+        "email": lambda i: f"{'abcdef'[i]}.name@site.org",
+        "ip": lambda i: f"1.{i}.2.3",
+        "card": lambda i: " ".join([(c := check_digit(f"41{i}{rng.randrange(10**12):012d}"))[:4], c[4:8], c[8:12], c[12:]]),
+        "phone": lambda i: f"+1 ({243 + i}) 555-{rng.randrange(10**4):04d}",
+    }[kind]
+    texts = {i: f"{sentence(rng, 20)} Holder {kind}-of: {make(i)} {sentence(rng, 20)}" for i in range(6)}
+    assert all(f"{kind}:" in ",".join(brute.personal(t)) for t in texts.values())
+    texts[10] = f"Holder {kind}-of: QX7-88231-B and more"
+    texts[11] = "Holder other-thing: QX7-99231-B and more"
+    at = texts[10].index("QX7")
+    got = context_spans(frame(spark, [(i, t, None) for i, t in texts.items()]))
+    assert got.pop(10) == [f"context:{at}:{at + 11}"]
+    assert not any(got.values())
+
+
 def test_personal_data_runs_no_python(docs):
     plan = find_personal_data(docs)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
