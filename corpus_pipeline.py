@@ -18,6 +18,9 @@ from lanternqa.llm.packing import pack
 from lanternqa.llm.queries import vocabulary
 from lanternqa.llm.scratch import Scratch
 
+# The query's two words are for its SQL; documents are lost only for being copies in runs of five words.
+NEAR_WORDS = 5
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that have no language: null texts and texts without a letter."""
@@ -32,7 +35,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each group of near copies."""
-    return drop_near_duplicates(docs)
+    return drop_near_duplicates(docs, words=NEAR_WORDS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

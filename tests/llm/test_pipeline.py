@@ -62,6 +62,18 @@ def test_stages_equal_plain_ones(spark, folder, tmp_path):
     }
 
 
+def test_near_dedup_takes_five_words(spark, folder):
+    """Alike in word pairs only: one changed word in 20, and logs over few words. Both stay; a real copy goes."""
+    rng = random.Random(8)
+    long = [f"w{i}" for i in range(400)]
+    texts = {0: " ".join(long), 1: " ".join(x + "x" if i % 20 == 9 else x for i, x in enumerate(long)), 2: " ".join([*long, "end"])}
+    texts |= {10 + i: " ".join(rng.choice("get put ok err up".split()) for _ in range(400)) for i in range(4)}
+    stay = {d for d, (_, c) in brute.near_copies(texts, 5).items() if c == d}
+    assert stay == set(texts) - {2} and {c for _, c in brute.near_copies(texts).values()} == {0, 10}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, folder[0]).collect()} == stay
+
+
 def test_stages_take_an_empty_table(spark, folder):
     path, _, _ = folder
     docs = spark.read.parquet(f"{path}/documents.parquet").limit(0)
