@@ -22,10 +22,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanternqa.llm import words as W
+from lanternqa.llm.scratch import Scratch
 
 UNKNOWN = "und"
 BINS = 1 << 13
@@ -80,8 +81,15 @@ def _has_letter(text: bytes) -> bool:
 
 
 def _vectors(batches: Iterable[pa.RecordBatch], bins: int) -> Iterator[pa.RecordBatch]:
-    """Each labelled text as the sparse means of its trigram bins."""
+    """Each labelled text as the sparse means of its trigram bins; copies inside a task once."""
+    seen = set()
     for batch, texts in W.chunks(batches):
+        fresh = []
+        for i, mark in enumerate(zip(batch.column("lang").to_pylist(), batch.column("key").to_pylist())):
+            if mark not in seen:
+                seen.add(mark)
+                fresh.append(i)
+        batch, texts = batch.take(pa.array(fresh, pa.int64())), [texts[i] for i in fresh]
         found, offset = trigram_bins([x or b"" for x in texts], bins)
         places, values = [], []
         for a, b in zip(offset[:-1], offset[1:]):
@@ -141,10 +149,46 @@ def fit_machine(
     return Machine(yes, no, (w * scale).astype(np.float32), float(b - center @ w))
 
 
+def _up_to(limits: dict[str, int]) -> Column:
+    """Whether a row's key is at most its language's limit."""
+    wanted = F.lit(False)
+    for lang, limit in sorted(limits.items()):
+        wanted = wanted | ((F.col("lang") == lang) & (F.col("key") <= limit))
+    return wanted
+
+
+def key_limits(rows: DataFrame, per_language: int, max_languages: int) -> dict[str, int]:
+    """The `per_language`-th smallest distinct key of each language of (lang, key) rows, or its largest if it has fewer.
+
+    Copies fold before anything is counted. Keys are even, so a threshold leaves a little more than what is wanted;
+    where it leaves less, it is raised.
+    """
+    scratch = Scratch(rows.sparkSession)
+    keys = scratch.write(rows.select("lang", "key").distinct(), "keys")
+    counts = {r["lang"]: r["count"] for r in keys.groupBy("lang").count().take(max_languages + 1)}
+    if len(counts) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
+    limits: dict[str, int] = {}
+    spare = 100 + 10 * per_language**0.5
+    while len(limits) < len(counts):
+        shares = {lang: min(1.0, (per_language + spare) / n) for lang, n in counts.items() if lang not in limits}
+        tried = {lang: min(int(share * (1 << 64)) - (1 << 63), (1 << 63) - 1) for lang, share in shares.items()}
+        found: dict[str, list[int]] = {lang: [] for lang in tried}
+        for r in keys.filter(_up_to(tried)).collect():
+            found[r["lang"]].append(r["key"])
+        for lang, own in found.items():
+            wanted = min(per_language, counts[lang])
+            if len(own) >= wanted:
+                limits[lang] = sorted(own)[wanted - 1]
+        spare *= 4
+    scratch.drop("keys")
+    return limits
+
+
 def fit_languages(
     labelled: DataFrame, per_language: int = PER_LANGUAGE, bins: int = BINS, max_languages: int = 64
 ) -> LanguageModel:
-    """Fit on (text, lang) rows: at most `per_language` texts of each language, those with the smallest key.
+    """Fit on (text, lang) rows: the `per_language` distinct texts of each language with the smallest keys, or all.
 
     The rows that come to the driver are bounded by `per_language` times
     `max_languages`; more languages than that are an error.
@@ -153,28 +197,18 @@ def fit_languages(
         F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"),
         F.xxhash64(F.col("text").cast("string")).alias("key"),
     ).filter("text IS NOT NULL AND lang IS NOT NULL")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().take(max_languages + 1)}
-    if len(counts) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
-    if not counts:
+    limits = key_limits(rows, per_language, max_languages)
+    if not limits:
         return LanguageModel([], bins=bins)
-    # Keys are even, so a threshold on them leaves about as many rows as wanted, and half as many again.
-    wanted = F.lit(False)
-    for lang, n in sorted(counts.items()):
-        share = min(1.0, 1.5 * per_language / n)
-        limit = min(int(share * (1 << 64)) - (1 << 63), (1 << 63) - 1)
-        wanted = wanted | ((F.col("lang") == lang) & (F.col("key") <= limit))
-    vectors = rows.filter(wanted).mapInArrow(
+    vectors = rows.filter(_up_to(limits)).mapInArrow(
         lambda batches: _vectors(batches, bins), "lang string, key long, places binary, shares binary"
     )
-    sample = vectors.dropDuplicates(["lang", "key"]).orderBy("key", "lang").limit(2 * per_language * len(counts))
-    taken: dict[str, list[np.ndarray]] = {lang: [] for lang in sorted(counts)}
-    for r in sample.collect():
-        if len(taken[r["lang"]]) < per_language:
-            vector = np.zeros(bins, np.float32)
-            vector[np.frombuffer(r["places"], "<u2")] = np.frombuffer(r["shares"], "<f4")
-            taken[r["lang"]].append(vector)
-    taken = {lang: v for lang, v in taken.items() if v}
+    sample = vectors.dropDuplicates(["lang", "key"]).collect()
+    taken: dict[str, list[np.ndarray]] = {lang: [] for lang in sorted(limits)}
+    for r in sorted(sample, key=lambda r: (r["key"], r["lang"])):
+        vector = np.zeros(bins, np.float32)
+        vector[np.frombuffer(r["places"], "<u2")] = np.frombuffer(r["shares"], "<f4")
+        taken[r["lang"]].append(vector)
     groups: dict[str, list[str]] = {}
     for lang in taken:
         groups.setdefault(family_of(lang), []).append(lang)

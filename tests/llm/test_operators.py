@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lanternqa.llm.components import components
 from lanternqa.llm.decontamination import contamination_report, drop_contaminated, find_contamination, remove_hits
 from lanternqa.llm.embeddings import miss_probability, near_vectors
-from lanternqa.llm.language import family_of, fit_languages, identify, keep_identified
+from lanternqa.llm.language import family_of, fit_languages, identify, keep_identified, key_limits
 from lanternqa.llm.language_model import score_texts
 from lanternqa.llm.lines import drop_lines, line_bitmaps, line_report
 from lanternqa.llm.near_dups import drop_near_duplicates, near_duplicates
@@ -349,6 +349,22 @@ def test_language(spark, docs, texts, empty):
     assert identify(empty, model).count() == 0
 
 
+def test_language_sample_counts_distinct_texts(spark):
+    """Copies take no place in the sample, and a language of nothing but copies is learned."""
+    rng = random.Random(4)
+    rows = [(i, f"l{i % 6} " * 3, f"l{i % 6}") for i in range(360)]
+    rows += [(1000 + i, "sch ung ein ch", "de") for i in range(400)]
+    rows += [(2000 + i, sentence(rng, 12), "de") for i in range(40)]
+    table = frame(spark, rows)
+    assert fit_languages(table, 10).languages == ["de", "l0", "l1", "l2", "l3", "l4", "l5"]
+    keyed = table.select("lang", F.xxhash64("text").alias("key"))
+    keys = {}
+    for r in keyed.distinct().collect():
+        keys.setdefault(r.lang, []).append(r.key)
+    assert len(keys["de"]) == 41
+    assert key_limits(keyed, 10, 64) == {lang: sorted(x)[:10][-1] for lang, x in keys.items()}
+
+
 def test_personal_data(spark, empty):
     rng = random.Random(5)
     texts = {
