@@ -8,9 +8,9 @@ its uses in the corpus that stand before trusted instances, an instance as much
 as its best pattern. Instances of high-confidence patterns that no seed covers
 are added as further identifiers.
 
-A use of a two-word pattern is counted by its rarer word, which can only make
-the pattern look worse. All tables but the texts themselves have one row per
-instance or word; counts fold before each shuffle.
+Uses of a pattern are counted over the whole texts, for patterns that stand before
+enough different instances to pass. All tables but the texts themselves have one
+row per instance or pattern; counts fold before each shuffle.
 
 Defined results: a null or empty text has no span. Spans count code points, end
 exclusive. Repeated rows each get their own result; other columns do not matter.
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanternqa.llm.scratch import Scratch
+from lanternqa.session import fits_broadcast
 
 # The kinds and their patterns. Possessive forms and the looks behind keep the leftmost matches of
 # the plain patterns and make each search linear in the text.
@@ -34,6 +35,8 @@ OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 # A stretch of identifier characters with a digit in it.
 INSTANCE = r"(?<![A-Za-z0-9._/@+-])[A-Za-z._/@+-]*+[0-9][A-Za-z0-9._/@+-]*+"
+# The places inside a word where such a stretch may begin, but for those between two letters.
+JOINED = r"(?<=[^A-Za-z0-9._/@+\p{L}\p{M}\p{N}-])(?=[A-Za-z0-9._/@+-])"
 MIN_DIGITS = 5
 CONTEXT_CHARS = 64
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -111,9 +114,10 @@ def base_spans(text: Column) -> Column:
 
 
 def instances(text: Column, seeds: Column) -> Column:
-    """All seeds, and the identifier-like stretches that no seed covers: (start, end, value, one, two, seed).
+    """All seeds, and the identifier-like stretches that no seed covers: (start, end, value, one, two, seed, inside).
 
-    `one` and `two` are the last words before. `seeds` is a column sorted by start, the longest first; of those
+    `one` and `two` are the last words before; `inside` marks what begins in a word, but not where `JOINED` cuts it.
+    `seeds` is a column sorted by start, the longest first; of those
     with one start the first stands for all, so no use of a pattern counts twice.
     """
 
@@ -128,6 +132,7 @@ def instances(text: Column, seeds: Column) -> Column:
             F.lower(F.try_element_at(words, F.lit(-1))).alias("one"),
             F.lower(F.try_element_at(words, F.lit(-2))).alias("two"),
             F.lit(seed).alias("seed"),
+            (x["before"].rlike(r"[^\x20]$") & ~F.concat(F.substring(x["before"], -1, 1), F.substring(x["value"], 1, 1)).rlike(JOINED)).alias("inside"),
         )
 
     first = F.filter(seeds, lambda x, i: ~F.get(seeds, i - 1)["start"].eqNullSafe(x["start"]))
@@ -136,46 +141,84 @@ def instances(text: Column, seeds: Column) -> Column:
         lambda x: (F.length(F.regexp_replace(x["value"], "[^0-9]", "")) >= MIN_DIGITS)
         & ~F.exists(seeds, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])),
     )
-    none = F.array().cast("array<struct<start:int,end:int,value:string,one:string,two:string,seed:boolean>>")
+    none = F.array().cast("array<struct<start:int,end:int,value:string,one:string,two:string,seed:boolean,inside:boolean>>")
     return F.concat(
         F.transform(first, lambda x: describe(x, True)),
         F.when(text.rlike("[0-9]"), F.transform(stretches, lambda x: describe(x, False))).otherwise(none),
     )
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, uses) of all lower-cased words; counts fold in each task."""
-    words = texts.select(F.explode(F.split(F.lower("text"), BLANKS)).alias("word"))
-    return words.filter("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("uses"))
+def contexts(one: Column, two: Column) -> Column:
+    """The patterns of a place: its last word, and its last two if there are two."""
+    return F.when(two.isNull(), F.array(one)).otherwise(F.array(one, F.concat_ws(" ", two, one)))
+
+
+def text_contexts(texts: DataFrame, last: DataFrame | None = None) -> DataFrame:
+    """(pattern), one row for each use in the texts; if given, only those whose last word is in the small `last`.
+
+    Uses end where a word ends, and inside a word where a stretch of identifier characters begins: `id=` is used by
+    `id=none` as by `id=12345`.
+    """
+    words = F.filter(F.split("text", BLANKS), lambda w: w != "")
+    before = F.concat(F.array(F.lit(None).cast("string")), F.col("words"))
+    pairs = F.zip_with(F.col("words"), before, lambda one, two: F.struct(one.alias("one"), two.alias("two")))
+    placed = texts.select(words.alias("words")).select(F.explode(pairs).alias("x")).select("x.*").filter("one IS NOT NULL")
+    # Parts longer than any context need no look.
+    pieces = F.split(F.substring("one", 1, CONTEXT_CHARS + 1), JOINED)
+    begin = F.struct(F.lit("").alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(so_far: Column, piece: Column) -> Column:
+        at = F.concat(so_far["at"], piece)
+        return F.struct(at.alias("at"), F.concat(so_far["out"], F.array(at)).alias("out"))
+
+    parts = F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), begin, step, lambda so_far: so_far["out"])
+    whole = F.array("one")
+    cut = F.when(F.col("one").rlike(JOINED), F.concat(parts, whole)).otherwise(whole)
+    placed = placed.select(F.explode(cut).alias("one"), "two").withColumn("last", F.lower("one"))
+    if last is not None:
+        placed = placed.join(F.broadcast(last), "last", "left_semi")
+    return placed.select(F.explode(contexts(F.col("one"), F.col("two"))).alias("pattern")).select(F.lower("pattern").alias("pattern"))
+
+
+def pattern_uses(texts: DataFrame, found: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
+    """(pattern, uses) of the wanted patterns over whole texts; uses fold in each task.
+
+    Seeds that begin inside a stretch of identifier characters, as in `tel+1415`, end a use that no cut of the text
+    shows; these are added.
+    """
+    count = F.count(F.lit(1)).alias("uses")
+    if fits_broadcast(wanted):
+        last = wanted.select(F.substring_index("pattern", " ", -1).alias("last")).distinct()
+        in_texts = text_contexts(texts, last).join(F.broadcast(wanted), "pattern", "left_semi").groupBy("pattern").agg(count)
+    else:
+        # Written before the join, or the plan would move single uses to meet the wanted ones before it counts them.
+        in_texts = scratch.write(text_contexts(texts).groupBy("pattern").agg(count), "all-uses").join(wanted, "pattern", "left_semi")
+    inside = found.filter("inside").select("pattern").join(wanted, "pattern", "left_semi").groupBy("pattern").agg(count)
+    return in_texts.unionByName(inside).groupBy("pattern").agg(F.sum("uses").alias("uses"))
 
 
 def trusted_patterns(
-    found: DataFrame, counts: DataFrame, scratch: Scratch, rounds: int = ROUNDS,
+    found: DataFrame, texts: DataFrame, scratch: Scratch, rounds: int = ROUNDS,
     min_confidence: float = MIN_CONFIDENCE, min_support: int = MIN_SUPPORT,
 ) -> DataFrame:
     """(pattern, confidence) of the patterns that mostly stand before identifiers.
 
-    `found` has rows (value, one, two, seed). A pattern needs `min_support`
-    distinct trusted instances and `min_confidence` of its uses.
+    `found` has rows (value, one, two, seed, inside). A pattern needs
+    `min_support` distinct trusted instances and `min_confidence` of its uses.
     """
-    near = found.filter("one IS NOT NULL")
-    wanted = near.select(F.col("one").alias("word")).unionByName(near.select(F.col("two").alias("word"))).distinct()
-    # Written before the join, or the plan would move single words to meet the wanted ones before it counts them.
-    counts = scratch.write(counts, "word-counts")
-    uses = scratch.write(counts.join(wanted, "word", "left_semi"), "uses")
-    scratch.drop("word-counts")
-    single = near.select("value", "seed", F.col("one").alias("pattern"), F.col("one").alias("word"))
-    double = near.filter("two IS NOT NULL").select(
-        "value", "seed", F.concat_ws(" ", "two", "one").alias("pattern"), F.explode(F.array("one", "two")).alias("word")
+    near = found.filter("one IS NOT NULL").select(
+        "value", "seed", "inside", F.explode(contexts(F.col("one"), F.col("two"))).alias("pattern")
     )
-    # A word that is counted nowhere, as the piece of a longer one, gives no pattern.
-    edges = scratch.write(
-        single.unionByName(double).join(uses, "word").groupBy("pattern", "value").agg(
-            F.max("seed").alias("seed"), F.min("uses").alias("uses"),
-            (F.count(F.lit(1)) / F.count_distinct("word")).alias("n"),
-        ),
-        "edges",
+    met = scratch.write(
+        near.groupBy("pattern", "value").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("n")), "met"
+    )
+    # A pattern before fewer values can never have the support, so its uses need no count.
+    wanted = scratch.write(
+        met.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_support).select("pattern"), "wanted"
     )
+    uses = scratch.write(pattern_uses(texts, near, wanted, scratch), "uses")
+    edges = scratch.write(met.join(uses, "pattern"), "edges")
+    scratch.drop("met")
     trust = scratch.write(
         edges.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("trust")).filter("trust > 0"), "trust_0"
     )
@@ -221,8 +264,8 @@ def find_personal_data(
         "rows",
     )
     found = rows.select("row", F.explode("instances").alias("x")).select("row", "x.*")
-    patterns = trusted_patterns(found, word_counts(texts), scratch, rounds, min_confidence, min_support)
-    context = F.explode(F.array_compact(F.array("one", F.when(F.col("two").isNotNull(), F.concat_ws(" ", "two", "one")))))
+    patterns = trusted_patterns(found, texts, scratch, rounds, min_confidence, min_support)
+    context = F.explode(contexts(F.col("one"), F.col("two")))
     added = (
         found.filter("NOT seed AND one IS NOT NULL").select("row", "start", "end", context.alias("pattern"))
         .join(patterns, "pattern", "left_semi").groupBy("row")

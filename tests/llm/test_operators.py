@@ -421,6 +421,27 @@ def test_each_kind_of_seed_induces_patterns(spark, kind):
     assert not any(got.values())
 
 
+def test_uses_of_patterns_are_counted_themselves(spark):
+    """Common words may form a rare pair; a label may be joined to its value; uses before no identifier count against."""
+    rng = random.Random(12)
+    value = lambda: f"{rng.randint(1, 9)}.{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)}"
+    tails = {1: "account number ", 2: "tel:", 3: '"ssn":"', 4: "x:y=", 5: "ref:", 6: "tel", 7: "number account "}
+    texts = {}
+    for kind, label in tails.items():
+        for i in range(6):
+            texts[100 * kind + i] = f"{sentence(rng, 9)} {label}{value() if kind != 7 else 'none'} {sentence(rng, 9)}"
+        texts[100 * kind + 50] = f"Holder {label}QX7-88231-B"
+    for i in range(20):
+        texts[1000 + i] = f"the account is on a number of lists {sentence(rng, 5)}"
+        texts[1100 + i] = f"ref:none {sentence(rng, 5)} tel"
+    got = context_spans(frame(spark, [(i, t, None) for i, t in texts.items()]))
+    want = {k: 100 * k + 50 for k in (1, 2, 3, 4)}
+    for kind, doc in want.items():
+        at = texts[doc].index("QX7")
+        assert got.pop(doc) == [f"context:{at}:{at + 11}"], tails[kind]
+    assert not any(got.values()), {k: v for k, v in got.items() if v}
+
+
 def test_personal_data_runs_no_python(docs):
     plan = find_personal_data(docs)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
