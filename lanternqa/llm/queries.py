@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lanternqa.llm.byte_pairs import encoding_report
 from lanternqa.llm.decontamination import contamination_report, find_contamination
 from lanternqa.llm.embeddings import near_vectors
 from lanternqa.llm.language import fit_languages, identify
@@ -178,3 +179,8 @@ FROM sets JOIN component ON component.id = sets.doc_id"""
 @query
 def op10_personal_data(spark: SparkSession, sf: str) -> DataFrame:
     return personal_data_report(find_personal_data(documents(spark, sf)))
+
+
+@query
+def op13_byte_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return encoding_report(documents(spark, sf), *vocabulary())
