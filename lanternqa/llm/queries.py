@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lanternqa.llm.byte_pairs import encoding_report
 from lanternqa.llm.decontamination import contamination_report, find_contamination
 from lanternqa.llm.embeddings import near_vectors
+from lanternqa.llm.hard_negatives import hard_negatives
 from lanternqa.llm.language import fit_languages, identify
 from lanternqa.llm.language_model import score_texts
 from lanternqa.llm.lines import line_bitmaps, line_report
@@ -181,6 +182,37 @@ def op10_personal_data(spark: SparkSession, sf: str) -> DataFrame:
     return personal_data_report(find_personal_data(documents(spark, sf)))
 
 
+@query
+def op12_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet")
+    finite = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = rows.filter(F.col("label").isNotNull() & finite).select(
+        F.col("vec_id").alias("id"), label.alias("label"),
+        F.transform("embedding", lambda x: F.floor(256 * x.cast("double"))).alias("vector"),
+    )
+    return hard_negatives(vectors, F.col("id") % 100 == 0)
+
+
+ORACLES["op12_hard_negatives"] = """WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+    CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)),
+positives AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM (
+  SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS place FROM scored WHERE same)
+  WHERE place <= 5),
+ranked AS (SELECT p.anchor_id, positive_id, id AS negative_id, positive_score, score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) AS rank
+  FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT same
+    AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM ranked WHERE rank <= 10"""
+
+
 @query
 def op13_byte_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return encoding_report(documents(spark, sf), *vocabulary())
