@@ -17,6 +17,7 @@ from lanternqa.llm.lines import line_bitmaps, line_report
 from lanternqa.llm.near_dups import near_duplicates
 from lanternqa.llm.packing import pack
 from lanternqa.llm.personal_data import find_personal_data, personal_data_report
+from lanternqa.llm.prefix_trie import conversation_paths, conversation_turns, prefix_trie, with_heads
 from lanternqa.llm.secret_scan import find_secrets, fit_ratio, secret_report
 from lanternqa.llm.substrings import repeated_spans, span_report
 
@@ -182,6 +183,45 @@ def op10_personal_data(spark: SparkSession, sf: str) -> DataFrame:
     return personal_data_report(find_personal_data(documents(spark, sf)))
 
 
+@query
+def op11_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    turns = conversation_turns(spark.read.parquet(f"{sf}/conversations.parquet"))
+    conv = F.col("conv_id")
+    rebuilt = with_heads(turns, conv - conv % 100, (F.crc32(conv.cast("string")) % 6).cast("int"), 5)
+    return prefix_trie(conversation_paths(rebuilt))
+
+
+# The checksum goes bit by bit: each character is followed by eight shifts.
+_CRC32 = """xor(list_reduce(flatten(list_transform(string_split({x}, ''), lambda ch: [ascii(ch), -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda crc, step: CASE WHEN step >= 0 THEN xor(crc, step) WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END,
+    CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT))"""
+ORACLES["op11_prefix_trie"] = f"""WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id
+    ORDER BY turn NULLS FIRST, coalesce(role, ''),
+      sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT DISTINCT conv_id, conv_id - conv_id % 100 AS base,
+    {_CRC32.format(x="CAST(conv_id AS VARCHAR)")} % 6 AS h FROM turns),
+parts AS (
+  SELECT ids.conv_id, pos, role, text FROM ids JOIN turns ON turns.conv_id = base AND pos <= h
+  UNION ALL SELECT conv_id, pos, role, text FROM ids JOIN turns USING (conv_id) WHERE pos > h),
+whole AS (SELECT ids.conv_id, coalesce(list({{'role': role, 'text': text}} ORDER BY pos) FILTER (pos IS NOT NULL), []) AS path
+  FROM ids LEFT JOIN parts USING (conv_id) GROUP BY ids.conv_id),
+prefix AS (SELECT conv_id, d AS depth, list_slice(path, 1, d) AS node, d = len(path) AS ended
+  FROM (SELECT *, unnest(range(len(path) + 1)) AS d FROM whole)),
+nodes AS (SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ended), '')) AS ends_sha256
+  FROM prefix GROUP BY node, depth),
+edges AS (SELECT list_slice(node, 1, depth - 1) AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+valued AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children,
+    CASE WHEN depth > 0 THEN (n_convs - 1) * length(node[depth].text) ELSE 0 END AS own FROM nodes LEFT JOIN edges USING (node)),
+above AS (SELECT list_slice(node, 1, k) AS node, own, n_children FROM (SELECT *, unnest(range(depth + 1)) AS k FROM valued)),
+below AS (SELECT node, count(*) FILTER (n_children = 0) AS n_leaves, sum(own) AS saved FROM above GROUP BY node)
+SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM valued v JOIN below USING (node) LEFT JOIN nodes p ON v.depth > 0 AND p.node = list_slice(v.node, 1, v.depth - 1)"""
+
+
 @query
 def op12_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf}/embeddings.parquet")
