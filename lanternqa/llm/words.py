@@ -6,6 +6,7 @@ bytes and code points give the same words.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -15,6 +16,7 @@ import pyarrow.compute as pc
 
 CHUNK_BYTES = 4 << 20
 PIECE_BYTES = 1 << 18
+LONG_WORD = 64
 BLANKS = b" \t\n\x0b\x0c\r"
 
 # Odd 64-bit multipliers of the polynomial keys, and of the final mix.
@@ -90,7 +92,11 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 def word_keys(words: Words, family: int = 0) -> np.ndarray:
-    """One 64-bit key per word, equal for equal words; families are independent of each other."""
+    """One 64-bit key per word, equal for equal words; families are independent of each other.
+
+    Sums of powers modulo 2^64 are told apart by no odd base for some pairs of
+    very long words, so words of more than `LONG_WORD` bytes take a keyed digest.
+    """
     base = WORD_BASES[family]
     up, down = powers(base, PIECE_BYTES), powers(pow(base, -1, 1 << 64), PIECE_BYTES)
     keys = np.empty(len(words.start), np.uint64)
@@ -106,6 +112,10 @@ def word_keys(words: Words, family: int = 0) -> np.ndarray:
         np.cumsum(piece * up[: end[-1]], out=total[1:])
         keys[at:to] = (total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)
         at = to
+    salt = base.to_bytes(8, "little")
+    for i in np.flatnonzero(words.end - words.start > LONG_WORD).tolist():
+        word = words.data[words.start[i] : words.end[i]].tobytes()
+        keys[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=salt).digest(), "little")
     return mixed(keys)
 
 
