@@ -18,7 +18,7 @@ from __future__ import annotations
 import base64
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanternqa.llm import words as W
+from lanternqa.llm.byte_pairs import Encoder
 
 WINDOW = 1024
 END_ID = 0
@@ -44,6 +45,27 @@ def vocabulary(path: str, pattern: str):
     return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def text_encoder(path: str, pattern: str) -> Callable[[str], Sequence[int]]:
+    """The ids of one text.
+
+    The library's matcher gives up on a run of very many blanks; such a text is
+    encoded by rounds instead, to the same ids.
+    """
+    encode, rounds = vocabulary(path, pattern).encode_ordinary, []
+
+    def ids(text: str) -> Sequence[int]:
+        try:
+            return encode(text)
+        except BaseException as failure:  # the library's own kind, which is no Exception
+            if type(failure).__name__ != "PanicException":
+                raise
+        if not rounds:
+            rounds.append(Encoder(path, pattern))
+        return rounds[0].encode([text])[0]
+
+    return ids
+
+
 class Packer:
     """The sum-of-squares rule over fill levels; gives out finished windows as lists of (piece, ids)."""
 
@@ -90,7 +112,7 @@ class Packer:
 def _pack(
     batches: Iterable[pa.RecordBatch], path: str, pattern: str, window: int, end_id: int
 ) -> Iterator[pa.RecordBatch]:
-    encode, packer = vocabulary(path, pattern).encode_ordinary, Packer(window)
+    encode, packer = text_encoder(path, pattern), Packer(window)
     context = TaskContext.get()
     sequence = (context.partitionId() if context else 0) << 33
     end = array("I", [end_id]).tobytes()
