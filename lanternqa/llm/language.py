@@ -297,12 +297,19 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, languages: list[str] | None = None) -> DataFrame:
-    """The rows of `docs` whose text has a language (one of `languages`, if given), unchanged."""
+    """The rows of `docs` whose text has a language (one of `languages`, if given), unchanged.
+
+    A model that has learned no language rejects only texts without a letter.
+    """
 
     def work(batches):
         for batch in batches:
             for piece, texts in W.chunks([batch], 1 << 20):
+                if not model.languages:
+                    yield piece.filter(pa.array([_letter_known(x or b"") for x in texts], pa.bool_()))
+                    continue
                 langs, _ = _predict([x or b"" for x in texts], model)
-                yield piece.filter(pa.array([x != UNKNOWN and (languages is None or x in languages) for x in langs]))
+                keep = [x != UNKNOWN and (languages is None or x in languages) for x in langs]
+                yield piece.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)

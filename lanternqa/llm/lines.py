@@ -174,11 +174,11 @@ def kept_lines(text: bytes | None, keep: bytes | None) -> tuple[list[bytes], int
 def _with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> tuple[DataFrame, str]:
     """Documents with their bitmap in a column of a new name."""
     name = "keep"
-    while name in docs.columns:
+    while any(name in c.lower() for c in docs.columns):
         name += "_"
-    key = F.col("doc_id") == F.col("_line_doc")
-    renamed = bitmaps.select(F.col("doc_id").alias("_line_doc"), F.col("keep").alias(name))
-    return docs.join(renamed, key, "left").drop("_line_doc"), name
+    key = name + "doc"
+    renamed = bitmaps.select(F.col("doc_id").alias(key), F.col("keep").alias(name))
+    return docs.join(renamed, F.col("doc_id") == F.col(key), "left").drop(key), name
 
 
 def drop_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
