@@ -1,5 +1,6 @@
 """Readers and writers, on files that Spark renders from the given tables."""
 
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from lanternqa.catalog.registry import EXCHANGES_SQL, exchanges, query, strip_sql, table
@@ -7,6 +8,7 @@ from lanternqa.session import scratch_path
 from lanternqa.sources import tables as tb
 from lanternqa.sources import traces as tr
 from lanternqa.streaming import traces as st
+from lanternqa.streaming.logs import store_of
 
 _PARSED = f"""WITH {EXCHANGES_SQL}
 SELECT {strip_sql('prompt')} AS prompt, {strip_sql('response')} AS response FROM exchanges"""
@@ -31,13 +33,44 @@ def write_traces(spark, sf):
     return spark.read.option("lineSep", "</task>\n").text(log)
 
 
+def _append_blocks(rows, folder):
+    """Each task appends its blocks to one file of a log, as the programs that are logged do."""
+
+    def work(batches):
+        context = TaskContext.get()
+        store, root = store_of(folder)
+        store.create_dir(root)
+        with store.open_append_stream(f"{root}/log-{context.partitionId() if context else 0}.txt") as log:
+            for batch in batches:
+                for block in batch.column(0).to_pylist():
+                    log.write(block.encode())
+        yield from ()
+
+    blocks = rows.select(F.concat(tr.render_block(F.col("prompt"), F.col("response")), F.lit("\n")).alias("block"))
+    blocks.repartition(4, "block").mapInArrow(work, "block string").write.format("noop").mode("overwrite").save()
+
+
 @query(_PARSED)
 def stream_traces(spark, sf):
+    """Logs whose files are appended to between the runs, and to which a folder of new files is added."""
+    log, out, seen = (scratch_path(spark, n) for n in ("trace-log", "traces", "traces-seen"))
+    turns = exchanges(spark, sf)
+    for roll in ("turn < 2", "turn >= 2 AND turn < 4", "turn = 4"):
+        _append_blocks(turns.filter(roll), log)
+        st.stream_traces(spark, log, out, seen).awaitTermination()
+    tr.write_traces(turns.filter("turn > 4"), f"{log}/rolled")
+    st.stream_traces(spark, log, out, seen).awaitTermination()
+    return spark.read.schema("prompt string, response string").parquet(out)
+
+
+@query(_PARSED)
+def stream_rolled_traces(spark, sf):
+    """The same log in whole files only, for stores that only Spark reads."""
     log, out, seen = (scratch_path(spark, n) for n in ("trace-log", "traces", "traces-seen"))
     turns = exchanges(spark, sf)
     for roll in ("turn < 2", "turn >= 2"):
         tr.write_traces(turns.filter(roll), log)
-        st.stream_traces(spark, log, out, seen).awaitTermination()
+        st.stream_traces(spark, log, out, seen, growing=False).awaitTermination()
     return spark.read.schema("prompt string, response string").parquet(out)
 
 

@@ -8,19 +8,29 @@ from pyspark.sql.streaming import StreamingQuery
 from lanternqa.session import exists
 from lanternqa.sources.tables import resume_unprocessed
 from lanternqa.sources.traces import BLOCK_END, parse_blocks
+from lanternqa.streaming.logs import GrowingLog
 
 
 def stream_traces(
-    spark: SparkSession, source: str, out: str, checkpoint: str, max_files: int = 1000
+    spark: SparkSession, source: str, out: str, checkpoint: str, growing: bool = True, max_files: int = 1000
 ) -> StreamingQuery:
-    """Parse every log file not seen before into a Parquet table, then stop.
+    """Parse every closed block of a log, a file or a folder, not seen before into a Parquet table, then stop.
 
-    Each roll of the log is a new file in `source`. `checkpoint` remembers the
-    files done, so calling again after more rolls adds just those.
+    `checkpoint` remembers how far each file was read, so calling again after
+    blocks were appended or files added gives just these. A block that is not
+    closed yet waits for the next call. A file that has become shorter than what
+    was read of it is an error, and a file under a new name is a new file.
+
+    With `growing=False` each file is read once, whole, when it is first seen:
+    for logs that roll to new files and lie in a store that only Spark reads.
     """
-    records = (
-        spark.readStream.option("lineSep", BLOCK_END).option("maxFilesPerTrigger", max_files).text(source)
-    )
+    if growing:
+        spark.dataSource.register(GrowingLog)
+        records = spark.readStream.format("growing_log").option("path", source).option("mark", BLOCK_END).load()
+    else:
+        records = (
+            spark.readStream.option("lineSep", BLOCK_END).option("maxFilesPerTrigger", max_files).text(source)
+        )
     return (
         parse_blocks(records).writeStream.format("parquet").outputMode("append")
         .option("checkpointLocation", checkpoint).option("path", out)
