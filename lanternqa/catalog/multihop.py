@@ -49,6 +49,22 @@ _ROOM = MODEL_LIMIT - len(pr.RELEVANCE.replace("{1}", "").replace("{2}", ""))
 _ANSWER_BARE = len(pr.ANSWER.replace("{1}", "").replace("{2}", ""))
 
 
+def answers_sql(known: str, rounds: int, name: str) -> str:
+    """Answers from (q_id, question, information): in pieces, then from the pieces' answers, for up to `rounds` rounds."""
+    steps, done = [f"round_0 AS (SELECT *, CAST(NULL AS BIGINT) AS before FROM {known})"], []
+    for r in range(rounds):
+        steps.append(f"""sized_{r} AS (SELECT *, greatest({MODEL_LIMIT} - {_ANSWER_BARE} - length(question), 1) AS room FROM round_{r}),
+counted_{r} AS (SELECT *, greatest(CAST(ceil(length(information) / room) AS BIGINT), 1) AS pieces FROM sized_{r}),
+told_{r} AS (SELECT q_id, question, pieces, no, {best_piece_sql('question', 'part', '. ')} AS answer
+  FROM (SELECT *, substr(information, CAST(no * room + 1 AS BIGINT), room) AS part
+    FROM (SELECT *, unnest(range(pieces)) AS no FROM counted_{r} WHERE before IS NULL OR before <= 1 OR pieces < before))),
+round_{r + 1} AS (SELECT q_id, question, coalesce(string_agg(answer, '. ' ORDER BY no), '') AS information, pieces AS before
+  FROM told_{r} WHERE pieces > 1 GROUP BY q_id, question, pieces)""")
+        done.append(f"SELECT q_id, answer FROM told_{r} WHERE pieces = 1")
+        done.append(f"SELECT q_id, information FROM counted_{r} WHERE before > 1 AND pieces >= before")
+    return ",\n".join(steps) + f",\n{name} AS ({' UNION ALL '.join(done)})"
+
+
 @query(
     f"""WITH {_BASE},
 parts AS (
@@ -65,15 +81,8 @@ evidence AS (
 {relevance_sql('evidence', 'root', str(_ROOM), '---', 'info', in_order=True)},
 known AS (SELECT q_id, question, coalesce(information, '') AS information
   FROM questions LEFT JOIN info ON info.root = questions.question),
-sized AS (SELECT *, greatest({MODEL_LIMIT} - {_ANSWER_BARE} - length(question), 1) AS room FROM known),
-cut AS (SELECT *, greatest(CAST(ceil(length(information) / room) AS BIGINT), 1) AS pieces FROM sized),
-piece AS (SELECT q_id, question, pieces, no, substr(information, CAST(no * room + 1 AS BIGINT), room) AS part
-  FROM (SELECT *, unnest(range(pieces)) AS no FROM cut)),
-told AS (SELECT q_id, question, pieces, no, {best_piece_sql('question', 'part', '. ')} AS answer FROM piece),
-joined AS (SELECT q_id, question, pieces, coalesce(string_agg(answer, '. ' ORDER BY no), '') AS answers
-  FROM told GROUP BY q_id, question, pieces)
-SELECT q_id, CASE WHEN pieces = 1 THEN nullif(answers, '') ELSE {best_piece_sql('question', 'answers', '. ')} END AS answer
-FROM joined"""
+{answers_sql('known', 5, 'told')}
+SELECT q_id, answer FROM told"""
 )
 def answer_question(spark, sf):
     return answer.answer_question(questions(spark, sf), texts(spark, sf))

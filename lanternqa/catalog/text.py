@@ -72,11 +72,15 @@ def chunk_budget(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", tx.chunk_budget(512, prompt, 1).alias("budget"))
 
 
-def _windows_sql(n: int) -> str:
+# Every pair of two frequent endings: far more keywords than are matched one by one.
+MANY_KEYWORDS = KEYWORDS + [f"{a}{b}" for a in ("en", "on", "er", "an", "in", "es") for b in (" a", " t", "d ", "e", "s", ".")]
+
+
+def _windows_sql(n: int, keywords: list[str] = KEYWORDS) -> str:
     one = [
         f"SELECT doc_id, {i} AS kw_no, {quoted(k)} AS keyword, "
         f"regexp_extract_all(text, '.{{0,{n}}}' || regexp_escape({quoted(k)}) || '.{{0,{n}}}') AS ws FROM documents"
-        for i, k in enumerate(KEYWORDS)
+        for i, k in enumerate(keywords)
     ]
     return f"""w AS ({' UNION ALL '.join(one)}),
 windows AS (SELECT doc_id, kw_no, keyword, unnest(range(len(ws))) AS match_no, unnest(ws) AS "window" FROM w)"""
@@ -87,15 +91,19 @@ def keyword_windows(spark, sf):
     return ch.keyword_windows(documents(spark, sf), "text", KEYWORDS, 100, keep=["doc_id"])
 
 
+@query(f"WITH {_windows_sql(40, MANY_KEYWORDS)} SELECT * FROM windows", ints=('kw_no', 'match_no'))
+def keyword_windows_many(spark, sf):
+    return ch.keyword_windows(documents(spark, sf), "text", MANY_KEYWORDS, 40, keep=["doc_id"])
+
+
 @query(
     f"""WITH {_windows_sql(25)} SELECT d.doc_id,
   coalesce(string_agg("window", '---' ORDER BY kw_no, match_no), '') AS merged
 FROM documents d LEFT JOIN windows USING (doc_id) GROUP BY d.doc_id"""
 )
 def merge_windows(spark, sf):
-    keywords = F.array(*[F.lit(k) for k in KEYWORDS])
     return documents(spark, sf).select(
-        "doc_id", tx.merge_windows(tx.keyword_windows(F.col("text"), keywords, 25)).alias("merged")
+        "doc_id", tx.merge_windows(tx.keyword_windows(F.col("text"), KEYWORDS, 25)).alias("merged")
     )
 
 

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lanternqa.functions.windows import many_keyword_windows
+
+# Above this many keywords one pass by an automaton costs less than a scan for each; it changes no result.
+FEW_KEYWORDS = 8
+
 TOKEN = r"[^ \t\n\r\f\x0B]+"
 WORD = r"[\p{L}\p{N}_]+"
 
@@ -93,16 +98,36 @@ def quote_pattern(x: Column) -> Column:
     return F.regexp_replace(x, r"(\p{Punct})", r"\\$1")
 
 
-def keyword_windows(text: Column, keywords: Column, n: int | Column = 100, regex: bool = False) -> Column:
+def keyword_windows(
+    text: Column, keywords: Column | list[str], n: int | Column = 100, regex: bool = False, few: int = FEW_KEYWORDS
+) -> Column:
     """Keyword-in-context cuts of one text.
 
     For each keyword in list order: every non-overlapping match of up to `n`
     characters, the keyword, up to `n` characters. Matching is case-sensitive
-    and a window stops at a newline, so only lines that hold the keyword are
-    scanned. Gives array<struct<kw_no, keyword, match_no, window>>.
+    and a window stops at a newline. Gives array<struct<kw_no, keyword,
+    match_no, window>>.
+
+    Up to `few` keywords, and regular expressions, are matched one by one in the
+    plan itself, on the lines that hold them; more are found in one pass over the
+    text. Both give the same windows.
     """
     n = n if isinstance(n, Column) else F.lit(n)
-
+    if isinstance(keywords, list):
+        listed = F.array(*[F.lit(k) for k in keywords]).cast("array<string>")
+        if regex or len(keywords) <= few:
+            return _each_keyword(text, listed, n, regex)
+        return many_keyword_windows(text, listed, n.cast("int"))
+    if regex:
+        return _each_keyword(text, keywords, n, regex)
+    # A text goes only where its windows are cut.
+    short = F.size(keywords) <= few
+    return F.when(short, _each_keyword(F.when(short, text), keywords, n, regex)).otherwise(
+        many_keyword_windows(F.when(~short, text), keywords, n.cast("int"))
+    )
+
+
+def _each_keyword(text: Column, keywords: Column, n: Column, regex: bool) -> Column:
     def cuts(keyword: Column) -> Column:
         pattern = F.concat(
             F.lit("(?d).{0,"), n.cast("string"), F.lit("}"),

@@ -33,11 +33,10 @@ def keyword_windows(
     """One row per window: `keep` columns, kw_no, keyword, match_no, window.
 
     `keywords` is one list for all rows or an array column for each row. Either
-    way the work stays inside the row: no join and no shuffle.
+    way the work stays inside the row: no join and no shuffle. Many keywords are
+    found in one pass over a text.
     """
     keep = [c for c in docs.columns if c != text] if keep is None else keep
-    if not isinstance(keywords, Column):
-        keywords = F.array(*[F.lit(k) for k in keywords]).cast("array<string>")
     return docs.select(
         *keep, F.inline(tx.keyword_windows(F.col(text), keywords, n, regex))
     )

@@ -338,9 +338,9 @@ def distinct_join(df: DataFrame, by: list[str], col: str, sep: str = " ", out: s
 
 
 def create_keywords(
-    questions: DataFrame, corpus: DataFrame | CorpusIndex, k: int = 3, doc: str = "page_id"
+    questions: DataFrame, corpus: DataFrame | CorpusIndex, k: int | None = 3, doc: str = "page_id"
 ) -> DataFrame:
-    """Each question's `k` weightiest words by TF-IDF over a corpus or its index: q_id, kw_no, keyword, score.
+    """Each question's `k` weightiest words by TF-IDF over a corpus or its index, or all: q_id, kw_no, keyword, score.
 
     The keyword keeps the spelling of its first use in the question. Words the
     corpus lacks are left out, earlier words win ties.
@@ -348,16 +348,17 @@ def create_keywords(
     return index_keywords(index_terms(questions, corpus, doc), k)
 
 
-def index_keywords(index: TermIndex, k: int = 3) -> DataFrame:
+def index_keywords(index: TermIndex, k: int | None = 3) -> DataFrame:
     """The same keywords from an index already built; the corpus is not read again."""
     return _best_keywords(index.rated, F.lit(index.n_docs), k)
 
 
-def _best_keywords(rated: DataFrame, n_docs: Column, k: int) -> DataFrame:
+def _best_keywords(rated: DataFrame, n_docs: Column, k: int | None) -> DataFrame:
     score = F.round(F.col("n") * F.log(1 + n_docs / F.col("df")) * UNITS).cast("long")
     best = Window.partitionBy("q_id").orderBy(F.desc("score"), "first_pos")
+    ranked = rated.withColumn("score", score).withColumn("kw_no", F.row_number().over(best))
     return (
-        rated.withColumn("score", score).withColumn("kw_no", F.row_number().over(best)).filter(F.col("kw_no") <= k)
+        (ranked if k is None else ranked.filter(F.col("kw_no") <= k))
         .select("q_id", "kw_no", F.col("surface").alias("keyword"), (F.col("score") / UNITS).alias("score"))
     )
 

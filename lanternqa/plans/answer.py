@@ -81,7 +81,7 @@ def answer_from(known: DataFrame, key: str, answerer: Model, limit: int, sep: st
 
 def answer_question(
     questions: DataFrame, texts: DataFrame, planner: Model = sentence_questions, reader: Model | None = None,
-    answerer: Model | None = None, k: int = 2, n: int = 25, n_keywords: int = 3, max_depth: int | None = None,
+    answerer: Model | None = None, k: int = 2, n: int = 25, n_keywords: int | None = None, max_depth: int | None = None,
     limit: int = MODEL_LIMIT, log: str | None = None, **options,
 ) -> DataFrame:
     """Split each question into its parts, gather on every part, answer from all: q_id, answer.
@@ -117,7 +117,7 @@ def answer_question(
 
 def multi_hop_answer(
     questions: DataFrame, texts: DataFrame, reasoner: Model, reader: Model | None = None, max_hops: int | None = None,
-    k: int = 2, n: int = 100, n_keywords: int = 3, examples: str = prompts.FEW_SHOT, limit: int = MODEL_LIMIT,
+    k: int = 2, n: int = 100, n_keywords: int | None = None, examples: str = prompts.FEW_SHOT, limit: int = MODEL_LIMIT,
     log: str | None = None, **options,
 ) -> DataFrame:
     """Let the model ask follow-ups until it answers: q_id, answer, hops, forced.

@@ -27,7 +27,7 @@ Search = Callable[[DataFrame], DataFrame]
 
 
 def evidence_windows(
-    questions: DataFrame, texts: DataFrame, k: int = 2, n: int = 100, n_keywords: int = 3, sep: str = WINDOW_SEP,
+    questions: DataFrame, texts: DataFrame, k: int = 2, n: int = 100, n_keywords: int | None = None, sep: str = WINDOW_SEP,
     index: CorpusIndex | None = None, keywords: Model | None = None, search: Search | None = None,
     log: str | None = None,
 ) -> DataFrame:
@@ -36,8 +36,9 @@ def evidence_windows(
     The corpus, or its `index` if one is given, is read once for search and
     keywords together. Page text meets only the questions it was found for, and
     the windows of a question are cut and joined inside one row. `keywords` is a
-    model all of whose keywords are used; without one they are the `n_keywords`
-    weightiest words. `search` replaces the plain search for the `k` best pages.
+    model all of whose keywords are used; without one they are the question's
+    words that the corpus holds, weightiest first, or the first `n_keywords` of
+    them. `search` replaces the plain search for the `k` best pages.
     """
     terms = None if keywords and search else index_terms(questions, index or texts.select("page_id", "text"))
     hits = materialize(search(questions) if search else search_index(terms, k), "hits")
@@ -70,7 +71,7 @@ def relevant_information(
 
 def gather_distinct(
     questions: DataFrame, texts: DataFrame, model: Model | None = None, k: int = 2, n: int = 100,
-    n_keywords: int = 3, limit: int = MODEL_LIMIT, **options,
+    n_keywords: int | None = None, limit: int = MODEL_LIMIT, **options,
 ) -> DataFrame:
     """`gather_info` for questions already known to differ; those without a finding have no row."""
     model = model or best_piece("relevant_information", WINDOW_SEP)
@@ -81,7 +82,7 @@ def gather_distinct(
 
 def gather_info(
     questions: DataFrame, texts: DataFrame, model: Model | None = None, k: int = 2, n: int = 100,
-    n_keywords: int = 3, limit: int = MODEL_LIMIT, **options,
+    n_keywords: int | None = None, limit: int = MODEL_LIMIT, **options,
 ) -> DataFrame:
     """What the corpus (page_id, text) says on each question (q_id, question): q_id, information.
 

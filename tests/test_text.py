@@ -1,3 +1,4 @@
+import random
 import re
 
 from hypothesis import HealthCheck, given, settings
@@ -130,3 +131,37 @@ def test_stops_that_overlap_cut_at_the_first(spark):
     for stops in (["b:", "ab:"], ["ab:", "b:"]):
         got = [r[0] for r in df.select(tx.truncate_at_stop(F.col("x"), stops)).collect()]
         assert got == ["x", "none", ""]
+
+
+def test_many_keywords_give_the_windows_of_few(spark):
+    """One pass over a text finds what matching each keyword finds."""
+    rng = random.Random(12)
+
+    def word(letters, low, high):
+        return "".join(rng.choice(letters) for _ in range(rng.randrange(low, high)))
+
+    rows = [
+        (i, word("aab c\né🙂.", 0, 60), [word("aabc\n🙂.", 0, 4) for _ in range(rng.randrange(0, 12))] + [None] * (i % 2), rng.randrange(6))
+        for i in range(400)
+    ]
+    rows += [(1000, None, ["a"], 3), (1001, "aa", None, 3), (1002, "x" * 200_000 + "key" + "y" * 200_000, ["key", "x"], 50)]
+    df = spark.createDataFrame(rows, "i int, x string, k array<string>, n int").repartition(4)
+
+    def cut(few):
+        got = tx.keyword_windows(F.col("x"), F.expr("filter(k, w -> w is not null)"), F.col("n"), few=few)
+        return {r.i: r.w for r in df.select("i", got.alias("w")).collect()}
+
+    each = cut(1000)
+    assert cut(0) == each and cut(5) == each
+    assert sum(len(w) for w in each.values() if w) > 300
+
+
+def test_a_keyword_list_is_matched_in_one_pass(spark):
+    df = spark.createDataFrame([(1, "one two\nthree two"), (2, None)], "i int, x string")
+    keywords = [f"w{i}" for i in range(300)] + ["two", "", "e"]
+    got = df.select("i", tx.keyword_windows(F.col("x"), keywords, 2).alias("w"))
+    assert got.filter("i = 1").selectExpr("inline(w)").collect() == [
+        (300, "two", 0, "e two"), (300, "two", 1, "e two"), (302, "e", 0, "one t"), (302, "e", 1, "hree "),
+    ]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "regexp_extract_all" not in plan
