@@ -7,6 +7,7 @@ from lanternqa.catalog.registry import (
 )
 from lanternqa.functions import prompts as pr
 from lanternqa.functions import text as tx
+from lanternqa.functions.tokens import count_tokens
 from lanternqa.operators import chunks as ch
 from lanternqa.sources.html import page_text as extract_text
 
@@ -59,6 +60,22 @@ def token_chunks_overlap(spark, sf):
     return ch.token_chunks(documents(spark, sf), "text", 96, overlap=32, keep=["doc_id"])
 
 
+@query("SELECT doc_id, length(text) AS n_chars, sha256(text) AS joined_sha256, true AS within_budget FROM documents")
+def model_token_chunks(spark, sf):
+    """Chunks of at most 128 tokens of a byte-level vocabulary: joined again they are the text."""
+    import public_tokenizers
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    chunks = ch.model_token_chunks(documents(spark, sf), "text", 128, path, pattern, keep=["doc_id"])
+    recounted = count_tokens(F.col("chunk"), path, pattern)
+    checked = chunks.withColumn("fits", (recounted == F.col("n_tokens")) & (F.col("n_tokens") <= 128))
+    in_order = F.array_sort(F.collect_list(F.struct("chunk_no", "chunk")))
+    joined = F.array_join(F.transform(in_order, lambda x: x["chunk"]), "")
+    return checked.groupBy("doc_id").agg(joined.alias("text"), F.bool_and("fits").alias("within_budget")).select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("joined_sha256"), "within_budget"
+    )
+
+
 _HEAD, _MID, _TAIL = pr.RELEVANCE.partition("{1}")[0], *pr.RELEVANCE.partition("{1}")[2].split("{2}")
 
 

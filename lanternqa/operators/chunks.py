@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanternqa.functions import text as tx
+from lanternqa.functions.tokens import token_cuts
 
 
 def token_chunks(
@@ -26,6 +27,21 @@ def token_chunks(
     )
 
 
+def model_token_chunks(
+    df: DataFrame, text: str, size: int | Column, path: str, pattern: str, keep: list[str] | None = None
+) -> DataFrame:
+    """Runs of at most `size` model tokens: `keep` columns, chunk_no, n_tokens, chunk.
+
+    Chunks are slices of the text: in order they join back to it. `path` names
+    the vocabulary's ranks, a file that every executor has, and `pattern` its split.
+    """
+    keep = [c for c in df.columns if c != text] if keep is None else keep
+    cuts = token_cuts(F.col(text), size, path, pattern)
+    return df.select(*keep, F.posexplode(cuts).alias("chunk_no", "_cut")).select(
+        *keep, "chunk_no", F.col("_cut.n_tokens").alias("n_tokens"), F.col("_cut.chunk").alias("chunk")
+    )
+
+
 def keyword_windows(
     docs: DataFrame, text: str, keywords: list[str] | Column, n: int = 100, regex: bool = False,
     keep: list[str] | None = None,

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from lanternqa.functions import prompts, replies
 from lanternqa.functions import text as tx
-from lanternqa.operators.chunks import token_chunks
+from lanternqa.functions.tokens import token_budget
+from lanternqa.operators.chunks import model_token_chunks, token_chunks
 from lanternqa.operators.inference import Complete, complete_batch, model_keywords
 from lanternqa.operators.readers import best_piece
 from lanternqa.operators.retrieval import (
@@ -19,6 +20,8 @@ from lanternqa.operators.retrieval import (
 from lanternqa.session import materialize
 
 MODEL_LIMIT = 4096
+# Tokens kept back for the places where a chunk meets its prompt.
+BORDER_TOKENS = 4
 WINDOW_SEP = "---"
 
 Model = Callable[[], Complete]
@@ -50,15 +53,23 @@ def evidence_windows(
 
 def relevant_information(
     evidence: DataFrame, key: list[str], model: Model, limit: int = MODEL_LIMIT, in_order: bool = False,
-    log: str | None = None,
+    log: str | None = None, vocabulary: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Ask the model what matters in each chunk of (`key`, question, text): `key`, information.
 
     Unusable replies are dropped. Findings are joined in the order of their
-    chunks, copies included, or else as a sorted set.
+    chunks, copies included, or else as a sorted set. With the model's own
+    `vocabulary`, the path of its ranks and its pattern, `limit` is in its
+    tokens, and chunks are exact slices that fill what a prompt leaves of it;
+    otherwise it is in characters, and chunks are of words.
     """
     base = prompts.render_prompt(prompts.RELEVANCE, F.col("question"), F.lit(""))
-    chunks = token_chunks(evidence, "text", tx.chunk_budget(limit, base, 1), keep=[*key, "question"])
+    kept = [*key, "question"]
+    if vocabulary is None:
+        chunks = token_chunks(evidence, "text", tx.chunk_budget(limit, base, 1), keep=kept)
+    else:
+        room = token_budget(limit, base, *vocabulary, BORDER_TOKENS)
+        chunks = model_token_chunks(evidence.filter("text <> ''"), "text", room, *vocabulary, keep=kept)
     asked = chunks.select(
         *key, "chunk_no",
         prompts.render_prompt(prompts.RELEVANCE, F.col("question"), F.col("chunk")).alias("prompt"),
@@ -71,13 +82,13 @@ def relevant_information(
 
 def gather_distinct(
     questions: DataFrame, texts: DataFrame, model: Model | None = None, k: int = 2, n: int = 100,
-    n_keywords: int | None = None, limit: int = MODEL_LIMIT, **options,
+    n_keywords: int | None = None, limit: int = MODEL_LIMIT, vocabulary: tuple[str, str] | None = None, **options,
 ) -> DataFrame:
     """`gather_info` for questions already known to differ; those without a finding have no row."""
     model = model or best_piece("relevant_information", WINDOW_SEP)
     windows = evidence_windows(questions, texts, k, n, n_keywords, **options)
     evidence = materialize(questions.join(windows.withColumnRenamed("windows", "text"), "q_id"), "evidence")
-    return relevant_information(evidence, ["q_id"], model, limit, log=options.get("log"))
+    return relevant_information(evidence, ["q_id"], model, limit, log=options.get("log"), vocabulary=vocabulary)
 
 
 def gather_info(
@@ -88,7 +99,8 @@ def gather_info(
 
     Every question has a row; the information is empty if nothing was found, or
     if the question has no text. Copies of a question are searched, cut and put
-    to the model once. `limit` is what one prompt may hold. `options` go to
+    to the model once. `limit` is what one prompt may hold, in characters, or in
+    tokens with `vocabulary=` (see `relevant_information`). Other `options` go to
     `evidence_windows`: an index of the corpus, a model for keywords, another
     search, a trace log.
     """
