@@ -7,8 +7,8 @@ from lanternqa.catalog.registry import EXCHANGES_SQL, exchanges, query, strip_sq
 from lanternqa.session import scratch_path
 from lanternqa.sources import tables as tb
 from lanternqa.sources import traces as tr
+from lanternqa.sources.files import store_of
 from lanternqa.streaming import traces as st
-from lanternqa.streaming.logs import store_of
 
 _PARSED = f"""WITH {EXCHANGES_SQL}
 SELECT {strip_sql('prompt')} AS prompt, {strip_sql('response')} AS response FROM exchanges"""

@@ -22,7 +22,9 @@ from lanternqa.plans.gather import (
 from lanternqa.session import materialize
 
 
-def ask_followups(model: Model, log: str | None = None) -> Callable[[DataFrame, DataFrame], DataFrame]:
+def ask_followups(
+    model: Model, log: str | None = None, store: str | None = None
+) -> Callable[[DataFrame, DataFrame], DataFrame]:
     """Follow-ups of a level of questions, from the model: root, followup."""
 
     def expand(level: DataFrame, reached: DataFrame) -> DataFrame:
@@ -31,7 +33,7 @@ def ask_followups(model: Model, log: str | None = None) -> Callable[[DataFrame,
         todo = spread_join(level, asked, ["root"], by=["question"]).select(
             "root", "question", prompts.followup_context(F.col("question"), F.col("asked")).alias("prompt")
         )
-        told = complete_batch(todo, "prompt", model, by=["root", "question"], log=log)
+        told = complete_batch(todo, "prompt", model, by=["root", "question"], log=log, store=store, name="planner")
         reply = replies.parse_reply(F.col("reply"), replies.DECOMPOSE)
         return told.select("root", reply.alias("r")).filter("r.needs_followup").select(
             "root", F.explode("r.questions").alias("followup")
@@ -40,7 +42,10 @@ def ask_followups(model: Model, log: str | None = None) -> Callable[[DataFrame,
     return expand
 
 
-def answer_from(known: DataFrame, key: str, answerer: Model, limit: int, sep: str = ". ", log: str | None = None) -> DataFrame:
+def answer_from(
+    known: DataFrame, key: str, answerer: Model, limit: int, sep: str = ". ", log: str | None = None,
+    store: str | None = None,
+) -> DataFrame:
     """Answer each (`key`, question, information) from all its information: `key`, answer.
 
     Information that does not fit into one prompt of `limit` characters is cut
@@ -65,7 +70,7 @@ def answer_from(known: DataFrame, key: str, answerer: Model, limit: int, sep: st
         asked = cut.select(
             key, "question", "pieces", "piece", prompts.render_prompt(prompts.ANSWER, F.col("question"), part).alias("prompt")
         )
-        told = complete_batch(asked, "prompt", answerer, by=[key, "piece"], log=log)
+        told = complete_batch(asked, "prompt", answerer, by=[key, "piece"], log=log, store=store, name="answerer")
         answer = replies.parse_reply(F.col("reply"), replies.ANSWER)["answer"]
         told = materialize(told.select(key, "question", "pieces", "piece", answer.alias("answer")), "answers")
         done.append(told.filter("pieces = 1").select(key, "answer"))
@@ -82,25 +87,26 @@ def answer_from(known: DataFrame, key: str, answerer: Model, limit: int, sep: st
 def answer_question(
     questions: DataFrame, texts: DataFrame, planner: Model = sentence_questions, reader: Model | None = None,
     answerer: Model | None = None, k: int = 2, n: int = 25, n_keywords: int | None = None, max_depth: int | None = None,
-    limit: int = MODEL_LIMIT, log: str | None = None, **options,
+    limit: int = MODEL_LIMIT, log: str | None = None, store: str | None = None, **options,
 ) -> DataFrame:
     """Split each question into its parts, gather on every part, answer from all: q_id, answer.
 
     Copies of a question are answered once, and a part that several questions
     share is searched once. Findings keep the order of the chunks they come
     from. Every question has a row; one without text has a null answer.
-    `options` go to `evidence_windows`.
+    With a `store` no prompt is asked twice, by later runs either. `options` go
+    to `evidence_windows`.
     """
     reader = reader or best_piece("relevant_information", "---")
     answerer = answerer or best_piece("answer", ". ")
 
     def work(once: DataFrame) -> DataFrame:
         roots = once.withColumnRenamed("q_id", "root")
-        parts = decompose_questions(roots, ask_followups(planner, log), max_depth).select(
+        parts = decompose_questions(roots, ask_followups(planner, log, store), max_depth).select(
             "root", "question", text_key("question").alias("q_id")
         )
         once_each = parts.select("q_id", "question").distinct()
-        windows = evidence_windows(once_each, texts, k, n, n_keywords, " ", log=log, **options)
+        windows = evidence_windows(once_each, texts, k, n, n_keywords, " ", log=log, store=store, **options)
         found = spread_join(parts, materialize(windows, "windows"), ["q_id"], "left", by=["root"])
         in_order = F.array_sort(F.collect_list(F.struct("question", F.coalesce("windows", F.lit("")).alias("w"))))
         evidence = found.groupBy("root").agg(in_order.alias("p")).select(
@@ -108,9 +114,9 @@ def answer_question(
             F.array_join(F.transform("p", lambda x: x["question"]), " ").alias("question"),
             F.array_join(F.transform("p", lambda x: x["w"]), "").alias("text"),
         )
-        told = relevant_information(materialize(evidence, "evidence"), ["root"], reader, limit, in_order=True, log=log)
+        told = relevant_information(materialize(evidence, "evidence"), ["root"], reader, limit, in_order=True, log=log, store=store)
         known = roots.join(told, "root", "left").withColumn("information", F.coalesce("information", F.lit("")))
-        return answer_from(known, "root", answerer, limit, log=log).withColumnRenamed("root", "q_id")
+        return answer_from(known, "root", answerer, limit, log=log, store=store).withColumnRenamed("root", "q_id")
 
     return per_question(questions, work, "left").select("q_id", "answer")
 
@@ -118,7 +124,7 @@ def answer_question(
 def multi_hop_answer(
     questions: DataFrame, texts: DataFrame, reasoner: Model, reader: Model | None = None, max_hops: int | None = None,
     k: int = 2, n: int = 100, n_keywords: int | None = None, examples: str = prompts.FEW_SHOT, limit: int = MODEL_LIMIT,
-    log: str | None = None, **options,
+    log: str | None = None, store: str | None = None, **options,
 ) -> DataFrame:
     """Let the model ask follow-ups until it answers: q_id, answer, hops, forced.
 
@@ -127,20 +133,22 @@ def multi_hop_answer(
     ends in a written table, so no hop is ever run twice and the plan stays
     short. Questions that stop asking leave the batch. With `max_hops`, those
     still asking after it are made to answer, and marked `forced`. Every
-    question has a row; one without text has only nulls. `options` go to
+    question has a row; one without text has only nulls. With a `store` of
+    completions, a run that was broken off at any hop is taken up by calling
+    again: hops already paid for ask no prompt twice. `options` go to
     `evidence_windows`.
     """
     options.setdefault("index", index_of(texts))
 
     def ask(state: DataFrame, stops: str | list[str]) -> DataFrame:
-        told = complete_batch(state, "prompt", reasoner, out="response", by=["q_id"], log=log)
+        told = complete_batch(state, "prompt", reasoner, out="response", by=["q_id"], log=log, store=store, name="reasoner")
         return told.withColumn("response", tx.truncate_at_stop(F.coalesce("response", F.lit("")), stops))
 
     def gather(state: DataFrame, hop: int) -> DataFrame:
         """Prompts grown by what the corpus says on each row's follow-up; an equal follow-up is gathered once."""
         asked = materialize(state.withColumn("part", text_key("question")), f"hop-{hop}-questions")
         once = asked.select(F.col("part").alias("q_id"), "question").distinct()
-        found = gather_distinct(once, texts, reader, k, n, n_keywords, limit, log=log, **options)
+        found = gather_distinct(once, texts, reader, k, n, n_keywords, limit, log=log, store=store, **options)
         info = found.withColumnRenamed("q_id", "part")
         finding = F.concat(F.lit("\n" + tx.INTERMEDIATE + " "), F.coalesce("information", F.lit("")))
         grown = spread_join(asked, info, ["part"], "left", by=["q_id"])

@@ -32,7 +32,7 @@ Search = Callable[[DataFrame], DataFrame]
 def evidence_windows(
     questions: DataFrame, texts: DataFrame, k: int = 2, n: int = 100, n_keywords: int | None = None, sep: str = WINDOW_SEP,
     index: CorpusIndex | None = None, keywords: Model | None = None, search: Search | None = None,
-    log: str | None = None,
+    log: str | None = None, store: str | None = None,
 ) -> DataFrame:
     """Keyword windows over each question's best pages: q_id, windows.
 
@@ -45,7 +45,7 @@ def evidence_windows(
     """
     terms = None if keywords and search else index_terms(questions, index or texts.select("page_id", "text"))
     hits = materialize(search(questions) if search else search_index(terms, k), "hits")
-    words = model_keywords(questions, keywords, log) if keywords else keyword_lists(index_keywords(terms, n_keywords))
+    words = model_keywords(questions, keywords, log, store) if keywords else keyword_lists(index_keywords(terms, n_keywords))
     found = join_pages(hits, texts).join(words, "q_id")
     windows = tx.keyword_windows(F.col("page_text"), F.col("keywords"), n)
     return found.select("q_id", tx.merge_windows(windows, sep).alias("windows"))
@@ -53,7 +53,7 @@ def evidence_windows(
 
 def relevant_information(
     evidence: DataFrame, key: list[str], model: Model, limit: int = MODEL_LIMIT, in_order: bool = False,
-    log: str | None = None, vocabulary: tuple[str, str] | None = None,
+    log: str | None = None, vocabulary: tuple[str, str] | None = None, store: str | None = None,
 ) -> DataFrame:
     """Ask the model what matters in each chunk of (`key`, question, text): `key`, information.
 
@@ -74,7 +74,7 @@ def relevant_information(
         *key, "chunk_no",
         prompts.render_prompt(prompts.RELEVANCE, F.col("question"), F.col("chunk")).alias("prompt"),
     )
-    told = complete_batch(asked, "prompt", model, by=[*key, "chunk_no"], log=log)
+    told = complete_batch(asked, "prompt", model, by=[*key, "chunk_no"], log=log, store=store, name="reader")
     reply = replies.parse_reply(F.col("reply"), replies.RELEVANCE)["relevant_information"]
     found = told.select(*key, "chunk_no", reply.alias("information"))
     return ordered_join(found, key, "chunk_no", "information") if in_order else distinct_join(found, key, "information")
@@ -88,7 +88,9 @@ def gather_distinct(
     model = model or best_piece("relevant_information", WINDOW_SEP)
     windows = evidence_windows(questions, texts, k, n, n_keywords, **options)
     evidence = materialize(questions.join(windows.withColumnRenamed("windows", "text"), "q_id"), "evidence")
-    return relevant_information(evidence, ["q_id"], model, limit, log=options.get("log"), vocabulary=vocabulary)
+    return relevant_information(
+        evidence, ["q_id"], model, limit, log=options.get("log"), vocabulary=vocabulary, store=options.get("store")
+    )
 
 
 def gather_info(
@@ -102,7 +104,7 @@ def gather_info(
     to the model once. `limit` is what one prompt may hold, in characters, or in
     tokens with `vocabulary=` (see `relevant_information`). Other `options` go to
     `evidence_windows`: an index of the corpus, a model for keywords, another
-    search, a trace log.
+    search, a trace log, a store of completions.
     """
     found = per_question(
         questions, lambda once: gather_distinct(once, texts, model, k, n, n_keywords, limit, **options), "left"

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from lanternqa.sources.files import store_of
+
 PIECE_BYTES = 64 << 20
 STEP_BYTES = 1 << 20
 
@@ -34,13 +36,6 @@ class Piece(InputPartition):
     end: int
 
 
-def store_of(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path or URL, and the path in it."""
-    if path.startswith("file:"):
-        path = "/" + path.removeprefix("file:").lstrip("/")
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-
-
 def closed_until(stream: pa.NativeFile, mark: bytes, known: int, size: int) -> int:
     """The end of the last mark between `known` and `size`, searched from the end; `known` if there is none."""
     stop = size
