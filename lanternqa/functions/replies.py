@@ -13,6 +13,8 @@ KEYWORDS = {"keywords": ("array<string>", [])}
 DECOMPOSE = {"needs_followup": ("boolean", False), "questions": ("array<string>", [])}
 SUFFICIENCY = {"is_sufficient": ("boolean", False)}
 ANSWER = {"answer": ("string", None)}
+# The name of the field that carries the mark; no reply's field is called so.
+MARK = "reply-end"
 MEETING = {
     "location": ("string", None),
     "start_time": ("string", None),
@@ -30,18 +32,14 @@ def _default(value: Any, type_: str) -> Column:
 def parse_reply(raw: Column, fields: dict[str, tuple[str, Any]]) -> Column:
     """One struct per reply: a JSON object's fields, or their defaults.
 
-    A reply may not close what wraps it. As an object's field, followed by a
-    mark that must be read back, it cannot close a bracket or leave junk; as the
-    only element of an array it cannot bring further fields. What passes both is
-    one value.
+    A reply may not close what wraps it, nor bring a second value. It is parsed
+    once, as the first element of an array whose second and last one carries a
+    mark made of the reply itself; what leaves the mark in its place is one value.
     """
     inner = ", ".join(f"`{name}`: {type_}" for name, (type_, _) in fields.items())
-    strict = {"allowSingleQuotes": "false"}
     mark = F.md5(raw)
-    field = F.concat(F.lit('{"reply":'), raw, F.lit(',"end":"'), mark, F.lit('"}'))
-    whole = F.from_json(field, f"struct<reply: struct<{inner}>, end: string>", strict)
-    alone = F.size(F.from_json(F.concat(F.lit("["), raw, F.lit("]")), f"array<struct<{inner}>>", strict)) == 1
-    parsed = F.when(alone & (whole["end"] == mark), whole["reply"])
+    wrapped = F.concat(F.lit("["), raw, F.lit(f',{{"{MARK}":"'), mark, F.lit('"}]'))
+    both = F.from_json(wrapped, f"array<struct<{inner}, `{MARK}`: string>>", {"allowSingleQuotes": "false"})
 
     def filled(reply: Column) -> Column:
         return F.struct(
@@ -49,4 +47,7 @@ def parse_reply(raw: Column, fields: dict[str, tuple[str, Any]]) -> Column:
         )
 
     # one lambda argument, so the text is parsed once for all fields
-    return F.get(F.transform(F.array(parsed), filled), F.lit(0))
+    def checked(two: Column) -> Column:
+        return filled(F.when((F.size(two) == 2) & (F.get(two, F.lit(1))[MARK] == mark), F.get(two, F.lit(0))))
+
+    return F.get(F.transform(F.array(both), checked), F.lit(0))

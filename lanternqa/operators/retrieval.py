@@ -91,6 +91,15 @@ def corpus_index(corpus: DataFrame, doc: str = "page_id", terms: DataFrame | Non
     return CorpusIndex(kept, n, total / max(n, 1) or 1.0, doc)
 
 
+def part_index(index: CorpusIndex, ids: DataFrame) -> CorpusIndex:
+    """The index of some of the texts, by their ids, from that of all: as if only these had been indexed."""
+    own = materialize(ids.select(index.doc).filter(F.col(index.doc).isNotNull()).distinct(), "part-ids")
+    words = materialize(_of_ids(index.words, own, index.doc), "part-words")
+    sizes = words.select(index.doc, "dl").distinct().agg(F.sum("dl").alias("n")).first()["n"] or 0
+    n = own.count()
+    return CorpusIndex(words, n, sizes / max(n, 1) or 1.0, index.doc)
+
+
 @dataclass
 class TermIndex:
     """A corpus seen through the words of some questions."""
@@ -287,11 +296,18 @@ def search_site(
 
 
 def search_site_plus_general(
-    queries: DataFrame, corpus: DataFrame, site: str, doc: str = "page_id", url: str = "url"
+    queries: DataFrame, corpus: DataFrame, site: str, doc: str = "page_id", url: str = "url",
+    index: CorpusIndex | None = None,
 ) -> DataFrame:
-    """The site's best page first, the best page of all second; a page may come twice."""
-    first = search_site(queries, corpus, site, 1, doc, url).withColumn("source_rank", F.lit(1))
-    second = search_top_k(queries, corpus.select(doc, "text"), 1, doc).withColumn("source_rank", F.lit(2))
+    """The site's best page first, the best page of all second; a page may come twice.
+
+    Both searches share one index of the corpus, which is read for it once; with
+    an `index` given, only the URLs are read.
+    """
+    whole = index or corpus_index(corpus.select(doc, "text"), doc)
+    own = part_index(whole, corpus.filter(on_site(F.col(url), site)))
+    first = search_top_k(queries, own, 1, doc).withColumn("source_rank", F.lit(1))
+    second = search_top_k(queries, whole, 1, doc).withColumn("source_rank", F.lit(2))
     return first.unionByName(second).withColumn("rank", F.col("source_rank"))
 
 

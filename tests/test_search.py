@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SF
 from lanternqa.catalog.registry import questions, table
@@ -130,3 +131,22 @@ def test_hits_counted_and_pages_joined(spark):
 def test_distinct_join(spark):
     df = spark.createDataFrame([(1, "b"), (1, "a"), (1, "b"), (2, None)], "k int, x string")
     assert [tuple(r) for r in rt.distinct_join(df, ["k"], "x").collect()] == [(1, "a b")]
+
+
+def test_a_part_of_an_index_equals_its_own(spark):
+    rows = [(i, f"http://{'a.org' if i % 3 else 'b.c.org'}/{i}", " ".join(["alpha"] * (i % 4) + [f"w{i % 5}"] * (i % 3))) for i in range(30)]
+    corpus = spark.createDataFrame([*rows, (30, "http://c.org", None), (31, "http://x.c.org", "")], "page_id int, url string, text string")
+    site = corpus.filter(rt.on_site(F.col("url"), "c.org"))
+    whole = rt.corpus_index(corpus.select("page_id", "text"))
+    part, own = rt.part_index(whole, site), rt.corpus_index(site.select("page_id", "text"))
+    assert (part.n_docs, part.mean_len) == (own.n_docs, own.mean_len)
+    assert sorted(map(tuple, part.words.select("page_id", "dl", "term", "tf").collect())) == sorted(
+        map(tuple, own.words.select("page_id", "dl", "term", "tf").collect())
+    )
+    nothing = rt.part_index(whole, corpus.filter("page_id < 0"))
+    assert nothing.n_docs == 0
+    asked = spark.createDataFrame([(1, "alpha w1"), (2, "none")], "q_id int, question string")
+    got = rt.search_site_plus_general(asked, corpus, "c.org", index=whole).collect()
+    want = rt.search_site(asked, corpus, "c.org").first()
+    assert [(r.q_id, r.page_id) for r in got if r.source_rank == 1] == [(want.q_id, want.page_id)]
+    assert rt.search_top_k(asked, nothing, 1).count() == 0
