@@ -3,9 +3,9 @@
 Features are hashed byte trigrams of the lower-cased text, blanks for all that is
 not a letter; a text's value under a linear machine is the mean weight of its
 trigrams. One machine per pair of families votes on the family, one per pair of
-languages inside it votes on the language. Machines are fitted on the driver,
-from a sample of labelled rows bounded by `per_language`; every text is then
-judged whole, inside its own row, without a shuffle.
+languages inside it votes on the language. Machines are fitted one a task, each
+from at most `per_language` labelled texts a side; the driver gathers only their
+weights. Every text is then judged whole, inside its own row, without a shuffle.
 
 Defined results: a null text, or one without any letter, is `und` with score 0.
 Ties between votes go to the larger sum of margins, then to the first name in
@@ -22,7 +22,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanternqa.llm import words as W
@@ -149,15 +149,13 @@ def fit_machine(
     return Machine(yes, no, (w * scale).astype(np.float32), float(b - center @ w))
 
 
-def _up_to(limits: dict[str, int]) -> Column:
-    """Whether a row's key is at most its language's limit."""
-    wanted = F.lit(False)
-    for lang, limit in sorted(limits.items()):
-        wanted = wanted | ((F.col("lang") == lang) & (F.col("key") <= limit))
-    return wanted
+def _up_to(rows: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """The rows whose key is at most their language's limit; there is a limit a language, so they are few."""
+    table = rows.sparkSession.createDataFrame(sorted(limits.items()), "lang string, _limit long")
+    return rows.join(F.broadcast(table), "lang").filter("key <= _limit").drop("_limit")
 
 
-def key_limits(rows: DataFrame, per_language: int, max_languages: int) -> dict[str, int]:
+def key_limits(rows: DataFrame, per_language: int, max_languages: int | None = None) -> dict[str, int]:
     """The `per_language`-th smallest distinct key of each language of (lang, key) rows, or its largest if it has fewer.
 
     Copies fold before anything is counted. Keys are even, so a threshold leaves a little more than what is wanted;
@@ -165,8 +163,8 @@ def key_limits(rows: DataFrame, per_language: int, max_languages: int) -> dict[s
     """
     scratch = Scratch(rows.sparkSession)
     keys = scratch.write(rows.select("lang", "key").distinct(), "keys")
-    counts = {r["lang"]: r["count"] for r in keys.groupBy("lang").count().take(max_languages + 1)}
-    if len(counts) > max_languages:
+    counts = {r["lang"]: r["count"] for r in keys.groupBy("lang").count().collect()}
+    if max_languages is not None and len(counts) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
     limits: dict[str, int] = {}
     spare = 100 + 10 * per_language**0.5
@@ -174,7 +172,7 @@ def key_limits(rows: DataFrame, per_language: int, max_languages: int) -> dict[s
         shares = {lang: min(1.0, (per_language + spare) / n) for lang, n in counts.items() if lang not in limits}
         tried = {lang: min(int(share * (1 << 64)) - (1 << 63), (1 << 63) - 1) for lang, share in shares.items()}
         found: dict[str, list[int]] = {lang: [] for lang in tried}
-        for r in keys.filter(_up_to(tried)).collect():
+        for r in _up_to(keys, tried).collect():
             found[r["lang"]].append(r["key"])
         for lang, own in found.items():
             wanted = min(per_language, counts[lang])
@@ -185,44 +183,70 @@ def key_limits(rows: DataFrame, per_language: int, max_languages: int) -> dict[s
     return limits
 
 
+def _fit(rows: pa.Table, bins: int, per_language: int) -> pa.Table:
+    """Fit one machine on its (side, languages of that side, key, lang, places, shares) rows.
+
+    A side takes the same number of texts of each of its languages, those with
+    the smallest keys, and at most `per_language` in all.
+    """
+    held = sorted(rows.to_pylist(), key=lambda r: (r["side"], r["lang"], r["key"]))
+    vectors, yes, taken = [], [], {}
+    for r in held:
+        taken[r["lang"]] = taken.get(r["lang"], 0) + 1
+        if taken[r["lang"]] > max(1, per_language // r["share"]):
+            continue
+        vector = np.zeros(bins, np.float32)
+        vector[np.frombuffer(r["places"], "<u2")] = np.frombuffer(r["shares"], "<f4")
+        vectors.append(vector)
+        yes.append(r["side"] == 0)
+    machine = fit_machine("", "", np.array(vectors), np.array(yes))
+    columns = [pa.array([held[0]["machine"]], pa.int32()), pa.array([machine.weights.tobytes()]), pa.array([machine.bias])]
+    return pa.Table.from_arrays(columns, names=["machine", "weights", "bias"])
+
+
 def fit_languages(
-    labelled: DataFrame, per_language: int = PER_LANGUAGE, bins: int = BINS, max_languages: int = 64
+    labelled: DataFrame, per_language: int = PER_LANGUAGE, bins: int = BINS, max_languages: int | None = None
 ) -> LanguageModel:
     """Fit on (text, lang) rows: the `per_language` distinct texts of each language with the smallest keys, or all.
 
-    The rows that come to the driver are bounded by `per_language` times
-    `max_languages`; more languages than that are an error.
+    One machine is one task, on at most `per_language` texts a side. Only the
+    weights, and the languages with a key each, come to the driver. Machines
+    grow with the square of a family's languages and of the families, as
+    one-versus-one asks; `max_languages` makes more languages than that an error.
     """
     rows = labelled.select(
         F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"),
         F.xxhash64(F.col("text").cast("string")).alias("key"),
     ).filter("text IS NOT NULL AND lang IS NOT NULL")
     limits = key_limits(rows, per_language, max_languages)
-    if not limits:
-        return LanguageModel([], bins=bins)
-    vectors = rows.filter(_up_to(limits)).mapInArrow(
-        lambda batches: _vectors(batches, bins), "lang string, key long, places binary, shares binary"
-    )
-    sample = vectors.dropDuplicates(["lang", "key"]).collect()
-    taken: dict[str, list[np.ndarray]] = {lang: [] for lang in sorted(limits)}
-    for r in sorted(sample, key=lambda r: (r["key"], r["lang"])):
-        vector = np.zeros(bins, np.float32)
-        vector[np.frombuffer(r["places"], "<u2")] = np.frombuffer(r["shares"], "<f4")
-        taken[r["lang"]].append(vector)
+    model = LanguageModel(sorted(limits), bins=bins)
     groups: dict[str, list[str]] = {}
-    for lang in taken:
+    for lang in model.languages:
         groups.setdefault(family_of(lang), []).append(lang)
-    model = LanguageModel(sorted(taken), bins=bins)
-
-    def pair(yes: str, no: str, left: list[str], right: list[str]) -> Machine:
-        rows = [v for k in (left, right) for lang in k for v in taken[lang]]
-        n = sum(len(taken[lang]) for lang in left)
-        return fit_machine(yes, no, np.array(rows), np.arange(len(rows)) < n)
-
-    for a, b in combinations(sorted(groups), 2):
-        model.families.append(pair(a, b, groups[a], groups[b]))
+    pairs = [(None, a, b, groups[a], groups[b]) for a, b in combinations(sorted(groups), 2)]
     for name, langs in groups.items():
-        model.within[name] = [pair(a, b, [a], [b]) for a, b in combinations(langs, 2)]
+        model.within[name] = []
+        pairs += [(name, a, b, [a], [b]) for a, b in combinations(langs, 2)]
+    if not pairs:
+        return model
+    spark, scratch = labelled.sparkSession, Scratch(labelled.sparkSession)
+    vectors = _up_to(rows, limits).mapInArrow(
+        lambda batches: _vectors(batches, bins), "lang string, key long, places binary, shares binary"
+    )
+    sample = scratch.write(vectors.dropDuplicates(["lang", "key"]), "sample")
+    sides = [
+        (k, side, len(langs), lang)
+        for k, pair in enumerate(pairs) for side, langs in enumerate(pair[3:]) for lang in langs
+    ]
+    wanted = spark.createDataFrame(sides, "machine int, side int, share int, lang string")
+    fitted = (
+        sample.join(F.broadcast(wanted), "lang").repartition(len(pairs), "machine").groupBy("machine")
+        .applyInArrow(lambda table: _fit(table, bins, per_language), "machine int, weights binary, bias double")
+    )
+    found = {r["machine"]: (np.frombuffer(r["weights"], np.float32), r["bias"]) for r in fitted.collect()}
+    scratch.drop("sample")
+    for k, (name, yes, no, *_) in enumerate(pairs):
+        (model.families if name is None else model.within[name]).append(Machine(yes, no, *found[k]))
     return model
 
 
