@@ -7,16 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lanternqa.functions.hashing import text_key
 from lanternqa.operators.spread import grid_join
 from lanternqa.session import materialize
 
+
 def table_followups(edges: DataFrame) -> Callable[[DataFrame, DataFrame], DataFrame]:
-    """Follow-ups of a level of questions, from a table (question, followup)."""
-    links = edges.select("question", "followup").filter(F.col("followup").isNotNull()).distinct()
+    """Follow-ups of a level of questions, from a table (question, followup).
+
+    Questions meet by digests, so what is told about frequent ones is small however long they are.
+    """
+    links = edges.select(text_key("question").alias("_key"), "followup").filter(F.col("followup").isNotNull()).distinct()
     links = materialize(links, "links")
 
     def expand(level: DataFrame, reached: DataFrame) -> DataFrame:
-        return grid_join(level, links, ["question"], ["root"], ["followup"]).select("root", "followup")
+        asked = level.select("root", text_key("question").alias("_key"))
+        return grid_join(asked, links, ["_key"], ["root"], ["followup"]).select("root", "followup")
 
     return expand
 

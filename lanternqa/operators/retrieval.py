@@ -11,7 +11,7 @@ from pyspark.sql.window import WindowSpec
 
 from lanternqa.functions.hashing import text_key
 from lanternqa.functions.text import WORD, words
-from lanternqa.operators.spread import copy_keys, grid_join, hot_keys, split_keys, spread_join
+from lanternqa.operators.spread import copy_keys, grid_join, hot_keys, rows_of_bytes, split_keys, spread_join
 from lanternqa.session import fits_broadcast, materialize
 
 # The published BM25 parameters, and the whole units per point in
@@ -331,12 +331,14 @@ def join_pages(hits: DataFrame, texts: DataFrame, doc: str = "page_id") -> DataF
     """Each question's page texts in rank order, joined by a space: q_id, page_text.
 
     The texts are filtered to the pages that were hit before they are moved. A
-    page that answers many questions is split over tasks; a question has only
-    its top few hits, so its list is short.
+    page that answers many questions is split over tasks, by the bytes that its
+    copies would weigh; a question has only its top few hits, so its list is short.
     """
     hits = hits.select("q_id", "rank", doc)
     hit = materialize(hits.select(doc).distinct(), "hit-pages")
-    pages = spread_join(hits, _of_ids(texts.select(doc, "text"), hit, doc), [doc], by=["q_id", "rank"])
+    found = materialize(_of_ids(texts.select(doc, "text"), hit, doc), "hit-texts")
+    widest = found.agg(F.max(F.octet_length("text")).alias("n")).first()["n"]
+    pages = spread_join(hits, found, [doc], by=["q_id", "rank"], hot_rows=rows_of_bytes(widest))
     in_order = F.array_sort(F.collect_list(F.struct("rank", "text")))
     return pages.groupBy("q_id").agg(
         F.array_join(F.transform(in_order, lambda p: p["text"]), " ").alias("page_text")

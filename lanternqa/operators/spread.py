@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from lanternqa.session import materialize
 
 HOT_ROWS = 1_000_000
+# What one key's joined rows may weigh in one task, where they carry long values.
+HOT_BYTES = 256 << 20
+LEAST_HOT_ROWS = 1000
 NULL_SUBS = 1024
 
 
@@ -19,7 +22,13 @@ def hot_keys(df: DataFrame, on: list[str], hot_rows: int | None = None) -> DataF
     """
     limit = hot_rows or HOT_ROWS
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
-    return counts.select(*on, F.ceil(F.col("_n") / limit).cast("int").alias("_subs"))
+    hot = counts.select(*on, F.ceil(F.col("_n") / limit).cast("int").alias("_subs"))
+    return F.broadcast(hot)
+
+
+def rows_of_bytes(widest: int | None) -> int:
+    """How many rows of a key make it hot if each carries a value of up to `widest` bytes."""
+    return max(LEAST_HOT_ROWS, min(HOT_ROWS, HOT_BYTES // max(widest or 1, 1)))
 
 
 def split_keys(left: DataFrame, hot: DataFrame, on: list[str], by: list[str], sub: str = "_sub") -> DataFrame:
@@ -29,7 +38,7 @@ def split_keys(left: DataFrame, hot: DataFrame, on: list[str], by: list[str], su
         absent = absent | F.col(key).isNull()
     subs = F.when(absent, NULL_SUBS).otherwise(F.coalesce("_subs", F.lit(1)))
     return (
-        left.join(F.broadcast(hot), on, "left").withColumn(sub, F.pmod(F.xxhash64(*by), subs).cast("int"))
+        left.join(hot, on, "left").withColumn(sub, F.pmod(F.xxhash64(*by), subs).cast("int"))
         .drop("_subs")
     )
 
@@ -37,7 +46,7 @@ def split_keys(left: DataFrame, hot: DataFrame, on: list[str], by: list[str], su
 def copy_keys(right: DataFrame, hot: DataFrame, on: list[str], sub: str = "_sub") -> DataFrame:
     """Add `sub`: rows of a hot key are copied to each of its sub-keys, others stay single."""
     subs = F.sequence(F.lit(0), F.coalesce("_subs", F.lit(1)) - 1)
-    return right.join(F.broadcast(hot), on, "left").withColumn(sub, F.explode(subs)).drop("_subs")
+    return right.join(hot, on, "left").withColumn(sub, F.explode(subs)).drop("_subs")
 
 
 def spread_join(

@@ -65,3 +65,11 @@ def test_length_buckets_with_a_hot_bucket(spark):
     for batches in sizes.values():
         counts = [len(batches[b]) for b in sorted(batches)]
         assert sorted(batches) == list(range(len(batches))) and all(c == 4 for c in counts[:-1]) and counts[-1] <= 4
+
+
+def test_wide_values_make_a_key_hot_sooner():
+    from lanternqa.operators.spread import HOT_BYTES, HOT_ROWS, LEAST_HOT_ROWS, rows_of_bytes
+
+    assert rows_of_bytes(None) == rows_of_bytes(10) == HOT_ROWS
+    assert rows_of_bytes(1 << 16) == HOT_BYTES >> 16
+    assert rows_of_bytes(1 << 30) == LEAST_HOT_ROWS
