@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,31 +40,52 @@ def common_subsequence(a: str, b: str) -> int:
     return same + len(a) - row.bit_count()
 
 
-def ratio(a: str, b: str) -> int:
-    """Equal texts score 100, an empty one 0 against any other. The formula is
-    written as the public scorer rounds it: 1 - distance/total, half to even."""
+def _share(common: int, total: int) -> int:
+    """The formula, written as the public scorer rounds it: 1 - distance/total, half to even. It grows with `common`."""
+    return round(100 * (1.0 - (total - 2 * common) / total))
+
+
+def ratio(a: str, b: str, least: int = 0) -> int:
+    """Equal texts score 100, an empty one 0 against any other.
+
+    A score that cannot exceed `least` is given as `least`: no common
+    subsequence has more of a character than either text has.
+    """
     if a == b:
         return 100
     if not a or not b:
-        return 0
+        return least
     total = len(a) + len(b)
-    return round(100 * (1.0 - (total - 2 * common_subsequence(a, b)) / total))
+    if least:
+        if _share(min(len(a), len(b)), total) <= least:
+            return least
+        if _share((Counter(a) & Counter(b)).total(), total) <= least:
+            return least
+    return max(least, _share(common_subsequence(a, b), total))
 
 
 def sort_ratio(a: str, b: str) -> int:
     return ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
 
 
-def set_ratio(a: str, b: str) -> int:
-    """Best ratio among shared words, shared + rest of a, shared + rest of b."""
+def set_ratio(a: str, b: str, least: int = 0) -> int:
+    """Best ratio among shared words, shared + rest of a, shared + rest of b; `least` if none exceeds it.
+
+    The shared words begin both of the longer texts, so what they have in common
+    with these is their own length; only the last ratio may need the full work.
+    """
     left, right = set(a.split()), set(b.split())
     if not left or not right:
-        return 0
+        return least
     shared = sorted(left & right)
     core = " ".join(shared)
     one = " ".join(shared + sorted(left - right))
     two = " ".join(shared + sorted(right - left))
-    return max(ratio(core, one), ratio(core, two), ratio(one, two))
+    best = least
+    for whole in (one, two):
+        if core:
+            best = max(best, 100 if core == whole else _share(len(core), len(core) + len(whole)))
+    return best if best == 100 else ratio(one, two, best)
 
 
 def _column(score):
@@ -76,7 +99,13 @@ def _column(score):
 @F.pandas_udf(T.IntegerType())
 def _best_set_ratio(a: pd.Series, options: pd.Series) -> pd.Series:
     def best(x: str | None, texts) -> int | None:
-        return None if texts is None else max([0 if x is None or y is None else set_ratio(x, y) for y in texts], default=0)
+        if texts is None:
+            return None
+        top = 0
+        for y in texts if x is not None else ():
+            if y is not None and top < 100:
+                top = set_ratio(x, y, top)
+        return top
 
     return pd.Series([best(x, texts) for x, texts in zip(a, options)], dtype="Int32")
 

@@ -78,3 +78,31 @@ def test_best_option_mean_and_comparison(spark):
     tuned = best.select("k", F.lit(50).alias("similarity_score_tuned")).filter("k < 3")
     both = sc.compare_models(best.withColumnRenamed("token_set_ratio", "similarity_score"), tuned, ["k"]).first()
     assert (both.n, both.mean_base, both.mean_tuned) == (2, 100.0, 50.0)
+
+
+def plain_set_ratio(a, b):
+    left, right = set(a.split()), set(b.split())
+    if not left or not right:
+        return 0
+    core = " ".join(sorted(left & right))
+    one, two = (" ".join(sorted(left & right) + sorted(own)) for own in (left - right, right - left))
+    return max(slow_ratio(core, one), slow_ratio(core, two), slow_ratio(one, two))
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="abc ", max_size=30), st.text(alphabet="abc ", max_size=30), st.integers(0, 100))
+def test_bounds_change_no_score(a, b, least):
+    assert sm.ratio(a, b, least) == max(least, slow_ratio(a, b))
+    assert sm.set_ratio(a, b) == plain_set_ratio(a, b)
+    assert sm.set_ratio(a, b, least) == max(least, plain_set_ratio(a, b))
+
+
+def test_options_that_cannot_win_are_not_compared(monkeypatch):
+    calls = []
+    real = sm.common_subsequence
+    monkeypatch.setattr(sm, "common_subsequence", lambda a, b: calls.append(1) or real(a, b))
+    best = plain_set_ratio("paris is big", "paris was big")
+    assert sm.set_ratio("paris is big", "paris was big", 0) == best > 80 and len(calls) == 1
+    assert sm.set_ratio("paris is big", " ".join(f"x{i}" for i in range(300)), best) == best  # too long
+    assert sm.set_ratio("paris is big", "qwq wqwq qw", best) == best  # other letters
+    assert sm.set_ratio("paris is big", "paris", best) == 100 and len(calls) == 1
