@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -122,22 +121,18 @@ class Tokenizer:
         return out
 
 
-@lru_cache(4)
-def tokenizer(path: str, pattern: str) -> Tokenizer:
-    return Tokenizer(path, pattern)
-
-
 def token_cuts(text: Column, budget: int | Column, path: str, pattern: str) -> Column:
     """array<struct<n_tokens, chunk>>: slices of at most `budget` model tokens that join back to the text."""
 
     @F.arrow_udf(CUTS)
-    def cut(texts: pa.Array, budgets: pa.Array) -> pa.Array:
-        words = tokenizer(path, pattern)
-        out = [
-            None if x is None or n is None else [{"n_tokens": k, "chunk": c} for k, c in words.chunks(x, max(n, 1))]
-            for x, n in zip(texts.to_pylist(), budgets.to_pylist())
-        ]
-        return pa.array(out, pa.list_(CUT))
+    def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        words = Tokenizer(path, pattern)
+        for texts, budgets in batches:
+            out = [
+                None if x is None or n is None else [{"n_tokens": k, "chunk": c} for k, c in words.chunks(x, max(n, 1))]
+                for x, n in zip(texts.to_pylist(), budgets.to_pylist())
+            ]
+            yield pa.array(out, pa.list_(CUT))
 
     return cut(text, (budget if isinstance(budget, Column) else F.lit(budget)).cast("int"))
 
@@ -146,9 +141,10 @@ def count_tokens(text: Column, path: str, pattern: str) -> Column:
     """How many model tokens a text has."""
 
     @F.arrow_udf(T.LongType())
-    def count(texts: pa.Array) -> pa.Array:
-        words = tokenizer(path, pattern)
-        return pa.array([None if x is None else words.count(x) for x in texts.to_pylist()], pa.int64())
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        words = Tokenizer(path, pattern)
+        for texts in batches:
+            yield pa.array([None if x is None else words.count(x) for x in texts.to_pylist()], pa.int64())
 
     return count(text)
 
