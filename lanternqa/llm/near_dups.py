@@ -10,11 +10,13 @@ candidates, and a link needs the full sets to agree.
 
 Buckets are not expanded into pairs. In the first rounds each bucket compares
 its members with one leader. What is then still in different components of a
-bucket is compared on signatures, a bounded block of members at a time: first
-each member sends its likeliest partner to verification, then all partners whose
-signatures do not rule out a link. So all candidates end up linked, in one
-component, or refuted. A link at the limit shares no band, or is ruled out by
-its signatures, with a probability below 0.0001 (`miss_probability`).
+bucket is compared in cells of bounded size, one or two blocks of members with
+their full sets: partners whose signatures do not rule out a link are compared
+exactly, likeliest first, unless a union-find has joined them already, and only
+links that join two sets leave the cell. So all candidates end up linked, in one
+component, or refuted, and a refuted pair never becomes a row. A link at the
+limit shares no band, or is ruled out by its signatures, with a probability below
+0.0001 (`miss_probability`).
 
 Defined results: a null or blank text has an empty set and links with nothing; a
 single word is a set of one. Rows with one doc_id are one document, that of the
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanternqa.llm import words as W
-from lanternqa.llm.components import components
+from lanternqa.llm.components import UnionFind, components
 from lanternqa.llm.scratch import Scratch, shuffle_parts
 
 WORDS = 2
@@ -41,10 +43,11 @@ BANDS = 32
 ROWS = 5
 GROUP = 1 << 16
 STAR_ROUNDS = 2
-BEST_ROUNDS = 1
 BLOCK = 2048
+BLOCK_SHINGLES = 1 << 21
 DEVIATIONS = 4.5
 SHORT = 0x5851F42D4C957F2D
+PLACES = "bucket long, band int, rep long, component long, block int, low int, high int"
 SETS = "doc_id long, n_shingles long, high long, low long, bands array<long>, slots binary"
 
 
@@ -128,15 +131,20 @@ def _bands(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def _names(keys: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """A name of each set: two sums of independently mixed keys."""
+    names = []
+    for salt in W.WORD_BASES[:2]:
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(W.mixed(keys ^ np.uint64(salt)))))
+        names.append((total[first[1:]] - total[first[:-1]]).view(np.int64))
+    return names
+
+
 def _sign(batches: Iterable[pa.RecordBatch], words: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     for batch, texts in W.chunks(batches):
         keys, first = shingle_sets([x or b"" for x in texts], words)
         sizes = np.diff(first)
-        # A set's name: two sums of independently mixed keys.
-        names = []
-        for salt in W.WORD_BASES[:2]:
-            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(W.mixed(keys ^ np.uint64(salt)))))
-            names.append((total[first[1:]] - total[first[:-1]]).view(np.int64))
+        names = _names(keys, first)
         # Copies inside the chunk are signed once.
         seen: dict[tuple, int] = {}
         same = [seen.setdefault(x, i) for i, x in enumerate(zip(*(n.tolist() for n in names), sizes.tolist()))]
@@ -162,89 +170,109 @@ def _sets(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
         keys, first = shingle_sets([x or b"" for x in texts], words)
         body = keys.tobytes()
         sets = [body[8 * a : 8 * b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["rep", "keys"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), *map(pa.array, _names(keys, first)), pa.array(sets, pa.binary())],
+            names=["rep", "high", "low", "keys"],
+        )
+
+
+def agree(left: np.ndarray, right: np.ndarray, similarity: tuple[int, int]) -> bool:
+    """Whether two sorted sets share enough of their union, in whole numbers."""
+    if similarity[1] * min(len(left), len(right)) < similarity[0] * max(len(left), len(right)):
+        return False
+    both = np.concatenate([left, right])
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return similarity[1] * shared >= similarity[0] * (len(both) - shared)
 
 
 def _verify(batches: Iterable[pa.RecordBatch], similarity: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """The pairs whose sets agree: shares of the union, in whole numbers."""
+    """The pairs whose sets agree."""
     for batch in batches:
         a, b = [], []
         for x, y, p, q in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "keys_a", "keys_b"))):
-            left, right = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            if similarity[1] * min(len(left), len(right)) < similarity[0] * max(len(left), len(right)):
-                continue
-            both = np.concatenate([left, right])
-            both.sort(kind="stable")
-            shared = int((both[1:] == both[:-1]).sum())
-            if similarity[1] * shared >= similarity[0] * (len(both) - shared):
+            if agree(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), similarity):
                 a.append(x)
                 b.append(y)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _cell(rows: list[dict], lowest: float, best_only: bool) -> Iterator[tuple[int, int]]:
-    """Pairs of one bucket, or of one pair of its blocks, that are in different components and may be linked.
+def _by_cell(batches: Iterable[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """Rows sorted by bucket and pair of blocks, a cell at a time."""
+    key, rows = None, []
+    for batch in batches:
+        for at in range(0, batch.num_rows, 100):
+            for row in batch.slice(at, 100).to_pylist():
+                own = (row["bucket"], row["low"], row["high"])
+                if own != key:
+                    if rows:
+                        yield rows
+                    key, rows = own, []
+                rows.append(row)
+    if rows:
+        yield rows
+
+
+def _likely(rows: list[dict], lowest: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of members in different components whose signatures do not rule out a link, and their equal slots.
 
-    A pair is given in the first band that it shares, or, if only the best are
-    wanted, by each member for its likeliest partner.
+    A pair is given in the first band that it shares.
     """
-    ids = np.array([r["rep"] for r in rows], np.int64)
     component = np.array([r["component"] for r in rows], np.int64)
     block = np.array([r["block"] for r in rows])
     slots = np.stack([np.frombuffer(r["slots"], np.uint8) for r in rows])
     bands = np.stack([np.array(r["bands"], np.int64) for r in rows])
     low, high, band = rows[0]["low"], rows[0]["high"], rows[0]["band"]
-    names, place = np.unique(component, return_inverse=True)
+    _, place = np.unique(component, return_inverse=True)
     # Members of the largest component need not be compared with each other.
     small = np.flatnonzero(place != np.argmax(np.bincount(place)))
     columns = np.ascontiguousarray(slots.T)
-    step = max(1, (2 << 20) // len(ids))
+    least = max(1, math.ceil(lowest * len(columns)))
+    step = max(1, (2 << 20) // len(rows))
     for at in range(0, len(small), step):
         some = small[at : at + step]
-        equal = np.zeros((len(some), len(ids)), np.uint16)
+        equal = np.zeros((len(some), len(rows)), np.uint16)
         for column in columns:  # slot by slot: whole rows of bytes at once
             equal += column[some][:, None] == column[None]
-        share = equal / len(columns)
-        allowed = component[some][:, None] != component[None]
+        equal[place[some][:, None] == place[None]] = 0
         if low != high:
-            allowed &= block[some][:, None] != block[None]
-        share[~allowed] = -1
-        if best_only:
-            j = share.argmax(1)
-            i = np.arange(len(some))
-            fit = share[i, j] >= lowest
-            i, j = some[i[fit]], j[fit]
-        else:
-            i, j = np.nonzero(share >= lowest)
-            i = some[i]
-            first = (bands[i] == bands[j]).argmax(1) == band
-            i, j = i[first], j[first]
-        yield from zip(np.minimum(ids[i], ids[j]).tolist(), np.maximum(ids[i], ids[j]).tolist())
-
-
-def _cells(batches: Iterable[pa.RecordBatch], lowest: float, best_only: bool) -> Iterator[pa.RecordBatch]:
-    """Stream rows sorted by bucket and pair of blocks."""
-    key, rows, out = None, [], set()
+            equal[block[some][:, None] == block[None]] = 0
+        i, j = np.nonzero(equal >= least)
+        share = equal[i, j]
+        i = some[i]
+        first = (bands[i] == bands[j]).argmax(1) == band
+        yield i[first], j[first], share[first]
+
+
+def _flag(batches: Iterable[pa.RecordBatch], lowest: float) -> Iterator[pa.RecordBatch]:
+    """The members of each cell that have a likely partner there: as many rows as members at most."""
+    names = [x.split()[0] for x in PLACES.split(", ")]
+    for rows in _by_cell(batches):
+        wanted: set[int] = set()
+        for i, j, _ in _likely(rows, lowest):
+            wanted.update(i.tolist(), j.tolist())
+        if wanted:
+            columns = [pa.array([rows[k][name] for k in sorted(wanted)]) for name in names]
+            yield pa.RecordBatch.from_arrays(
+                [c.cast(pa.int32() if n in ("band", "block", "low", "high") else pa.int64()) for n, c in zip(names, columns)],
+                names=names,
+            )
 
-    def give() -> pa.RecordBatch:
-        pairs = sorted(out)
-        out.clear()
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            for row in batch.slice(at, 1000).to_pylist():
-                own = (row["bucket"], row["low"], row["high"])
-                if own != key:
-                    if rows:
-                        out.update(_cell(rows, lowest, best_only))
-                    key, rows = own, []
-                    if len(out) > 50_000:
-                        yield give()
-                rows.append(row)
-    if rows:
-        out.update(_cell(rows, lowest, best_only))
-    yield give()
+def _cells(batches: Iterable[pa.RecordBatch], lowest: float, similarity: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """Links that join the components of a cell: sets are compared unless links found before have joined them."""
+    for rows in _by_cell(batches):
+        place = [r["component"] for r in rows]
+        sets = [np.frombuffer(r["keys"], np.uint64) for r in rows]
+        joined, out = UnionFind(), []
+        for i, j, share in _likely(rows, lowest):
+            order = np.argsort(-share.astype(np.int64), kind="stable")
+            for x, y in zip(i[order].tolist(), j[order].tolist()):
+                if joined.root(place[x]) != joined.root(place[y]) and agree(sets[x], sets[y], similarity):
+                    joined.join(place[x], place[y])
+                    out.append((rows[x]["rep"], rows[y]["rep"]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 def near_duplicates(
@@ -257,56 +285,82 @@ def near_duplicates(
     ).filter("doc_id IS NOT NULL")
     signed = texts.mapInArrow(lambda batches: _sign(batches, words, bands, rows), SETS)
     marks = scratch.write(signed, "marks")
+    # One set for each document; classes are made of these sets only.
+    name = ["doc_id", "high", "low", "n_shingles"]
+    smallest = F.min(F.struct(*name[1:])).alias("own")
     own = scratch.write(
-        marks.groupBy("doc_id").agg(F.min(F.struct("high", "low", "n_shingles")).alias("own")).select("doc_id", "own.*"), "own"
+        marks.groupBy("doc_id").agg(smallest, F.count(F.lit(1)).alias("copies")).select("doc_id", "own.*", "copies"), "own"
     )
+    repeated = own.filter("copies > 1").select("doc_id", F.struct(*name[1:]).alias("own"))
+    other = marks.select(*name).join(repeated, "doc_id").filter(F.struct(*name[1:]) != F.col("own")).select(*name)
+    other = scratch.write(other.distinct(), "other")
     classes = scratch.write(
-        marks.filter("n_shingles > 0").groupBy("high", "low", "n_shingles").agg(
+        marks.filter("n_shingles > 0").join(other, name, "left_anti").groupBy("high", "low", "n_shingles").agg(
             F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("slots").alias("slots")
         ),
         "classes",
     )
-    places = classes.select("rep", F.posexplode("bands").alias("band", "key")).select(
-        "rep", "band", F.xxhash64("band", "key").alias("bucket")
+    scratch.drop("marks", "other")
+    places = classes.select("rep", "n_shingles", F.posexplode("bands").alias("band", "key")).select(
+        "rep", "n_shingles", "band", F.xxhash64("band", "key").alias("bucket")
     )
     # Buckets with a single member go at once.
     counts = places.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     crowded = scratch.write(counts.filter("n > 1").select("bucket"), "crowded")
     members = scratch.write(places.join(crowded, "bucket"), "members")
-    reps = members.select("rep").distinct()
-    sets = scratch.write(
-        texts.join(reps, F.col("doc_id") == F.col("rep"), "left_semi").mapInArrow(
-            lambda batches: _sets(batches, words), "rep long, keys binary"
-        ).groupBy("rep").agg(F.min("keys").alias("keys")),
-        "sets",
-    )
+    wanted = members.select("rep").distinct().join(own, F.col("rep") == F.col("doc_id"))
+    reps = scratch.write(wanted.select("rep", "high", "low", "copies"), "reps")
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        found = texts.join(some.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi")
+        return found.mapInArrow(lambda batches: _sets(batches, words), "rep long, high long, low long, keys binary")
+
+    # Of several rows of a doc_id, only one with its own set.
+    many = reps.filter("copies > 1")
+    of_many = sets_of(many).join(many, ["rep", "high", "low"], "left_semi").groupBy("rep").agg(F.min("keys").alias("keys"))
+    sets = scratch.write(sets_of(reps.filter("copies = 1")).select("rep", "keys").unionByName(of_many), "sets")
     parts = shuffle_parts(docs)
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = scratch.write(pairs.distinct(), f"pairs_{turn}")
+        scratch.drop("crowded" if not turn else f"pairs_{turn - 1}")
+        # Only sets that are in a pair travel.
         left = sets.select(F.col("rep").alias("a"), F.col("keys").alias("keys_a"))
         right = sets.select(F.col("rep").alias("b"), F.col("keys").alias("keys_b"))
+        left = left.join(pairs.select("a").distinct(), "a", "left_semi")
+        right = right.join(pairs.select("b").distinct(), "b", "left_semi")
         full = pairs.join(right, "b").join(left, "a").select("a", "b", "keys_a", "keys_b")
         return full.mapInArrow(lambda batches: _verify(batches, similarity), "a long, b long")
 
     lowest = lowest_share(similarity, bands * rows)
     order = ["bucket", "low", "high"]
 
-    def likely(placed: DataFrame, split: DataFrame, best_only: bool) -> DataFrame:
-        """Pairs of different components, found on signatures; a large bucket is shared out by pairs of blocks."""
+    def in_cells(placed: DataFrame, split: DataFrame) -> DataFrame:
+        """Links of different components; a large bucket is shared out by pairs of blocks.
+
+        Signatures go first: only members with a likely partner bring their sets.
+        """
         own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+        blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
         cells = (
-            placed.join(split.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "bucket")
+            placed.join(split.select("bucket", blocks.alias("blocks")), "bucket")
             .withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .select("bucket", "band", "rep", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
         )
-        full = cells.join(classes.select("rep", "bands", "slots"), "rep")
-        return full.repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(
-            lambda batches: _cells(batches, lowest, best_only), "a long, b long"
+        marked = classes.select("rep", "bands", "slots")
+        flagged = cells.join(marked, "rep").repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(
+            lambda batches: _flag(batches, lowest), PLACES
+        )
+        flagged = scratch.write(flagged, "flagged")
+        wanted = scratch.write(
+            sets.join(marked, "rep").join(flagged.select("rep").distinct(), "rep", "left_semi"), "wanted"
+        )
+        return flagged.join(wanted, "rep").repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(
+            lambda batches: _cells(batches, lowest, similarity), "a long, b long"
         )
 
     found = None
-    for turn in range(STAR_ROUNDS + BEST_ROUNDS + 1):
+    for turn in range(STAR_ROUNDS + 1):
         # The component of each member so far; a bucket in a single component has nothing left to compare.
         if found is None:
             placed = members.withColumn("component", F.col("rep"))
@@ -314,12 +368,13 @@ def near_duplicates(
             placed = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn(
                 "component", F.coalesce("component", "rep")
             )
-        placed = scratch.write(placed, f"placed_{turn}")
+        placed = scratch.write(placed.select("bucket", "band", "rep", "n_shingles", "component"), f"placed_{turn}")
         lead = F.min(F.struct(F.xxhash64(F.lit(turn), "rep").alias("draw"), "rep", "component")).alias("lead")
         split = scratch.write(
             placed.groupBy("bucket").agg(
-                F.min("component").alias("low"), F.max("component").alias("high"), lead, F.count(F.lit(1)).alias("n")
-            ).filter("low <> high").select("bucket", "n", F.col("lead.rep").alias("leader"), F.col("lead.component").alias("of_leader")),
+                F.min("component").alias("low"), F.max("component").alias("high"), lead, F.count(F.lit(1)).alias("n"),
+                F.sum("n_shingles").alias("shingles"),
+            ).filter("low <> high").select("bucket", "n", "shingles", F.col("lead.rep").alias("leader"), F.col("lead.component").alias("of_leader")),
             f"split_{turn}",
         )
         if split.isEmpty():
@@ -328,12 +383,14 @@ def near_duplicates(
             pairs = placed.join(split, "bucket").filter("component <> of_leader").select(
                 F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")
             )
+            links = verified(pairs)
         else:
-            pairs = likely(placed, split, turn < STAR_ROUNDS + BEST_ROUNDS)
-        new = scratch.write(verified(pairs), f"links_{turn}")
+            links = in_cells(placed, split)
+        new = scratch.write(links, f"links_{turn}")
         # The stars found so far stand for all earlier links.
         links = new if found is None else new.unionByName(found.select(F.col("id").alias("a"), F.col("component").alias("b")))
         found = components(links, scratch)
+        scratch.drop(f"placed_{turn}", f"split_{turn}")
     ends = classes.select("high", "low", "n_shingles", "rep")
     if found is not None:
         ends = ends.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn(
@@ -351,5 +408,5 @@ def near_duplicates(
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """`docs` with one document of each component; a row without doc_id stays."""
-    gone = near_duplicates(docs, **options).filter("NOT kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, **options).filter("NOT kept")
+    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
