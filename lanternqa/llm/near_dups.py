@@ -18,6 +18,9 @@ component, or refuted, and a refuted pair never becomes a row. A link at the
 limit shares no band, or is ruled out by its signatures, with a probability below
 0.0001 (`miss_probability`).
 
+Joins of tables that grow with the corpus are shuffled at every size, so that what
+they cost shows on small inputs already.
+
 Defined results: a null or blank text has an empty set and links with nothing; a
 single word is a set of one. Rows with one doc_id are one document, that of the
 smallest set by key; rows without doc_id are left out of the result. Other columns do not matter.
@@ -307,7 +310,7 @@ def near_duplicates(
     # Buckets with a single member go at once.
     counts = places.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     crowded = scratch.write(counts.filter("n > 1").select("bucket"), "crowded")
-    members = scratch.write(places.join(crowded, "bucket"), "members")
+    members = scratch.write(places.join(crowded.hint("merge"), "bucket"), "members")
     wanted = members.select("rep").distinct().join(own, F.col("rep") == F.col("doc_id"))
     reps = scratch.write(wanted.select("rep", "high", "low", "copies"), "reps")
 
@@ -329,7 +332,7 @@ def near_duplicates(
         right = sets.select(F.col("rep").alias("b"), F.col("keys").alias("keys_b"))
         left = left.join(pairs.select("a").distinct(), "a", "left_semi")
         right = right.join(pairs.select("b").distinct(), "b", "left_semi")
-        full = pairs.join(right, "b").join(left, "a").select("a", "b", "keys_a", "keys_b")
+        full = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "keys_a", "keys_b")
         return full.mapInArrow(lambda batches: _verify(batches, similarity), "a long, b long")
 
     lowest = lowest_share(similarity, bands * rows)
@@ -343,7 +346,7 @@ def near_duplicates(
         own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
         blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
         cells = (
-            placed.join(split.select("bucket", blocks.alias("blocks")), "bucket")
+            placed.join(split.select("bucket", blocks.alias("blocks")).hint("merge"), "bucket")
             .withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .select("bucket", "band", "rep", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
         )
@@ -380,7 +383,7 @@ def near_duplicates(
         if split.isEmpty():
             break
         if turn < STAR_ROUNDS:
-            pairs = placed.join(split, "bucket").filter("component <> of_leader").select(
+            pairs = placed.join(split.hint("merge"), "bucket").filter("component <> of_leader").select(
                 F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")
             )
             links = verified(pairs)
