@@ -311,16 +311,16 @@ def near_duplicates(
     counts = places.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     crowded = scratch.write(counts.filter("n > 1").select("bucket"), "crowded")
     members = scratch.write(places.join(crowded.hint("merge"), "bucket"), "members")
-    wanted = members.select("rep").distinct().join(own, F.col("rep") == F.col("doc_id"))
+    wanted = members.select("rep").distinct().join(own.hint("merge"), F.col("rep") == F.col("doc_id"))
     reps = scratch.write(wanted.select("rep", "high", "low", "copies"), "reps")
 
     def sets_of(some: DataFrame) -> DataFrame:
-        found = texts.join(some.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi")
+        found = texts.join(some.select("rep").hint("merge"), F.col("doc_id") == F.col("rep"), "left_semi")
         return found.mapInArrow(lambda batches: _sets(batches, words), "rep long, high long, low long, keys binary")
 
     # Of several rows of a doc_id, only one with its own set.
     many = reps.filter("copies > 1")
-    of_many = sets_of(many).join(many, ["rep", "high", "low"], "left_semi").groupBy("rep").agg(F.min("keys").alias("keys"))
+    of_many = sets_of(many).join(many.hint("merge"), ["rep", "high", "low"], "left_semi").groupBy("rep").agg(F.min("keys").alias("keys"))
     sets = scratch.write(sets_of(reps.filter("copies = 1")).select("rep", "keys").unionByName(of_many), "sets")
     parts = shuffle_parts(docs)
 
@@ -330,8 +330,8 @@ def near_duplicates(
         # Only sets that are in a pair travel.
         left = sets.select(F.col("rep").alias("a"), F.col("keys").alias("keys_a"))
         right = sets.select(F.col("rep").alias("b"), F.col("keys").alias("keys_b"))
-        left = left.join(pairs.select("a").distinct(), "a", "left_semi")
-        right = right.join(pairs.select("b").distinct(), "b", "left_semi")
+        left = left.join(pairs.select("a").distinct().hint("merge"), "a", "left_semi")
+        right = right.join(pairs.select("b").distinct().hint("merge"), "b", "left_semi")
         full = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "keys_a", "keys_b")
         return full.mapInArrow(lambda batches: _verify(batches, similarity), "a long, b long")
 
@@ -351,14 +351,14 @@ def near_duplicates(
             .select("bucket", "band", "rep", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
         )
         marked = classes.select("rep", "bands", "slots")
-        flagged = cells.join(marked, "rep").repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(
+        flagged = cells.join(marked.hint("merge"), "rep").repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(
             lambda batches: _flag(batches, lowest), PLACES
         )
         flagged = scratch.write(flagged, "flagged")
         wanted = scratch.write(
-            sets.join(marked, "rep").join(flagged.select("rep").distinct(), "rep", "left_semi"), "wanted"
+            sets.join(marked.hint("merge"), "rep").join(flagged.select("rep").distinct().hint("merge"), "rep", "left_semi"), "wanted"
         )
-        return flagged.join(wanted, "rep").repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(
+        return flagged.join(wanted.hint("merge"), "rep").repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(
             lambda batches: _cells(batches, lowest, similarity), "a long, b long"
         )
 
@@ -368,7 +368,7 @@ def near_duplicates(
         if found is None:
             placed = members.withColumn("component", F.col("rep"))
         else:
-            placed = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn(
+            placed = members.join(found.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").withColumn(
                 "component", F.coalesce("component", "rep")
             )
         placed = scratch.write(placed.select("bucket", "band", "rep", "n_shingles", "component"), f"placed_{turn}")
@@ -396,13 +396,13 @@ def near_duplicates(
         scratch.drop(f"placed_{turn}", f"split_{turn}")
     ends = classes.select("high", "low", "n_shingles", "rep")
     if found is not None:
-        ends = ends.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn(
+        ends = ends.join(found.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").withColumn(
             "component", F.coalesce("component", "rep")
         )
     else:
         ends = ends.withColumn("component", F.col("rep"))
     ends = scratch.write(ends.select("high", "low", "n_shingles", "component"), "ends")
-    linked = own.join(ends, ["high", "low", "n_shingles"], "left").select(
+    linked = own.join(ends.hint("merge"), ["high", "low", "n_shingles"], "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
     )
