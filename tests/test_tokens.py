@@ -88,3 +88,21 @@ def test_prompts_of_a_flow_keep_the_limit_in_tokens(spark, library):
 
     told = gather.relevant_information(evidence, ["k"], reader, limit, vocabulary=(PATH, PATTERN)).collect()
     assert [(r.k, "True" in r.information) for r in told] == [(1, True)]
+
+
+def test_tasks_hold_a_stretch_of_texts(spark, words, monkeypatch):
+    """A batch of any number of texts is worked on a stretch at a time; nulls, blanks and long texts stay in place."""
+    import pyarrow as pa
+
+    texts = ["word " * (i % 9) if i % 5 else None for i in range(300)] + ["", "long " * 400]
+    column = pa.array(texts, pa.string())
+    monkeypatch.setattr(tk, "STRETCH_BYTES", 200)
+    held = [column[s].to_pylist() for s in tk.stretches(column)]
+    assert sum(held, []) == texts and list(tk.stretches(column[:0])) == []
+    assert len(held) > 20 and all(len(x) == 1 or sum(len(t or "") + 1 for t in x[:-1]) <= 200 for x in held)
+    df = spark.createDataFrame([(i, t, 3 + i % 4) for i, t in enumerate(texts)], "i int, x string, n int").coalesce(1)
+    asked = df.select("i", tk.token_cuts(F.col("x"), F.col("n"), PATH, PATTERN).alias("c"), tk.count_tokens(F.col("x"), PATH, PATTERN).alias("k"))
+    for r in asked.collect():
+        t = texts[r.i]
+        want = None if t is None else words.chunks(t, 3 + r.i % 4)
+        assert (None if r.c is None else [tuple(x) for x in r.c]) == want and r.k == (None if t is None else words.count(t))
