@@ -336,7 +336,7 @@ def join_pages(hits: DataFrame, texts: DataFrame, doc: str = "page_id") -> DataF
     """
     hits = hits.select("q_id", "rank", doc)
     hit = materialize(hits.select(doc).distinct(), "hit-pages")
-    found = materialize(_of_ids(texts.select(doc, "text"), hit, doc), "hit-texts")
+    found = _of_ids(texts.select(doc, "text"), hit, doc)
     widest = found.agg(F.max(F.octet_length("text")).alias("n")).first()["n"]
     pages = spread_join(hits, found, [doc], by=["q_id", "rank"], hot_rows=rows_of_bytes(widest))
     in_order = F.array_sort(F.collect_list(F.struct("rank", "text")))
