@@ -78,23 +78,28 @@ class GrowingIndex:
             return reduce(DataFrame.unionByName, out)
         return self.spark.createDataFrame([], T.StructType.fromDDL(f"`{self.doc}` {self.doc_type}, {columns}"))
 
+    def _write_words(self, counted: DataFrame, name: str) -> None:
+        """Each file by term, so that a reader of some terms can skip parts of it; no row moves for that."""
+        counted.sortWithinPartitions("term", self.doc).write.parquet(f"{self.path}/{name}/words")
+
     def add(self, corpus: DataFrame) -> None:
         """Add texts (`doc`, text); an id that is there already gets the new text. Rows without id are no texts.
 
         Only `corpus` and the ids of earlier texts are read.
         """
-        rows = corpus.filter(F.col(self.doc).isNotNull()).select(
-            F.col(self.doc).cast(self.doc_type).alias(self.doc), words(F.coalesce("text", F.lit(""))).alias("ws")
-        )
+        # Texts are dealt by id once, and words are counted where a text lies: only texts are moved, not their words.
+        texts = corpus.filter(F.col(self.doc).isNotNull()).select(
+            F.col(self.doc).cast(self.doc_type).alias(self.doc), F.coalesce("text", F.lit("")).alias("text")
+        ).repartition(self.doc)
+        rows = texts.select(self.doc, words(F.col("text")).alias("ws"))
         name = f"segment-{uuid.uuid4().hex}"
-        counted = rows.select(self.doc, F.size("ws").alias("dl"), F.explode_outer("ws").alias("term"))
+        # Each text has a row without term, too, which stands for it whatever its words are.
+        terms = F.concat(F.array(F.lit(None).cast("string")), "ws")
+        counted = rows.select(self.doc, F.size("ws").alias("dl"), F.explode(terms).alias("term"))
         counted = counted.groupBy(self.doc, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-        # By term, so that a reader of some terms can skip row groups; a text without words has one row without term.
-        counted.repartitionByRange("term", self.doc).sortWithinPartitions("term", self.doc).write.parquet(
-            f"{self.path}/{name}/words"
-        )
+        self._write_words(counted, name)
         written = self._read(f"{name}/words", "dl int, term string, tf bigint")
-        written.select(self.doc, "dl").distinct().write.parquet(f"{self.path}/{name}/docs")
+        written.filter("term IS NULL").select(self.doc, "dl").write.parquet(f"{self.path}/{name}/docs")
         self._strike(self._read(f"{name}/docs", "dl int"))
         self._commit(TEXTS, name)
 
@@ -105,10 +110,7 @@ class GrowingIndex:
     def merge(self) -> None:
         """Write all that is live as one segment, which stands for those before."""
         name = f"segment-{uuid.uuid4().hex}"
-        live = self._live("words", "dl int, term string, tf bigint")
-        live.repartitionByRange("term", self.doc).sortWithinPartitions("term", self.doc).write.parquet(
-            f"{self.path}/{name}/words"
-        )
+        self._write_words(self._live("words", "dl int, term string, tf bigint"), name)
         self._live("docs", "dl int").write.parquet(f"{self.path}/{name}/docs")
         self._commit(MERGED, name)
 

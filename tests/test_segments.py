@@ -81,3 +81,26 @@ def test_a_change_that_broke_off_is_not_seen(spark, tmp_path, monkeypatch):
     monkeypatch.undo()
     assert held.index().n_docs == 1
     assert sorted(r.term for r in held.index().words.collect()) == ["alpha"]
+
+
+def test_a_change_moves_texts_and_not_their_words(spark, tmp_path, monkeypatch):
+    """Words are counted where a text lies: one exchange of texts to add them, none of words to merge."""
+    from pyspark.sql import DataFrameWriter
+
+    plans, real = [], DataFrameWriter.parquet
+
+    def watch(self, path, *options, **named):
+        plans.append((path.rsplit("/", 1)[-1], self._df._jdf.queryExecution().executedPlan().toString()))
+        return real(self, path, *options, **named)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", watch)
+    held = GrowingIndex(spark, str(tmp_path / "index"))
+    rows = [(1, "b a b"), (1, "b a b"), (1, "c"), (2, ""), (3, None), (None, "a")]
+    held.add(spark.createDataFrame(rows, SCHEMA))
+    held.remove(spark.createDataFrame([(3,)], "page_id bigint"))
+    held.merge()
+    moved = [plan.count("Exchange") - plan.count("BroadcastExchange") for name, plan in plans if name == "words"]
+    assert moved == [1, 0]
+    # Texts of one id add up if they are as long; a text without words is one, too.
+    assert sorted(map(tuple, held.index().words.collect())) == [(1, 1, "c", 1), (1, 3, "a", 2), (1, 3, "b", 4)]
+    assert (held.index().n_docs, held.index().mean_len) == (3, 4 / 3)
