@@ -1,10 +1,12 @@
 """Connected components of links that never come together in one place.
 
 Each task first folds its own links with a union-find into stars around the
-smallest id, which turns a clique into a few rows. Rounds of large-star and
-small-star joins then pull every node to the smallest id it can reach. A round
-is a few aggregations and joins on single ids; the joins read both sides from
-written tables, so a hot centre can be split among tasks.
+smallest id, which turns a clique into a few rows. The stars are dealt by their
+larger ids and folded again, which joins the centres that share a member. Rounds
+of a large-star join and such a fold, in place of a small star, then pull every
+node to the smallest id it can reach. A round writes two tables: each step has
+its fixed cost for each partition. The join reads both sides from written tables,
+so a hot centre can be split among tasks; a larger id has a row a task at most.
 
 Defined results: without links there are no rows. Links with a null end, loops
 and repeated links change nothing.
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from lanternqa.llm.scratch import Scratch
 
 LINK = "a long, b long"
+NODES = 500_000
 
 
 class UnionFind:
@@ -43,11 +46,7 @@ class UnionFind:
         return True
 
 
-def _fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sets = UnionFind()
-    for batch in batches:
-        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
-            sets.join(a, b)
+def _rows(sets: UnionFind) -> Iterator[pa.RecordBatch]:
     ids = [x for x in sets.parent if sets.root(x) != x]
     for at in range(0, len(ids), 100_000):
         part = ids[at : at + 100_000]
@@ -56,6 +55,22 @@ def _fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's links `a`, `b` as stars: each larger id `a` with the smallest id `b` that it reaches here.
+
+    Stars are handed on beyond `NODES` ids, but never between two links of one `a` that follow each other.
+    """
+    sets, last = UnionFind(), None
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            if len(sets.parent) >= NODES and a != last:
+                yield from _rows(sets)
+                sets = UnionFind()
+            last = a
+            sets.join(a, b)
+    yield from _rows(sets)
+
+
 def _settled(stars: DataFrame) -> bool:
     """Whether every node points to one centre, and no centre points further."""
     ends = stars.select(F.col("a").alias("id"), F.col("b").alias("to")).unionByName(
@@ -65,22 +80,31 @@ def _settled(stars: DataFrame) -> bool:
     return around.filter("low IS NOT NULL AND (centre OR low <> high)").isEmpty()
 
 
-def components(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, component): for each end `a`, `b` of a link that is not its component's smallest id, that id."""
-    real = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b")
-    # Each row says that the larger id `a` is connected to the smaller id `b`.
-    stars = scratch.write(real.mapInArrow(_fold, LINK), "stars_0")
+def connect(stars: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Written stars (larger id `a`, smaller id `b`) from those folded in tasks; a component may be left in several connected ones."""
+    return scratch.write(stars.repartition("a").sortWithinPartitions("a").mapInArrow(fold, LINK), name)
+
+
+def settle(stars: DataFrame, scratch: Scratch) -> DataFrame:
+    """One star for each component; a row may come twice. `stars` is a written table, which stays."""
     turn = 0
     while not _settled(stars):
         turn += 1
         # Large star: all larger neighbours of a node move to the smallest id around it.
-        both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = scratch.write(both.groupBy("a").agg(F.least("a", F.min("b")).alias("low")), f"low_{turn}")
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b")
-        large = scratch.write(large.distinct(), f"large_{turn}")
-        # Small star: a node's smaller neighbours and the node itself move to the smallest of them.
-        least = scratch.write(large.groupBy("a").agg(F.min("b").alias("low")), f"least_{turn}")
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b")
-        stars = scratch.write(small.unionByName(least.withColumnRenamed("low", "b")).distinct(), f"stars_{turn}")
-        scratch.drop(f"stars_{turn - 1}", f"low_{turn}", f"large_{turn}", f"least_{turn}")
-    return stars.select(F.col("a").alias("id"), F.col("b").alias("component")).distinct()
+        low = scratch.write(stars.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("low")), f"low_{turn}")
+        large = stars.join(low.hint("merge"), "b", "left").select("a", F.coalesce("low", "b").alias("b"))
+        # Small star and more: what the links of a task's larger ids connect.
+        stars = connect(large, scratch, f"stars_{turn}")
+        scratch.drop(f"low_{turn}", *([f"stars_{turn - 1}"] if turn > 1 else []))
+    return stars
+
+
+def centres(stars: DataFrame) -> DataFrame:
+    """(id, component) of each larger id."""
+    return stars.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
+
+
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, component): for each end `a`, `b` of a link that is not its component's smallest id, that id."""
+    real = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b")
+    return centres(settle(connect(real.mapInArrow(fold, LINK), scratch, "stars_0"), scratch))

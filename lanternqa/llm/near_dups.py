@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanternqa.llm import words as W
-from lanternqa.llm.components import UnionFind, components
+from lanternqa.llm.components import LINK, UnionFind, centres, connect, fold, settle
 from lanternqa.llm.scratch import Scratch, shuffle_parts
 
 WORDS = 2
@@ -287,30 +287,27 @@ def near_duplicates(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
     ).filter("doc_id IS NOT NULL")
     signed = texts.mapInArrow(lambda batches: _sign(batches, words, bands, rows), SETS)
-    marks = scratch.write(signed, "marks")
     # One set for each document; classes are made of these sets only.
-    name = ["doc_id", "high", "low", "n_shingles"]
-    smallest = F.min(F.struct(*name[1:])).alias("own")
+    marks = ["high", "low", "n_shingles", "bands", "slots"]
+    smallest = F.min(F.struct(*marks)).alias("own")
     own = scratch.write(
-        marks.groupBy("doc_id").agg(smallest, F.count(F.lit(1)).alias("copies")).select("doc_id", "own.*", "copies"), "own"
+        signed.groupBy("doc_id").agg(smallest, F.count(F.lit(1)).alias("copies")).select("doc_id", "own.*", "copies"), "own"
     )
-    repeated = own.filter("copies > 1").select("doc_id", F.struct(*name[1:]).alias("own"))
-    other = marks.select(*name).join(repeated, "doc_id").filter(F.struct(*name[1:]) != F.col("own")).select(*name)
-    other = scratch.write(other.distinct(), "other")
     classes = scratch.write(
-        marks.filter("n_shingles > 0").join(other, name, "left_anti").groupBy("high", "low", "n_shingles").agg(
+        own.filter("n_shingles > 0").groupBy("high", "low", "n_shingles").agg(
             F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("slots").alias("slots")
         ),
         "classes",
     )
-    scratch.drop("marks", "other")
     places = classes.select("rep", "n_shingles", F.posexplode("bands").alias("band", "key")).select(
         "rep", "n_shingles", "band", F.xxhash64("band", "key").alias("bucket")
     )
-    # Buckets with a single member go at once.
-    counts = places.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    crowded = scratch.write(counts.filter("n > 1").select("bucket"), "crowded")
-    members = scratch.write(places.join(crowded.hint("merge"), "bucket"), "members")
+    # Buckets with a single member go at once; the first round's leader is the smallest one.
+    counts = places.groupBy("bucket").agg(
+        F.min("rep").alias("leader"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles")
+    )
+    crowded = scratch.write(counts.filter("leader <> high").drop("high"), "crowded")
+    members = scratch.write(places.join(crowded.select("bucket", "leader").hint("merge"), "bucket"), "members")
     wanted = members.select("rep").distinct().join(own.hint("merge"), F.col("rep") == F.col("doc_id"))
     reps = scratch.write(wanted.select("rep", "high", "low", "copies"), "reps")
 
@@ -326,14 +323,12 @@ def near_duplicates(
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = scratch.write(pairs.distinct(), f"pairs_{turn}")
-        scratch.drop("crowded" if not turn else f"pairs_{turn - 1}")
-        # Only sets that are in a pair travel.
+        if turn:
+            scratch.drop(f"pairs_{turn - 1}")
         left = sets.select(F.col("rep").alias("a"), F.col("keys").alias("keys_a"))
         right = sets.select(F.col("rep").alias("b"), F.col("keys").alias("keys_b"))
-        left = left.join(pairs.select("a").distinct().hint("merge"), "a", "left_semi")
-        right = right.join(pairs.select("b").distinct().hint("merge"), "b", "left_semi")
         full = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "keys_a", "keys_b")
-        return full.mapInArrow(lambda batches: _verify(batches, similarity), "a long, b long")
+        return full.mapInArrow(lambda batches: fold(_verify(batches, similarity)), LINK)
 
     lowest = lowest_share(similarity, bands * rows)
     order = ["bucket", "low", "high"]
@@ -359,46 +354,43 @@ def near_duplicates(
             sets.join(marked.hint("merge"), "rep").join(flagged.select("rep").distinct().hint("merge"), "rep", "left_semi"), "wanted"
         )
         return flagged.join(wanted.hint("merge"), "rep").repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(
-            lambda batches: _cells(batches, lowest, similarity), "a long, b long"
+            lambda batches: fold(_cells(batches, lowest, similarity)), LINK
         )
 
-    found = None
+    stars = None
     for turn in range(STAR_ROUNDS + 1):
         # The component of each member so far; a bucket in a single component has nothing left to compare.
-        if found is None:
-            placed = members.withColumn("component", F.col("rep"))
+        # Before the cells it is the whole one; until then a piece only costs comparisons.
+        if stars is None:
+            placed, split = members.withColumn("component", F.col("rep")), crowded
+            led = members.filter("rep <> leader")
         else:
-            placed = members.join(found.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").withColumn(
-                "component", F.coalesce("component", "rep")
+            stars = settle(stars, scratch) if turn == STAR_ROUNDS else stars
+            found = centres(stars).withColumnRenamed("id", "rep")
+            placed = members.drop("leader").join(found.hint("merge"), "rep", "left")
+            placed = scratch.write(placed.withColumn("component", F.coalesce("component", "rep")), f"placed_{turn}")
+            lead = F.min(F.struct(F.xxhash64(F.lit(turn), "rep").alias("draw"), "rep", "component")).alias("lead")
+            split = scratch.write(
+                placed.groupBy("bucket").agg(
+                    F.min("component").alias("low"), F.max("component").alias("high"), lead, F.count(F.lit(1)).alias("n"),
+                    F.sum("n_shingles").alias("shingles"),
+                ).filter("low <> high").select("bucket", "n", "shingles", F.col("lead.rep").alias("leader"), F.col("lead.component").alias("of_leader")),
+                f"split_{turn}",
             )
-        placed = scratch.write(placed.select("bucket", "band", "rep", "n_shingles", "component"), f"placed_{turn}")
-        lead = F.min(F.struct(F.xxhash64(F.lit(turn), "rep").alias("draw"), "rep", "component")).alias("lead")
-        split = scratch.write(
-            placed.groupBy("bucket").agg(
-                F.min("component").alias("low"), F.max("component").alias("high"), lead, F.count(F.lit(1)).alias("n"),
-                F.sum("n_shingles").alias("shingles"),
-            ).filter("low <> high").select("bucket", "n", "shingles", F.col("lead.rep").alias("leader"), F.col("lead.component").alias("of_leader")),
-            f"split_{turn}",
-        )
+            led = placed.join(split.hint("merge"), "bucket").filter("component <> of_leader")
         if split.isEmpty():
             break
         if turn < STAR_ROUNDS:
-            pairs = placed.join(split.hint("merge"), "bucket").filter("component <> of_leader").select(
-                F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")
-            )
-            links = verified(pairs)
+            links = verified(led.select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")))
         else:
             links = in_cells(placed, split)
-        new = scratch.write(links, f"links_{turn}")
         # The stars found so far stand for all earlier links.
-        links = new if found is None else new.unionByName(found.select(F.col("id").alias("a"), F.col("component").alias("b")))
-        found = components(links, scratch)
-        scratch.drop(f"placed_{turn}", f"split_{turn}")
+        stars = connect(links if stars is None else links.unionByName(stars), scratch, f"links_{turn}")
+        scratch.drop(*(["crowded"] if not turn else [f"placed_{turn}", f"split_{turn}"]))
     ends = classes.select("high", "low", "n_shingles", "rep")
-    if found is not None:
-        ends = ends.join(found.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").withColumn(
-            "component", F.coalesce("component", "rep")
-        )
+    if stars is not None:
+        found = centres(settle(stars, scratch)).withColumnRenamed("id", "rep")
+        ends = ends.join(found.hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     else:
         ends = ends.withColumn("component", F.col("rep"))
     ends = scratch.write(ends.select("high", "low", "n_shingles", "component"), "ends")
